@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from gleanery.llm.line_dedup import OP1_SQL, op1_line_dedup
+from gleanery.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_toxicity": op4_toxicity,
 }
 
 #: Where SQL can express the whole result; the others are tested against brute force in tests/llm.
