@@ -73,7 +73,8 @@ def find_overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     sums = F.transform(F.sequence(F.lit(1), F.size("agree") - F.col("span") + 1), lambda k: add(F.slice("agree", k, F.col("span"))))
     need = F.ceil(F.least(F.lit(SPAN), F.col("length")) * SHARE / 100)
-    return both.where(F.array_max(sums) >= need).select("doc_key", "item_id", "start", add("agree").alias("matched"), "length")
+    found = both.where(F.array_max(sums) >= need).withColumn("matched", add("agree"))
+    return found.select("doc_key", "item_id", *(F.col(c).cast("long") for c in ("start", "matched", "length")))
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:
