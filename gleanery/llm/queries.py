@@ -5,6 +5,7 @@ from __future__ import annotations
 from gleanery.llm.chat import OP5_SQL, op5_chat_format
 from gleanery.llm.decontamination import OP8_SQL, op8_decontamination
 from gleanery.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
+from gleanery.llm.html_extract import op2_html_extract
 from gleanery.llm.license_scan import OP10_SQL, op10_license_scan
 from gleanery.llm.line_dedup import OP1_SQL, op1_line_dedup
 from gleanery.llm.mixing import OP7_SQL, op7_mixing
@@ -14,6 +15,7 @@ from gleanery.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_chat_format": op5_chat_format,
