@@ -17,7 +17,7 @@ SHARD_ROWS = 100_000
 #: Queries of one task, bytes of one row that holds a part of a graph.
 SLICE_ROWS, PIECE_BYTES = 50_000, 4 << 20
 #: First beam, the beam from which exact comparison with the whole shard is cheaper, vectors of an audit, recall it asks for.
-BEAM, WIDEST, AUDITED, RECALL = 48, 1024, 256, 0.97
+BEAM, WIDEST, AUDITED, RECALL = 24, 1024, 512, 0.98
 #: Single precision cosines this much below the threshold are verified in double precision.
 SLACK = 1e-4
 
@@ -65,19 +65,20 @@ def _hits(graph: Graph, base: np.ndarray, queries: np.ndarray, threshold: float,
 
 
 def _audited_beam(graph: Graph, base: np.ndarray, threshold: float) -> int:
-    """The narrowest of the doubled beams with which an evenly spread sample of the shard's vectors finds at least RECALL of its links and of its nearest other vectors."""
-    sample = np.linspace(0, len(base) - 1, min(AUDITED, len(base))).astype(np.int64)
-    cosines = base[sample] @ base.T
-    cosines[np.arange(len(sample)), sample] = -np.inf
-    linked, nearest = cosines >= threshold, cosines.max(1)
+    """The narrowest of the doubled beams that finds at least RECALL of the links of an audit.
+
+    The audit asks for evenly spread vectors of the shard, and for as many planted ones whose cosine to such a vector
+    is just above the threshold, the hardest links there are; brute force over the shard gives the truth.
+    """
+    sample = base[np.linspace(0, len(base) - 1, min(AUDITED, len(base))).astype(np.int64)]
+    noise = np.random.default_rng(0).normal(size=sample.shape)
+    noise -= (noise * sample).sum(1, keepdims=True) * sample
+    edge = min(1.0, threshold + 0.005)
+    planted = edge * sample + np.sqrt(1 - edge * edge) * noise / np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-12)
+    asked = np.concatenate((sample, planted))
+    linked = sum(int((asked[k : k + 128] @ base.T >= threshold).sum()) for k in range(0, len(asked), 128))
     beam = BEAM
-    while beam < min(WIDEST, len(base) // 4):
-        q, n = _hits(graph, base, base[sample], threshold, beam)
-        other = sample[q] != n
-        ids, got = graph.near(base[sample], beam)
-        best = np.where((ids >= 0) & (ids != sample[:, None]), got, -np.inf).max(1)
-        if other.sum() >= RECALL * linked.sum() and (best >= nearest - SLACK).mean() >= RECALL:
-            return beam
+    while beam < min(WIDEST, len(base) // 4) and len(_hits(graph, base, asked, threshold, beam)[0]) < RECALL * linked:
         beam *= 2
     return beam
 
@@ -146,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     each = F.sequence(F.lit(0), F.lit(slices - 1))
     stored = graphs.select("dim", "shard", F.explode(each).alias("slice"), F.lit(0).alias("kind"), "piece", F.lit(None).cast("long").alias("uid"), "data", F.lit(None).cast("array<double>").alias("v"))
     asked = nodes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.col("uid"), F.lit(1)), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), F.lit(0).alias("piece"), "uid", F.lit(None).cast("binary").alias("data"), "v")
-    tasks = stored.union(asked).repartition(shards * slices, "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", "kind", "piece")
+    tasks = stored.union(asked).repartitionByRange(shards * slices, "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", "kind", "piece")
     out = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
