@@ -87,7 +87,7 @@ class Project:
         for column, wanted in (("part", parts), ("metric_name", metric_names)):
             df = df.where(F.col(column).isin(list(wanted))) if wanted is not None else df
         df = df.join(ids.select(ID), ID, "left_semi") if ids is not None else df
-        runs = self._read("runs", RUNS).select("run_id", F.col("name").alias("run_name"), F.col("kind").alias("run_kind"), F.col("created_at").alias("run_created_at")).distinct()
+        runs = self._read("runs", RUNS).groupBy("run_id").agg(F.max("name").alias("run_name"), F.max("kind").alias("run_kind"), F.min("created_at").alias("run_created_at"))
         runs = runs.where(F.col("run_name").isin(list(run_names))) if run_names is not None else runs
         df = df.join(runs, "run_id").withColumn("value", F.try_parse_json("value_json")).drop("value_json")
         return self.current(df) if current_only else df
