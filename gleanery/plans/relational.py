@@ -37,7 +37,7 @@ SEED = selection.SEED
 
 
 # Measurements: a line is a part (its return flag) of its order (the occurrence).
-LINE_ID = "((l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey)"
+LINE_ID = "(l_linenumber * 100000000000000000 + l_partkey * 10000000000 + CAST(round(l_extendedprice * 100) AS BIGINT))"
 _LONG_SQL = f"""l AS (SELECT l_orderkey::VARCHAR AS occurrence_id, {LINE_ID}::BIGINT AS metric_id, l_returnflag AS part, l_extendedprice, l_quantity, l_discount, l_tax FROM lineitem),
 newest AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY occurrence_id, part ORDER BY metric_id DESC) = 1),
 newest_tax AS (SELECT * FROM l WHERE l_tax > 0.02 QUALIFY row_number() OVER (PARTITION BY occurrence_id, part ORDER BY metric_id DESC) = 1)"""
