@@ -28,6 +28,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='gleanery-')}")
 
 
+#: Rows of texts that a Python worker and the JVM exchange at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to ``BATCH_ROWS`` where it is larger, so that long texts fit several times beside a full heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import BLANKS, lower_ascii, materialize
+from gleanery.llm.common import BLANKS, lower_ascii, materialize, small_batches
 from gleanery.llm.sketch import build, cells_for
 
 #: Spark's xxhash64 starts from this seed.
@@ -39,10 +39,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     one row for each task; the join back to the suspects has plain exchanges on both sides, which are split when
     skewed.
     """
+    small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), line_keys(F.col("text"), min_chars).alias("keys"))
     n_lines = docs.select(F.sum(F.size(F.split("text", "\n"))).alias("n")).first().n or 0
     hashes = known.select(F.explode(F.transform("keys", lambda key: F.xxhash64(key))).alias("h"))
-    sketch = build(hashes, lambda batch: batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), cells_for(n_lines, CELLS_PER_LINE), PROBES)
+    sketch = build(hashes, lambda batch: batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), cells_for(n_lines, CELLS_PER_LINE), PROBES, at_once=100_000)
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import components, materialize
+from gleanery.llm.common import components, materialize, small_batches
 from gleanery.llm.sketch import SEGMENT, Sketch, build, cells_for
 
 #: Documents of one token that are still compared as single pairs; larger buckets are compared in tiles.
@@ -19,7 +19,7 @@ PAIRED = 64
 #: Rows of a tile's side, and shingles that its sets may hold together.
 TILE_ROWS, TILE_SHINGLES = 512, 1 << 21
 #: Words whose hash a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 100_000
 
 
 class _Words(dict):
@@ -69,8 +69,8 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
     def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
                 found = sets(batch)
                 ends = np.cumsum([len(s) for s in found])
                 repeated = np.split(shared.value.repeated(np.concatenate(found)), ends[:-1])
@@ -169,6 +169,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     Identity of shingles is that of 64-bit hashes, of sets that of 128-bit digests.
     """
+    small_batches(docs.sparkSession)
     prefixes = materialize(_prefixes(docs, size, num, den), "prefixes")
     living = prefixes.where("dig is not null")
     best = F.min_by(F.struct(F.col("doc_id").alias("rep"), "n", "pk", "tok", "pos"), "doc_id").alias("r")

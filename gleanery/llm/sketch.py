@@ -44,35 +44,45 @@ def places(hashes: np.ndarray, cells: int, probes: int) -> Iterator[np.ndarray]:
         yield ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(cells)).astype(np.int64)
 
 
+def _set(bits: np.ndarray, cells: np.ndarray) -> None:
+    """Set the bits of sorted distinct cells."""
+    if len(cells):
+        byte = cells >> 3
+        start = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
+        bits[byte[start]] |= np.bitwise_or.reduceat(np.uint8(1) << (cells & 7).astype(np.uint8), start)
+
+
 def cells_for(items: int, per_item: int) -> int:
     """A power of two of about ``per_item`` cells for each item, within the bounds."""
     return min(MAX_CELLS, max(SEGMENT, 1 << max(1, items * per_item - 1).bit_length()))
 
 
-def build(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], cells: int, probes: int, counters: int = 0) -> Sketch:
+def build(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], cells: int, probes: int, counters: int = 0, at_once: int = 1000) -> Sketch:
     """Add what ``hashes_of`` makes of every batch of ``rows``.
 
     As many tasks as the cluster runs at once each fill filters of bounded size; the pieces are merged by
     segment (a cell that two tasks have hit once counts as hit twice), and only the bits of ``twice`` and the
-    counters, whose size is bounded whatever the input, come to the driver.
+    counters, whose size is bounded whatever the input, come to the driver. ``at_once`` rows are hashed together.
     """
     spark = rows.sparkSession
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hit = np.zeros(cells, dtype=np.uint8)
+        first, again = np.zeros(cells // 8, dtype=np.uint8), np.zeros(cells // 8, dtype=np.uint8)
         counts = np.zeros(counters, dtype=np.int64)
-        for batch in batches:
-            hashes = hashes_of(batch)
-            for part in np.array_split(hashes, max(1, len(hashes) >> 20)):
-                for place in places(part, cells, probes):
+        for whole in batches:
+            for low in range(0, whole.num_rows, at_once):
+                hashes = hashes_of(whole.slice(low, at_once))
+                for place in places(hashes, cells, probes):
                     cell, times = np.unique(place, return_counts=True)
-                    hit[cell] = np.minimum(2, hit[cell] + np.minimum(times, 2)).astype(np.uint8)
+                    seen = (first[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                    _set(again, cell[seen | (times > 1)])
+                    _set(first, cell)
                 if counters:
-                    counts += np.bincount(((part >> np.uint64(11)) % np.uint64(counters)).astype(np.int64), minlength=counters)
+                    np.add.at(counts, ((hashes >> np.uint64(11)) % np.uint64(counters)).astype(np.int64), 1)
         for segment in range(cells // SEGMENT):
-            part = hit[segment * SEGMENT : (segment + 1) * SEGMENT]
-            if part.any():
-                once, twice = (zlib.compress(np.packbits(part >= n, bitorder="little").tobytes(), 1) for n in (1, 2))
+            part = slice(segment * SEGMENT // 8, (segment + 1) * SEGMENT // 8)
+            if first[part].any():
+                once, twice = (zlib.compress(bits[part].tobytes(), 1) for bits in (first, again))
                 yield pa.RecordBatch.from_pydict({"segment": [segment], "once": [once], "twice": [twice]}, schema=schema)
         for k in range(0, counters, SEGMENT):
             if counts[k : k + SEGMENT].any():

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import small_batches
+
 WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
@@ -19,7 +21,7 @@ THRESHOLD = 0.7
 #: Share of a token's features that training leaves out, so that neither words nor characters decide alone.
 DROPPED = 0.3
 #: Characters tokenized at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _letters: list[np.ndarray] = []
 
 
@@ -308,6 +310,7 @@ def score_toxicity(docs: DataFrame, network: Network | None) -> DataFrame:
     and get the score of no evidence. Without a network (no labels to learn from) every score is 0. Row order,
     repeated rows and other columns don't matter to a score. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     plain = docs.drop("score", "predicted")
     if network is None:
         scored = plain.withColumn("score", F.lit(0.0))
@@ -316,8 +319,8 @@ def score_toxicity(docs: DataFrame, network: Network | None) -> DataFrame:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for k in range(0, batch.num_rows, 512):
-                    part = batch.slice(k, 512)
+                for k in range(0, batch.num_rows, 250):
+                    part = batch.slice(k, 250)
                     got = shared.value.scores(part.column("text").to_pylist())
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, "score"])
 
