@@ -10,6 +10,8 @@ from gleanery.llm.common import materialize
 #: What a null in a raked column counts as.
 NONE = "(none)"
 ROUNDS = 10
+#: Rounds after which the plan is cut.
+CUT = 5
 SEED = "mix"
 #: Marginals of the registered query: each share is the observed one to this power, scaled to sum to 1.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -52,10 +54,12 @@ def calibrate(docs: DataFrame, dims: dict[str, Column], powers: dict[str, float]
             given = sums
             goal = powered / F.lit(float(sums.agg(F.sum(powered).alias("p")).first().p or 1.0)) * float(total)
         fitted = fitted.join(materialize(given.select(key, goal.alias(f"goal{key}")), "goals"), key)
-    for _ in range(rounds):
+    for turn in range(rounds):
         for key in keys:
             now = F.sum(F.col("tokens") * F.col("f")).over(Window.partitionBy(key))
             fitted = fitted.withColumn("f", F.col("f") * F.when(now > 0, F.col(f"goal{key}") / now).otherwise(1.0))
+        if turn % CUT == CUT - 1:
+            fitted = materialize(fitted, "fitted")
     fitted = materialize(fitted.select(*keys, "tokens", "documents", "f"), "fitted")
     most = fitted.agg(F.max(F.when(F.col("tokens") > 0, F.col("f"))).alias("m")).first().m or 1.0
     return fitted.select(*keys, "tokens", "documents", F.least(F.lit(1.0), F.col("f") / most).alias("__p"))
