@@ -39,7 +39,7 @@ def group_by(df: DataFrame, column: str, by: str = "name") -> DataFrame:
     sizes = named.groupBy("group").agg(F.count("*").alias("n"), *([F.min("order").alias("first")] if "order" in df.columns else []))
     key = {"name": [F.col("group")], "size": [F.desc("n"), F.col("group")], "first": [F.col("first") if "order" in df.columns else F.col("group")]}[by]
     ranked = sizes.withColumn("group_order", F.row_number().over(Window.orderBy((F.col("group") == UNKNOWN).cast("int"), *key)) - 1)
-    return named.join(F.broadcast(ranked.select("group", "group_order")), "group")
+    return named.join(ranked.select("group", "group_order"), "group")
 
 
 def scale_by(df: DataFrame, column: str, name: str = "scale") -> DataFrame:
@@ -341,4 +341,4 @@ def placements(items: DataFrame, layout: Callable[[int], pd.DataFrame], order_co
     ranked = global_rank(items, [order_col, id_col], "slot")
     n = ranked.count()
     slots = items.sparkSession.createDataFrame(layout(n)).withColumn("slot", F.col("slot").cast("long"))
-    return ranked.join(F.broadcast(slots), "slot").withColumn("z", F.col("slot")).select(id_col, "slot", "x", "y", "scale", "angle", "flip", "z", *[c for c in ("group",) if c in items.columns])
+    return ranked.join(slots, "slot").withColumn("z", F.col("slot")).select(id_col, "slot", "x", "y", "scale", "angle", "flip", "z", *[c for c in ("group",) if c in items.columns])

@@ -23,8 +23,8 @@ from gleanery.functions import raster
 from gleanery.functions.identity import canonical_json, derivation, hash_spec, ids_digest
 from gleanery.functions.naming import wide_name
 from gleanery.operators import filters as filter_ops
-from gleanery.operators import selection, validate, wide
-from gleanery.plans.recipes import ID, ORGANISM, Operation, Recipe, execute, masks_as_rows, spec_changes
+from gleanery.operators import groupfit, selection, stored, validate, wide
+from gleanery.plans.recipes import ID, ORGANISM, Operation, Recipe, execute, framed, masks_as_rows, spec_changes
 from gleanery.sources import files, tables
 
 MASKS = "occurrence_id string, part string, rle_counts binary, rle_height int, rle_width int, area int, score double, info string, recipe_hash string, run_id long, from_part string, source_mask_hash string, created_at string"
@@ -496,7 +496,8 @@ class Project:
 
     def exemplars_per_group(self, run_name: str, group_col: str, metric_name: str, part: str = ORGANISM, count: int = 1, normalize: bool = True) -> DataFrame:
         """The most central occurrences of each group by a stored vector."""
-        vectors = self.latest_values(run_name, part, metric_name).select(ID, wide.typed(F.col("value"), "array<double>").alias("v")).where("v is not null")
+        vectors = self.latest_values(run_name, part, metric_name).select(ID, stored.feature_vector(F.col("value")).alias("v")).where("v is not null")
+        vectors = stored.same_length(vectors, "v").where("v is not null")
         rows = vectors.join(self.occurrences().select(ID, group_col), ID)
         return selection.medoids(rows, ID, "v", group_col, count, normalize)
 
@@ -626,6 +627,130 @@ class Project:
         both = done.groupBy(label_col).agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "val").alias("v")).where("t > 0 and v > 0").select(label_col)
         return done.join(both, label_col, "left_semi")
 
+    # Models fitted on stored values and pooled pixels ------------------------------------------------------
+
+    def features(self, run_name: str, metrics: Sequence[str], part: str = ORGANISM, group_col: str | None = None) -> DataFrame:
+        """(occurrence_id, group, one DOUBLE column per metric or metric__key) of a run's current values."""
+        flat = self.metrics_wide([run_name], [part])
+        named = flat.select(ID, *[wide.typed(F.col(f"`{wide_name(run_name, part, m)}`"), "double").alias(m) for m in metrics])
+        return named.join(self.occurrences().select(ID, group_col), ID) if group_col else named
+
+    def fit_metric(self, kind: str, features: Sequence[str], from_run: str, run_name: str, part: str = ORGANISM, group_col: str | None = None, labels_run: str | None = None, label_metric: str | None = None, bad_labels: Sequence | None = None, **how: Any) -> DataFrame:
+        """Fit and store cluster, outlier or label_score over a run's values: groups apart, small ones with the population's model.
+
+        The stored run's recipe holds the population it was fitted on and the recipe of the values, so it is another
+        recipe once either changes.
+        """
+        table = tables.written(self.features(from_run, features, part, group_col))
+        if kind == "cluster":
+            scored = groupfit.cluster(table, features, ID, group_col, **how).select(ID, F.struct("cluster_id", "centroid_distance", "group").alias("value"))
+        elif kind == "outlier":
+            scored = groupfit.outlier(table, features, ID, group_col, **how).select(ID, F.struct("is_outlier", "anomaly_score", "group").alias("value"))
+        elif kind == "label_score":
+            labels = self.latest_values(labels_run, part, label_metric).select(ID, wide.typed(F.col("value"), "string").alias("label"))
+            scored = groupfit.label_score(table, features, ID, labels, "label", bad_labels or [], **how)[0].select(ID, F.col("score").alias("value"))
+        else:
+            raise ValueError("kind is cluster, outlier or label_score")
+        scored = tables.written(scored)
+        source = self.load_runs("metric", from_run).first()
+        population = ids_digest(table, ID).first()
+        self.store_values(scored, run_name, kind, part, identity={"features": list(features), "from_recipe": source["recipe_hash"], "population": population["ids_hash"], "group_col": group_col, "how": _plain(how), "bad": _plain(bad_labels)})
+        return scored
+
+    def pooled_pixels(self, part: str = ORGANISM, group_col: str | None = None, per_occurrence: int = groupfit.PIXELS, reference: bool = False) -> DataFrame:
+        """(occurrence_id, group, pixels): at most so many masked BGR pixels of each occurrence, drawn with a fixed seed."""
+        work = self.images().select(ID, "height", "width", "data").join(self._sources(part, reference), ID)
+        work = work.join(self.occurrences().select(ID, F.col(group_col).cast("string").alias("group")), ID) if group_col else work.withColumn("group", F.lit(None).cast("string"))
+
+        def draw(frames):
+            import pandas as pd
+
+            for pdf in frames:
+                out = []
+                for row in pdf.itertuples(index=False):
+                    try:
+                        out.append((row.occurrence_id, row.group, raster.masked_pixels(framed(row), per_occurrence).astype("uint8").tobytes()))
+                    except ValueError:
+                        continue  # an empty mask has no pixels to pool
+                yield pd.DataFrame(out, columns=[ID, "group", "pixels"])
+
+        return work.mapInPandas(draw, f"{ID} string, group string, pixels binary")
+
+    def pixel_metric(self, kind: str, run_name: str, part: str = ORGANISM, group_col: str | None = None, min_group_size: int = 5, max_occurrences: int = 500, **how: Any) -> DataFrame:
+        """Fit a shared palette (color_clusters) or hue ranges (inductive_color_thresholds) per group on pooled pixels, and store every occurrence's shares.
+
+        A group's fit pools at most ``max_occurrences`` occurrences, drawn by a hash of the id.
+        """
+        import numpy as np
+        import pandas as pd
+
+        pixels = tables.written(self.pooled_pixels(part, group_col))
+        sizes = pixels.groupBy("group").count().where(F.col("group").isNotNull() & (F.col("count") >= min_group_size)).select("group")
+        every = pixels.join(sizes, "group", "left_semi").select("group", ID, "pixels").union(pixels.select(F.lit(groupfit.POPULATION), ID, "pixels"))
+        picked = selection.cap_per_group(every, "group", max_occurrences, ID)
+        fit = {"color_clusters": groupfit.palette, "inductive_color_thresholds": groupfit.hue_definition}[kind]
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pool = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 3) for x in pdf.sort_values(ID)["pixels"]])
+            return pd.DataFrame({"group": [pdf["group"].iloc[0]], "model": [json.dumps(fit(pool, **how))]})
+
+        models = {r["group"]: json.loads(r["model"]) for r in picked.groupBy("group").applyInPandas(one, "group string, model string").collect()}
+        shared = self.spark.sparkContext.broadcast(models)
+
+        def score(frames):
+            for pdf in frames:
+                out = []
+                for row in pdf.itertuples(index=False):
+                    own = row.group if row.group in shared.value else groupfit.POPULATION
+                    model, px = shared.value[own], np.frombuffer(row.pixels, np.uint8).reshape(-1, 3)
+                    if kind == "color_clusters":
+                        value = groupfit.palette_shares(px, model)
+                    else:
+                        value = raster.threshold_fractions(raster.Segment(px[None], np.ones((1, len(px)), bool)), model["thresholds"])
+                        hues = {k: v for k, v in value.items() if k.startswith("hue_")}
+                        value["dominant"] = int(max(hues, key=hues.get).split("_")[1]) if any(hues.values()) else None
+                    out.append((row.occurrence_id, canonical_json(value | {"group": None if own == groupfit.POPULATION else own})))
+                yield pd.DataFrame(out, columns=[ID, "value_json"])
+
+        scored = tables.written(pixels.mapInPandas(score, f"{ID} string, value_json string"))
+        recipe = Recipe("metric", run_name, [Operation(kind, _stored, "metric", {"models": models}, metric_name=kind, unit="fraction")], part)
+        self._pin(recipe, True)
+        run_id = self._start(recipe, None)
+        rows = scored.select(ID, F.lit(part).alias("part"), F.lit(kind).alias("metric_name"), "value_json", F.lit("fraction").alias("unit"), F.lit(None).cast("string").alias("source_mask_hash"))
+        self.append_metrics(rows, run_id, recipe.hash)
+        self._finish(run_id, recipe, None, {"done": rows.count()})
+        return scored
+
+    def render_segments(self, folder: str, transforms: Sequence[Operation] = (), part: str = ORGANISM, subset: str | None = None, transparent: bool = True, reference: bool = False) -> int:
+        """One PNG cutout per occurrence after a chain of transforms, written by the tasks; the folder's name holds the recipe's hash."""
+        recipe = Recipe("render", os.path.basename(folder), list(transforms), part, None, {"masks": "reference" if reference else "canonical", "transparent": transparent})
+        target = f"{folder}_{recipe.hash}"
+        work = self.select_ids(subset).join(self.images().select(ID, "height", "width", "data"), ID).join(self._sources(part, reference), ID)
+
+        def write(frames):
+            import pandas as pd
+
+            os.makedirs(target, exist_ok=True)
+            for pdf in frames:
+                done = 0
+                for row in pdf.itertuples(index=False):
+                    path = f"{target}/{row.occurrence_id}.png"
+                    if not os.path.exists(path):
+                        s = framed(row)
+                        for o in recipe.operations:
+                            s, _ = o(s)
+                        with open(f"{path}.tmp", "wb") as f:
+                            f.write(raster.png_bytes(raster.cutout(s, transparent=transparent)))
+                        os.replace(f"{path}.tmp", path)
+                        done += 1
+                yield pd.DataFrame({"n": [done]})
+
+        return work.mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+    def ingest_detections(self, source: str | DataFrame, url_col: str = "image_url", drop: Mapping | None = None, **options: Any) -> DataFrame:
+        """Detections cut from trap sheets, with the sheet and session they come from; determinations that are no organism are left out."""
+        return self.ingest_occurrences(source, drop={"determination_name": ["Not Lepidoptera"]} if drop is None else drop, transform=[files.sheet_columns, *options.pop("transform", [])], image_url_col=url_col, **options)
+
     # Registry, summary, archive ---------------------------------------------------------------------------
 
     def register_model(self, name: str, path: str | None = None, fingerprint: bool = True, **facts: Any) -> dict:

@@ -293,7 +293,8 @@ def _embed(s: Segment, model: Any) -> list[float]:
 _ROW = f"{ID} string, part string, status string, error string, metric_name string, unit string, value_json string, info string, score double, rle_counts binary, rle_height int, rle_width int, area int"
 
 
-def _framed(row: Any) -> Segment:
+def framed(row: Any) -> Segment:
+    """A row's image and the union of its masks."""
     image = None
     if getattr(row, "data", None) is not None:
         flat = np.frombuffer(row.data, np.uint8)
@@ -325,7 +326,7 @@ def execute(work: DataFrame, recipe: Recipe) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 base = {ID: getattr(row, ID), "part": shared.part}
                 try:
-                    s, infos, score = _framed(row), {}, None
+                    s, infos, score = framed(row), {}, None
                     for label, o in zip(labels, transforms, strict=True):
                         s, info = o(s)
                         score = info.pop("score", score) if o.kind == "segment" else score

@@ -134,6 +134,15 @@ def photo_size(url: Column, size: str) -> Column:
     return F.when(host.isin(*PHOTO_HOSTS), F.regexp_replace(url, r"/[^/?]+?(\.[^./?]*)?(\?|$)", F.lit(f"/{size}$1$2"))).otherwise(url)
 
 
+def sheet_columns(df: DataFrame, url_col: str = "image_url") -> DataFrame:
+    """``df`` with sheet_image_id (device/date/sheet file) and session_path (device/date), from the address of a detection cut from a sheet; NULL where it isn't one."""
+    path = F.try_parse_url(url_col, F.lit("PATH"))
+    folder, stem, extension = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1), F.regexp_extract(path, r"([^/]+?)_detection_[^/_]*(?:_[^/]*?)?(\.[^./]*)?$", 1), F.regexp_extract(path, r"(\.[^./]*)$", 1)
+    device = F.substring_index(stem, "_", 1)
+    known = (folder != "") & (stem != "")
+    return df.withColumn("sheet_image_id", F.when(known, F.concat_ws("/", device, folder, F.concat(stem, extension)))).withColumn("session_path", F.when(known, F.concat_ws("/", device, folder)))
+
+
 def images(spark: SparkSession, folder: str, patterns: str = "*.{png,jpg,jpeg,PNG,JPG,JPEG}", recursive: bool = False) -> DataFrame:
     """(occurrence_id, path, height, width, data BGR, bytes, modified): ids are file stems; files that are no image are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", patterns).option("recursiveFileLookup", str(recursive).lower()).load(folder)

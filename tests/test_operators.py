@@ -199,6 +199,9 @@ def test_archives_and_logs(spark, tmp_path):
     merged = files.merge_media(records, media)
     assert {r.gbifID for r in merged.collect()} == {"1", "2"}
     assert merged.where("gbifID = '1'").select(files.photo_size(F.col("media_identifier"), "large")).first()[0] == "https://static.inaturalist.org/photos/7/large.jpeg?9"
+    url = "https://x.org/detections/199/2026-06-11/bronzeBobcat_2026_06_11__01_15_20_HDR0_detection_2121474.jpg"
+    sheet = files.sheet_columns(spark.createDataFrame([(url,), (None,), ("https://x.org/a.jpg",)], "image_url string")).collect()
+    assert (sheet[0].sheet_image_id, sheet[0].session_path) == ("bronzeBobcat/2026-06-11/bronzeBobcat_2026_06_11__01_15_20_HDR0.jpg", "bronzeBobcat/2026-06-11") and sheet[1].session_path is None and sheet[2].sheet_image_id is None
     log = tmp_path / "log.jsonl"
     log.write_text('{"a": 1}\n{"a": 2}\nbroken')
     tables.append_jsonl(str(log), {"a": 3})

@@ -107,6 +107,24 @@ def test_subsets_labels_and_filters(project, spark):
     assert p.compare_metrics("scores", "scores", "s")["bias"] == 0
 
 
+def test_fitted_metrics_and_products(project, tmp_path):
+    p = project
+    p.run_metrics([r.mask_area(), r.mean_lightness()], "base")
+    assert p.fit_metric("cluster", ["area_px", "mean_lightness"], "base", "clusters", n_clusters=2).count() == 4
+    assert p.fit_metric("outlier", ["area_px"], "base", "outliers", group_col="device", min_group_size=10).where("value.group is null").count() == 4
+    flat = p.metrics_wide(["clusters", "outliers"])
+    assert {"clusters__organism__cluster__cluster_id", "outliers__organism__outlier__is_outlier"} <= set(flat.columns)
+    assert p.pixel_metric("color_clusters", "palette", n_colors=2).count() == 4
+    assert p.pixel_metric("inductive_color_thresholds", "hues").count() == 4
+    assert p.metrics_wide(["palette"]).where(F.try_variant_get("palette__organism__color_clusters__color_0", "$", "double") <= 1).count() == 4
+    assert p.render_segments(str(tmp_path / "cut"), [r.crop_to_mask()]) == 4 and p.render_segments(str(tmp_path / "cut"), [r.crop_to_mask()]) == 0
+    assert p.export_training_data(str(tmp_path / "train"), "species").count() == 4
+    assert "metrics" in p.archive(str(tmp_path / "deposit"))
+    p.register_model("m", task="segment")
+    assert "m" in p.list_models()
+    assert p.exemplars_per_group("base", "device", "area_px", normalize=False).count() == 2
+
+
 def test_csv_ingest_is_idempotent(spark, tmp_path):
     source = tmp_path / "in.csv"
     source.write_text("id,kind,lat,n\n" + "\n".join(f"a{k},{'x' if k % 2 else 'NA'},{k // 2}.001,{k}d" for k in range(8)) + "\n")
