@@ -70,6 +70,18 @@ def ids_digest(df: DataFrame, id_col: str) -> DataFrame:
     return one.select(F.size("ids").cast("long").alias("count"), F.substring(F.sha2(F.when(F.size("ids") > 0, text).otherwise("[]"), 256), 1, DIGITS).alias("ids_hash"))
 
 
+#: Ids up to which a set is digested in one place.
+DIGESTED = 1_000_000
+
+
+def ids_record(df: DataFrame, id_col: str) -> dict:
+    """count and ids_hash of a set of ids: the digest, or for large sets the distributed fingerprint."""
+    sums = ids_fingerprint(df, id_col).first()
+    if sums["count"] > DIGESTED:
+        return {"count": sums["count"], "ids_hash": hash_spec({"count": sums["count"], "sums": sums["fingerprint"]})}
+    return ids_digest(df, id_col).first().asDict()
+
+
 def ids_fingerprint(df: DataFrame, id_col: str) -> DataFrame:
     """One row (count, fingerprint) for the set of ids, by sums of hashes: any size, partial aggregation only."""
     distinct = df.select(F.col(id_col).cast("string").alias("id")).where("id is not null").distinct()

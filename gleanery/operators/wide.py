@@ -60,19 +60,29 @@ def column_provenance(cells_: DataFrame) -> DataFrame:
     return cells_.groupBy("column").agg(newest).select("column", "p.*")
 
 
+#: Records of a scope that are broadcast.
+BROADCAST_ROWS = 100_000
 #: Columns up to which one conditional aggregation makes the wide row.
 CONDITIONAL = 64
 
 
-def pivot_cells(cells_: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per occurrence, one VARIANT column per name; of several values of a cell the newest wins, also where it is JSON null."""
+def pivot_cells(cells_: DataFrame, columns: Sequence[str], kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per occurrence, one column per name; of several values of a cell the newest wins, also where it is JSON null.
+
+    Columns are VARIANT, or of the type ``kinds`` names: those are read out before the aggregation, which for numbers
+    is then a hash aggregation with partial results; VARIANTs need a sort.
+    """
+    kinds = kinds or {}
     if len(columns) <= CONDITIONAL:
         if not columns:
             return cells_.select(ID).distinct()
-        newest = [F.max_by(F.when(F.col("column") == c, F.col("value")), F.when(F.col("column") == c, F.col("metric_id"))).alias(c) for c in columns]
-        return cells_.groupBy(ID).agg(*newest)
+        plain = sorted(set(kinds.values()))
+        read = cells_.select(ID, "metric_id", "column", *([] if all(c in kinds for c in columns) else ["value"]), *[typed(F.col("value"), k).alias(f"_{k}") for k in plain])
+        newest = [F.max_by(F.when(F.col("column") == c, F.col(f"_{kinds[c]}" if c in kinds else "value")), F.when(F.col("column") == c, F.col("metric_id"))).alias(c) for c in columns]
+        return read.groupBy(ID).agg(*newest)
     newest = cells_.groupBy(ID, "column").agg(F.max_by("value", "metric_id").alias("value"))
-    return newest.groupBy(ID).pivot("column", list(columns)).agg(F.first("value"))
+    flat = newest.groupBy(ID).pivot("column", list(columns)).agg(F.first("value"))
+    return flat.select(ID, *[typed(F.col(f"`{c}`"), kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in columns])
 
 
 def typed(column: Column, kind: str) -> Column:
@@ -80,23 +90,25 @@ def typed(column: Column, kind: str) -> Column:
     return F.try_variant_get(column, "$", kind)
 
 
-def wide(long: DataFrame, transform_info: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per occurrence and VARIANT columns run__part__metric[__key], sorted by name; the names come from a first pass unless given."""
+def wide(long: DataFrame, transform_info: bool = False, columns: Sequence[str] | None = None, kinds: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per occurrence and columns run__part__metric[__key], sorted by name, VARIANT or as ``kinds`` says; the names come from a first pass unless given."""
     if not transform_info:
         long = long.where(F.col("unit").isNull() | (F.col("unit") != TRANSFORM_INFO))
     every = cells(long)
     if columns is None:
         columns = sorted(r[0] for r in every.select("column").distinct().collect())
-    return pivot_cells(every, columns)
+    return pivot_cells(every, columns, kinds)
 
 
 def resolve_scope(occurrences: DataFrame, calibrations: DataFrame, id_col: str = ID) -> DataFrame:
     """(id, parameters, scope) for every occurrence: the record of its own id, else of the scope that covers fewest occurrences per value.
 
     ``calibrations``: scope (a column of the occurrences), scope_value, parameters. Scopes that the occurrences lack
-    apply to nothing. Each scope's table is joined once; Spark broadcasts those it knows to be small.
+    apply to nothing. Each scope's records are joined once: broadcast where they are counted to be few, as one value of
+    a broad scope may hold a third of the occurrences, else by a shuffle.
     """
-    scopes = [r[0] for r in calibrations.select("scope").distinct().collect() if r[0] in occurrences.columns]
+    records = {r["scope"]: r["count"] for r in calibrations.groupBy("scope").count().collect() if r["scope"] in occurrences.columns}
+    scopes = sorted(records)
     text = {s: F.coalesce(F.col(f"`{s}`").cast("string"), F.lit("nan")) for s in scopes}
     if not scopes:
         kind = calibrations.schema["parameters"].dataType
@@ -106,7 +118,7 @@ def resolve_scope(occurrences: DataFrame, calibrations: DataFrame, id_col: str =
     out = occurrences.select(F.col(id_col).cast("string").alias("_id"), *[F.col(f"`{s}`").cast("string").alias(f"_s{k}") for k, s in enumerate(scopes)])
     for k, s in enumerate(scopes):
         own = calibrations.where(F.col("scope") == s).select(F.col("scope_value").cast("string").alias(f"_s{k}"), F.struct("parameters", "scope").alias(f"_p{k}"))
-        out = out.join(own, f"_s{k}", "left")
+        out = out.join(F.broadcast(own) if records[s] <= BROADCAST_ROWS else own, f"_s{k}", "left")
     best = F.coalesce(*[F.col(f"_p{k}") for k in order])
     return out.select(F.col("_id").alias(id_col), best["parameters"].alias("parameters"), best["scope"].alias("scope"))
 
@@ -188,17 +200,16 @@ def filtered_wide(occurrences: DataFrame, long: DataFrame, filters: Mapping[str,
     hidden = sorted(extra) + sorted(c for c, p in found.items() if p["unit"] == TRANSFORM_INFO and not transform_info)
     shown = sorted(c for c in found if c not in hidden)
     both = {**found, **extra}
-    flat = pivot_cells(every, sorted(both))
     units = {c: p["unit"] or "" for c, p in both.items()}
     kinds = dict(types or {})
-    for c in flat.columns[1:]:
+    for c in sorted(both):
         name = converted_name(c, units[c]) if scale is not None else c
         condition = (filters or {}).get(name)
         if c not in kinds and condition is not None and not callable(condition):
             sample = condition[1]
             sample = next(iter(sample), None) if isinstance(sample, list | tuple | set | frozenset) else sample
             kinds[c] = "string" if isinstance(sample, str) else "boolean" if isinstance(sample, bool) else "double"
-    flat = flat.select(ID, *[typed(F.col(f"`{c}`"), kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in flat.columns[1:]])
+    flat = pivot_cells(every, sorted(both), kinds)
     df = occurrences.join(flat, ID, "inner" if drop_empty else "left")
     if drop_empty and shown:
         df = df.where(reduce(or_, [present(df, c) for c in shown]))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import raster
-from gleanery.functions.identity import canonical_json, derivation, hash_spec, ids_digest
+from gleanery.functions.identity import canonical_json, derivation, hash_spec, ids_record
 from gleanery.functions.naming import wide_name
 from gleanery.operators import filters as filter_ops
 from gleanery.operators import groupfit, selection, stored, validate, wide
@@ -198,7 +198,7 @@ class Project:
         if ids is not None:
             frame = ids.select(F.col(ids.columns[0]).cast("string").alias(ID)) if isinstance(ids, DataFrame) else self.spark.createDataFrame([(str(i),) for i in ids], f"{ID} string")
             tables.write_table(frame.distinct(), self.at(f"subset_{name}"))
-            one = ids_digest(tables.load_table(self.spark, self.at(f"subset_{name}")), ID).first()
+            one = ids_record(tables.load_table(self.spark, self.at(f"subset_{name}")), ID)
             rule |= {"ids": True, "count": one["count"], "ids_hash": one["ids_hash"]}
         elif query is not None:
             filter_ops.query_column(self.occurrences(), query)
@@ -449,7 +449,7 @@ class Project:
         if path:
             flat = df.select(*[F.to_json(f"`{c}`").alias(c) if t.startswith(("variant", "array", "map", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes])
             flat.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
-            one = ids_digest(df, ID).first()
+            one = ids_record(df, ID)
             record = {"at": _now(), "path": path, "n_rows": one["count"], "ids_hash": one["ids_hash"], "columns": made.provenance, "filters": _plain(filters), "part_filters": _plain(part_filters), "part_counts": counts.first().asDict() if counts is not None else None, "selection": {"run_names": run_names, "parts": parts, "metric_names": metric_names, "subset": subset, "units": units}, "rename": dict(rename or {})}
             record["export_hash"] = hash_spec({k: v for k, v in record.items() if k not in ("at", "path")})
             tables.append_jsonl(self.log("exports.jsonl"), record)
@@ -653,7 +653,7 @@ class Project:
             raise ValueError("kind is cluster, outlier or label_score")
         scored = tables.written(scored)
         source = self.load_runs("metric", from_run).first()
-        population = ids_digest(table, ID).first()
+        population = ids_record(table, ID)
         self.store_values(scored, run_name, kind, part, identity={"features": list(features), "from_recipe": source["recipe_hash"], "population": population["ids_hash"], "group_col": group_col, "how": _plain(how), "bad": _plain(bad_labels)})
         return scored
 

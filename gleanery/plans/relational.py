@@ -65,8 +65,7 @@ SELECT occurrence_id, """
 def wide_newest_wins(spark, sf_dir):
     """Long to wide: per column the newest value, so that a key missing from a newer dict keeps its older value."""
     columns = [f"traits__{p}__{m}" for p in "ANR" for m in _WIDE]
-    flat = wide.wide(lines_as_long(spark, sf_dir), columns=columns)
-    return flat.select(ID, *[wide.typed(F.col(c), "double").alias(c) for c in columns])
+    return wide.wide(lines_as_long(spark, sf_dir), columns=columns, kinds=dict.fromkeys(columns, "double"))
 
 
 def _scales(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +106,7 @@ def filtered_export(spark, sf_dir):
     long = lines_as_long(spark, sf_dir).where("metric_name <> 'rates' and part in ('N', 'R')")
     names = [f"traits__{p}__{m}" for p in "NR" for m in ("length", "area")]
     units = {c: "px" if c.endswith("length") else "px2" for c in names}
-    flat = wide.wide(long, columns=names).select(ID, *[wide.typed(F.col(c), "double").alias(c) for c in names])
+    flat = wide.wide(long, columns=names, kinds=dict.fromkeys(names, "double"))
     scale = wide.resolve_scope(occurrences, scales).select(ID, F.col("parameters").alias("_scale"))
     rows = wide.to_millimetres(occurrences.join(flat, ID).join(scale, ID), units, F.col("_scale")).drop("_scale")
     return filters.apply_filters(rows, {"traits__N__length_mm": (">=", 1.0), "priority": ("not in", ["5-LOW", None])})
