@@ -310,6 +310,8 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in got.collect())
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert page_lines("<div>a<div>b</div>c</div>")[0] == ["a", "b", "c"]
+    assert page_lines("<div class=header>x</div><article><div class=header>a</div><table><tr><td>b<td>c<tr><td>d</table></article>") == (["x", "a", "b c", "d"], [0, 2, 2, 2])
+    assert page_lines('<p title="a>b</p>')[0] == ["b"] and page_lines("a<br/>b<script src='x'/>c")[0] == ["a b"]
 
 
 def test_page_order_does_not_depend_on_partitions(spark):
