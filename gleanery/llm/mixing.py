@@ -14,7 +14,7 @@ ROUNDS = 10
 CUT = 5
 SEED = "mix"
 #: Marginals of the registered query: each share is the observed one to this power, scaled to sum to 1.
-POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+POWERS = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
