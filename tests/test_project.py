@@ -125,6 +125,35 @@ def test_fitted_metrics_and_products(project, tmp_path):
     assert p.exemplars_per_group("base", "device", "area_px", normalize=False).count() == 2
 
 
+def test_downloads_remember_failures(spark, tmp_path):
+    p = Project(spark, str(tmp_path / "d"))
+    p.save_occurrences(spark.createDataFrame([("a", "mem://1"), ("b", "mem://bad"), ("c", None), ("d", "mem://text")], f"{ID} string, image_url string"))
+    good = png_bytes(specimen(0)[:20, :30])
+
+    def fetch(url):
+        if url == "mem://bad":
+            raise OSError("gone")
+        return good if url == "mem://1" else b"not an image"
+
+    assert p.download_images(fetch=fetch) == {"attempted": 3, "stored": 1, "failed": 2}
+    assert p.download_images(fetch=fetch)["attempted"] == 0
+    assert p.download_images(fetch=fetch, retry_failed=True)["attempted"] == 2
+    assert [(r[ID], r.height, r.width) for r in p.images().collect()] == [("a", 20, 30)]
+
+
+def test_one_bad_image_fails_alone(spark, tmp_path):
+    p = Project(spark, str(tmp_path / "f"))
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i/ok.png").write_bytes(png_bytes(specimen(1)))
+    (tmp_path / "i/flat.png").write_bytes(png_bytes(np.zeros((9, 9, 3), np.uint8)))
+    p.ingest_images(str(tmp_path / "i"))
+    first = p.run_segments([r.segment(r.BrightnessModel())], "organisms")
+    assert (first["done"], first["failed"]) == (1, 1)
+    again = p.run_segments([r.segment(r.BrightnessModel())], "organisms")
+    assert again.get("failed", 0) == 0 and again["skipped"] == 2
+    assert p.run_segments([r.segment(r.BrightnessModel())], "organisms", retry_failed=True)["failed"] == 1
+
+
 def test_csv_ingest_is_idempotent(spark, tmp_path):
     source = tmp_path / "in.csv"
     source.write_text("id,kind,lat,n\n" + "\n".join(f"a{k},{'x' if k % 2 else 'NA'},{k // 2}.001,{k}d" for k in range(8)) + "\n")
