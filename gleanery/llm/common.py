@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space of every word and line rule here: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,7 +35,8 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch to ``BATCH_ROWS`` where it is larger, so that long texts fit several times beside a full heap."""
+    """Lower the session's Arrow batch to ``BATCH_ROWS`` where it is larger, so that long texts fit several times beside a full heap; and see that the workers can import this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)

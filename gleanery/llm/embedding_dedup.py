@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import components, materialize
+from gleanery.llm.common import components, materialize, small_batches
 from gleanery.llm.hnsw import TOGETHER, Graph
 
 #: Rows of a shard at most; below that there are as many shards as the cluster runs tasks.
@@ -120,6 +120,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     it reaches, never all pairs of a group. The cost is rows times shards; a shard is as large as memory allows.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _unit(F.col("embedding")).alias("v"))
     good = rows.where("v is not null and vec_id is not null").withColumn("uid", F.xxhash64("v"))
     nodes = materialize(good.groupBy("uid", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first")).withColumn("dim", F.size("v")), "nodes")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,7 +208,7 @@ class Network:
 
 
 def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: int = 5, batch: int = 64, rate: float = 0.01) -> Network:
-    """Fit on whole texts with one label each.
+    """Fit on whole texts with one label each; the list of texts is emptied once they are tokenized.
 
     A label says that some window is toxic, so each round trains on the window that the network finds most toxic
     in every text, and on another of each clean one. The first dimension of every embedding starts from how far
@@ -215,20 +217,26 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
     rng = np.random.default_rng(seed)
     network = Network(seed)
     labels = labels.astype(np.float32)
+    many = len(texts)
     features, counts = tokenize(texts)
+    texts.clear()
     start, size, doc = windows(counts)
-    token_doc = np.repeat(np.arange(len(texts)), counts)
+    token_doc = np.repeat(np.arange(many, dtype=np.int32), counts)
     share = labels.mean()
     lean = np.zeros(len(features), dtype=np.float32)
     for k, rows in enumerate(TABLES):
-        pair = np.unique(token_doc * rows + features[:, k])
+        pair = token_doc * np.int64(rows) + features[:, k]
+        pair.sort()
+        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
         seen = np.bincount(pair % rows, minlength=rows)
         toxic = np.bincount(pair % rows, weights=labels[pair // rows], minlength=rows)
+        del pair
         z = np.where(seen > 2, np.tanh((toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1) / 4), 0).astype(np.float32)
         network.tables[k][:, 0] = z
         lean += z[features[:, k]]
     total = np.concatenate(([0.0], np.cumsum(np.maximum(lean, 0))))
     logit = total[start + size] - total[start]
+    del token_doc, lean, total
     sums = {k: np.zeros_like(v) for k, v in network.p.items()}
     squares = {k: np.zeros_like(v) for k, v in network.p.items()}
     spread = [np.full(rows, 1e-3, np.float32) for rows in TABLES]
@@ -238,9 +246,9 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
         if turn:
             logit = network.logits(features, start, size)
         order = np.lexsort((-logit, doc))
-        first = np.searchsorted(doc[order], np.arange(len(texts)))
+        first = np.searchsorted(doc[order], np.arange(many))
         chosen = order[first]
-        other = order[first + (rng.random(len(texts)) * np.bincount(doc, minlength=len(texts))).astype(np.int64)]
+        other = order[first + (rng.random(many) * np.bincount(doc, minlength=many)).astype(np.int64)]
         chosen = np.concatenate((chosen, other[labels == 0]))
         chosen = rng.permutation(chosen[size[chosen] > 0])
         speed = rate * (1 - turn / rounds) + rate / 10
@@ -260,7 +268,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
                 np.add.at(step, inverse, (d_input[:, :WIDTH] if which == 0 else d_input[:, WIDTH:]) * used[:, which : which + 1])
                 spread[which][row] += (step * step).mean(1)
                 network.tables[which][row] -= speed * step / np.sqrt(spread[which][row])[:, None]
-    top = np.full(len(texts), -np.inf)
+    top = np.full(many, -np.inf)
     np.maximum.at(top, doc, network.logits(features, start, size))
     network.scale = _calibrated(top, labels)
     return network
@@ -288,19 +296,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 4000, seed: int = 7) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 4000, seed: int = 7) -> Network | None:
     """Train on a bounded sample of the labelled documents: at most ``max_toxic`` and ``max_clean``, the first by a hash of doc_id.
 
     Held-out rows, null ids and labels other than 0 and 1 are left out; of several labels of a document the largest
-    counts. None without a text of either label.
+    counts. None without a text of either label. The sample is trained on in one task; only the network comes to the
+    driver.
     """
+    small_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     single = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     parts = [single.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in ((1, max_toxic), (0, max_clean))]
     sample = F.broadcast(parts[0].union(parts[1]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").toPandas().sort_values(["doc_id", "text"])
-    found = rows["toxic"].to_numpy()
-    return train(rows["text"].tolist(), found, seed) if 0 < found.sum() < len(found) else None
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
+
+    def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(frames)
+        if not parts:
+            return
+        found = pd.concat(parts, ignore_index=True).sort_values(["doc_id", "text"])
+        del parts
+        labels, texts = found["toxic"].to_numpy(), found["text"].tolist()
+        del found
+        if 0 < labels.sum() < len(labels):
+            yield pd.DataFrame({"network": [pickle.dumps(train(texts, labels, seed))]})
+
+    learnt = rows.repartition(1).mapInPandas(learn, "network binary").collect()
+    return pickle.loads(learnt[0].network) if learnt else None
 
 
 def score_toxicity(docs: DataFrame, network: Network | None) -> DataFrame:
