@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +61,8 @@ RULES = (
     ("CC-BY-4.0", "reference", ("cc-by-ref",)),
     ("CC-BY-SA-4.0", "reference", ("cc-by-sa-ref",)),
 )
+#: Sentences above whose real notices hold a . ; or : before white space: the splitter cuts them, so they are put together again from the pieces.
+BROKEN = ("gpl-free", "gpl2-free", "gpl-hope", "mpl2-head")
 #: Every sentence above holds one of these, so a text without them needs no splitting.
 HINTS = "licen|permi|copyright|redistribut|warrant"
 
@@ -67,24 +71,48 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def _known(sentence: Column) -> Column:
+def _known(normal: Column) -> Column:
     names = F.create_map(*chain.from_iterable((F.lit(text), F.lit(name)) for name, text in SENTENCES.items()))
-    return F.try_element_at(names, normalised(sentence))
+    return F.try_element_at(names, normal)
+
+
+def _joined(pieces: Column) -> Column:
+    """Identifiers of normalised pieces in order, those of BROKEN put together from adjacent pieces.
+
+    The run is what the last pieces have of a broken sentence; a piece that doesn't continue it ends it.
+    """
+    broken = {name: SENTENCES[name] for name in BROKEN}
+
+    def begins(text):
+        return reduce(or_, (F.startswith(F.lit(whole), F.concat(text, F.lit(" "))) for whole in broken.values()))
+
+    def step(held, piece):
+        longer = F.when(held["run"] == "", piece).otherwise(F.concat_ws(" ", held["run"], piece))
+        name = F.when(held["run"] != "", reduce(lambda rest, n: F.when(longer == broken[n], n).otherwise(rest), broken, F.lit(None).cast("string")))
+        run = F.when(name.isNotNull(), "").when(begins(longer), longer).when(begins(piece), piece).otherwise("")
+        return F.struct(F.concat(held["ids"], F.array_compact(F.array(F.coalesce(name, _known(piece))))).alias("ids"), run.alias("run"))
+
+    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit("").alias("run"))
+    return F.aggregate(F.filter(pieces, lambda x: x != ""), start, step)["ids"]
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
     Sentences end at . ; : ! ? before white space and at empty lines; lines of a paragraph belong together. A
-    sentence that isn't known as a whole is looked up line by line.
+    sentence that isn't known as a whole is looked up line by line. Those of BROKEN hold such an end themselves
+    and may also run over several sentences and lines.
     """
     wrapped = F.split(F.regexp_replace(text, r"([.;:!?])[ \t\r\n]+|\r?\n[ \t]*\r?\n", "$1\x00"), "\x00")
 
-    def ids(sentence):
-        lines = F.filter(F.transform(F.split(sentence, "\n"), _known), lambda x: x.isNotNull())
-        return F.when(_known(sentence).isNotNull(), F.array(_known(sentence))).otherwise(lines)
+    def pieces(sentence):
+        lines = F.transform(F.split(sentence, "\n"), normalised)
+        return F.when(_known(normalised(sentence)).isNotNull(), F.array(normalised(sentence))).otherwise(lines)
 
-    return F.flatten(F.transform(wrapped, ids))
+    split = F.flatten(F.transform(wrapped, pieces))
+    starts = "|".join(dict.fromkeys(SENTENCES[name].split()[0] + " " + SENTENCES[name].split()[1] for name in BROKEN))
+    plain = F.filter(F.transform(split, _known), lambda x: x.isNotNull())
+    return F.when(F.lower(text).rlike(starts.replace(" ", "[^a-z0-9]+")), _joined(split)).otherwise(plain)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

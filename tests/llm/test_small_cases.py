@@ -277,6 +277,79 @@ def test_license_rules(spark):
     assert scan_licenses(docs(spark, [])).count() == 0
 
 
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+GPL2 = GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+
+
+def test_every_licence_rule_on_its_verbatim_text(spark):
+    texts = {
+        RULES[0]: MIT, RULES[1]: "Released under the MIT License.", RULES[2]: "Licensed under the MIT license.", RULES[3]: "This project is licensed under the MIT License.", RULES[4]: "# The MIT License\n\nx", RULES[5]: APACHE, RULES[6]: "Licensed under the Apache License, Version 2.0.",
+        RULES[7]: GPL, RULES[8]: GPL2, RULES[9]: "This work is licensed under the GNU General Public License, version 3.", RULES[10]: "Licensed under the GNU General Public License version 3.", RULES[11]: BSD + BSD3, RULES[12]: BSD, RULES[13]: ISC, RULES[14]: MPL,
+        RULES[15]: "Licensed under CC BY-NC 4.0.", RULES[16]: "Licensed under CC BY 4.0.", RULES[17]: "Licensed under CC-BY-SA 4.0.",
+    }
+    assert set(texts) == set(RULES)
+    comment = lambda text: "/*\n * Copyright (C) 2020 A\n *\n" + "".join(f" * {x}\n" for x in text.split("\n")) + " */"
+    odd = [GPL2.replace("Foundation; either", "Foundation, either"), comment(GPL), comment(GPL2), comment(MPL), "a license; This program is free software: no", MPL.replace("v. 2.0", "v. 1.1") + "\n\n2.0", MPL.replace("v. 2.0", "v. 2.1")]
+    rows = list(enumerate([*texts.values(), *odd]))
+    got = sorted((r.doc_id, r.license, r.kind, r.sentences) for r in scan_licenses(docs(spark, rows)).collect())
+    want = [(k, name, kind, " ".join(needed)) for k, (name, kind, needed) in enumerate(texts)]
+    want += [(len(texts) + k, *[(name, kind, " ".join(needed)) for name, kind, needed in RULES if name == found][0]) for k, found in enumerate(["GPL-2.0-or-later", "GPL-3.0-or-later", "GPL-2.0-or-later", "MPL-2.0"])]
+    assert got == want
+
+
 def test_lcs_against_dynamic_programming(monkeypatch):
     import gleanery.llm.html_extract as h
 
