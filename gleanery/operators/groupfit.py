@@ -77,23 +77,24 @@ def score_groups(df: DataFrame, features: Sequence[str], group_col: str | None,
 # K-means ------------------------------------------------------------------------------------------
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, steps: int = 100) -> np.ndarray:
-    """Centres of the best of several k-means++ starts, sorted so that equal data give equal numbers."""
+def kmeans(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, steps: int = 100, counts: np.ndarray | None = None) -> np.ndarray:
+    """Centres of the best of several k-means++ starts, sorted so that equal data give equal numbers. A row counts as often as ``counts`` says."""
     rng, k = np.random.default_rng(seed), min(k, len(np.unique(x, axis=0)))
+    w = np.ones(len(x)) if counts is None else counts.astype(np.float64)
     best, lowest = None, math.inf
     for _ in range(starts):
-        centres = [x[rng.integers(len(x))]]
+        centres = [x[rng.choice(len(x), p=w / w.sum())]]
         for _ in range(k - 1):
-            near = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
+            near = w * np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
             centres.append(x[rng.choice(len(x), p=near / near.sum())])
         centres = np.array(centres)
         for _ in range(steps):
             label = _nearest(x, centres)[0]
-            moved = np.array([x[label == j].mean(0) if (label == j).any() else centres[j] for j in range(k)])
+            moved = np.array([np.average(x[label == j], axis=0, weights=w[label == j]) if (label == j).any() else centres[j] for j in range(k)])
             if np.allclose(moved, centres):
                 break
             centres = moved
-        cost = float((_nearest(x, centres)[1] ** 2).sum())
+        cost = float((w * _nearest(x, centres)[1] ** 2).sum())
         if cost < lowest - 1e-9:
             best, lowest = centres, cost
     return best[np.lexsort(best.T[::-1])]
@@ -295,9 +296,9 @@ def label_score(df: DataFrame, features: Sequence[str], id_col: str, labelled: D
 PIXELS = 2000
 
 
-def palette(pixels: np.ndarray, n_colors: int = 5, space: str = "lab", seed: int = 0) -> dict:
-    """Shared palette of pooled BGR pixels; hsv is scaled to 0..1 so that hue doesn't outweigh the rest."""
-    return {"space": space, "centres": kmeans(_in_space(pixels, space), n_colors, seed, starts=4).tolist()}
+def palette(pixels: np.ndarray, n_colors: int = 5, space: str = "lab", seed: int = 0, counts: np.ndarray | None = None) -> dict:
+    """Shared palette of pooled BGR pixels, each counted as often as ``counts`` says; hsv is scaled to 0..1 so that hue doesn't outweigh the rest."""
+    return {"space": space, "centres": kmeans(_in_space(pixels, space), n_colors, seed, starts=4, counts=counts).tolist()}
 
 
 def _in_space(pixels: np.ndarray, space: str) -> np.ndarray:
@@ -311,16 +312,44 @@ def palette_shares(pixels: np.ndarray, model: dict) -> dict[str, Any]:
     return {f"color_{k}": float(c / counts.sum()) for k, c in enumerate(counts)} | {"dominant": int(counts.argmax())}
 
 
-def chroma_gate(chroma: np.ndarray, hue: np.ndarray, bins: int = 20, least: int = 50) -> float:
+def pooled_colours(pixels: DataFrame, group_col: str, pixels_col: str) -> DataFrame:
+    """(group, colour, n): how often a group's pixels have a BGR colour, so that a pool of any size is at most 2**24 rows."""
+
+    def distinct(frames):
+        for pdf in frames:
+            for group, part in pdf.groupby(group_col, dropna=False):
+                px = np.frombuffer(b"".join(part[pixels_col]), np.uint8).reshape(-1, 3).astype(np.int32)
+                colour, n = np.unique(px[:, 0] << 16 | px[:, 1] << 8 | px[:, 2], return_counts=True)
+                yield pd.DataFrame({"group": group, "colour": colour, "n": n})
+
+    return pixels.select(group_col, pixels_col).mapInPandas(distinct, "group string, colour int, n long").groupBy("group", "colour").agg(F.sum("n").alias("n"))
+
+
+def colour_pixels(colour: np.ndarray) -> np.ndarray:
+    """The BGR pixel of each colour of ``pooled_colours``."""
+    return np.column_stack((colour >> 16, colour >> 8 & 255, colour & 255)).astype(np.uint8)
+
+
+def _quantiles(x: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """np.quantile of each value repeated as often as its count."""
+    order = np.argsort(x, kind="stable")
+    ends = np.cumsum(counts[order])
+    at = shares * (ends[-1] - 1)
+    low, high = (x[order][np.searchsorted(ends, k, side="right")].astype(np.float64) for k in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * (at - np.floor(at))
+
+
+def chroma_gate(chroma: np.ndarray, hue: np.ndarray, bins: int = 20, least: int = 50, counts: np.ndarray | None = None) -> float:
     """The chroma from which hue is settled: the first of equally filled bins from which the circular variance stays within 1.5 times the median of the last quarter."""
-    edges = np.quantile(chroma, np.linspace(0, 1, bins + 1))
+    counts = np.ones(len(chroma), dtype=np.int64) if counts is None else counts
+    edges = _quantiles(chroma, counts, np.linspace(0, 1, bins + 1))
     place = np.clip(np.searchsorted(edges, chroma, side="right") - 1, 0, bins - 1)
     starts, spread = [], []
     for k in range(bins):
-        angle = np.radians(hue[place == k])
-        if len(angle) >= least:
+        angle, n = np.radians(hue[place == k]), counts[place == k]
+        if n.sum() >= least:
             starts.append(float(edges[k]))
-            spread.append(1 - math.hypot(np.cos(angle).mean(), np.sin(angle).mean()))
+            spread.append(1 - math.hypot(np.average(np.cos(angle), weights=n), np.average(np.sin(angle), weights=n)))
     if not spread:
         return float(edges[0])
     limit = 1.5 * float(np.median(spread[-max(1, len(spread) // 4) :]))
@@ -330,12 +359,12 @@ def chroma_gate(chroma: np.ndarray, hue: np.ndarray, bins: int = 20, least: int
     return starts[-1]
 
 
-def hue_ranges(hue: np.ndarray, bandwidth: float = 10.0, relative_height: float = 0.5, most: int = 8) -> list[tuple[float, float]]:
+def hue_ranges(hue: np.ndarray, bandwidth: float = 10.0, relative_height: float = 0.5, most: int = 8, counts: np.ndarray | None = None) -> list[tuple[float, float]]:
     """Arcs between the valleys of the wrapped kernel density of hues; a valley counts up to a share of the peak, the deepest are kept. One arc is the whole circle."""
-    counts = np.bincount(np.floor(hue).astype(int) % 360, minlength=360).astype(np.float64)
+    full = np.bincount(np.floor(hue).astype(int) % 360, counts, minlength=360).astype(np.float64)
     apart = np.minimum(np.arange(360), 360 - np.arange(360))
     kernel = np.exp(-0.5 * (apart / bandwidth) ** 2)
-    density = np.fft.irfft(np.fft.rfft(counts) * np.fft.rfft(kernel), 360)
+    density = np.fft.irfft(np.fft.rfft(full) * np.fft.rfft(kernel), 360)
     density = np.maximum(density, 0)
     change = np.flatnonzero(~np.isclose(density, np.roll(density, 1), rtol=1e-9, atol=1e-12 * density.max()))
     valleys = []
@@ -351,11 +380,12 @@ def hue_ranges(hue: np.ndarray, bandwidth: float = 10.0, relative_height: float
     return list(zip(valleys, valleys[1:] + valleys[:1], strict=True))
 
 
-def hue_definition(pixels: np.ndarray, bins: int = 20, least: int = 50, bandwidth: float = 10.0, relative_height: float = 0.5, most: int = 8) -> dict:
-    """Thresholds that a group's own pixels suggest: achromatic below the gate, hue_<k> arcs above it."""
+def hue_definition(pixels: np.ndarray, bins: int = 20, least: int = 50, bandwidth: float = 10.0, relative_height: float = 0.5, most: int = 8, counts: np.ndarray | None = None) -> dict:
+    """Thresholds that a group's own pixels, each counted as often as ``counts`` says, suggest: achromatic below the gate, hue_<k> arcs above it."""
     lch = convert(pixels.astype(np.uint8), "lch").astype(np.float64)
-    gate = chroma_gate(lch[:, 1], lch[:, 2], bins, least)
-    colourful = lch[lch[:, 1] >= gate]
-    arcs = hue_ranges(colourful[:, 2], bandwidth, relative_height, most) if len(colourful) else []
+    gate = chroma_gate(lch[:, 1], lch[:, 2], bins, least, counts)
+    above = lch[:, 1] >= gate
+    colourful = lch[above]
+    arcs = hue_ranges(colourful[:, 2], bandwidth, relative_height, most, None if counts is None else counts[above]) if len(colourful) else []
     rules = [ColorThreshold("achromatic", (("lch", "c", None, gate),))] + [ColorThreshold(f"hue_{k}", (("lch", "c", gate, None), ("lch", "h", a, b))) for k, (a, b) in enumerate(arcs)]
     return {"gate": gate, "hue_ranges": arcs, "thresholds": [r.spec() for r in rules]}

@@ -657,8 +657,8 @@ class Project:
         self.store_values(scored, run_name, kind, part, identity={"features": list(features), "from_recipe": source["recipe_hash"], "population": population["ids_hash"], "group_col": group_col, "how": _plain(how), "bad": _plain(bad_labels)})
         return scored
 
-    def pooled_pixels(self, part: str = ORGANISM, group_col: str | None = None, per_occurrence: int = groupfit.PIXELS, reference: bool = False) -> DataFrame:
-        """(occurrence_id, group, pixels): at most so many masked BGR pixels of each occurrence, drawn with a fixed seed."""
+    def pooled_pixels(self, part: str = ORGANISM, group_col: str | None = None, per_occurrence: int | None = groupfit.PIXELS, reference: bool = False) -> DataFrame:
+        """(occurrence_id, group, pixels): at most so many masked BGR pixels of each occurrence, drawn with a fixed seed; all with None."""
         work = self.images().select(ID, "height", "width", "data").join(self._sources(part, reference), ID)
         work = work.join(self.occurrences().select(ID, F.col(group_col).cast("string").alias("group")), ID) if group_col else work.withColumn("group", F.lit(None).cast("string"))
 
@@ -676,10 +676,11 @@ class Project:
 
         return work.mapInPandas(draw, f"{ID} string, group string, pixels binary")
 
-    def pixel_metric(self, kind: str, run_name: str, part: str = ORGANISM, group_col: str | None = None, min_group_size: int = 5, max_occurrences: int = 500, **how: Any) -> DataFrame:
+    def pixel_metric(self, kind: str, run_name: str, part: str = ORGANISM, group_col: str | None = None, min_group_size: int = 5, max_occurrences: int | None = None, **how: Any) -> DataFrame:
         """Fit a shared palette (color_clusters) or hue ranges (inductive_color_thresholds) per group on pooled pixels, and store every occurrence's shares.
 
-        A group's fit pools at most ``max_occurrences`` occurrences, drawn by a hash of the id.
+        A fit pools the drawn pixels of all of a group's occurrences, or of ``max_occurrences`` drawn by a hash of the
+        id. Palettes are scored on the drawn pixels, hue ranges on every masked pixel.
         """
         import numpy as np
         import pandas as pd
@@ -687,14 +688,16 @@ class Project:
         pixels = tables.written(self.pooled_pixels(part, group_col))
         sizes = pixels.groupBy("group").count().where(F.col("group").isNotNull() & (F.col("count") >= min_group_size)).select("group")
         every = pixels.join(sizes, "group", "left_semi").select("group", ID, "pixels").union(pixels.select(F.lit(groupfit.POPULATION), ID, "pixels"))
-        picked = selection.cap_per_group(every, "group", max_occurrences, ID)
+        picked = selection.cap_per_group(every, "group", max_occurrences, ID) if max_occurrences is not None else every
         fit = {"color_clusters": groupfit.palette, "inductive_color_thresholds": groupfit.hue_definition}[kind]
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pool = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 3) for x in pdf.sort_values(ID)["pixels"]])
-            return pd.DataFrame({"group": [pdf["group"].iloc[0]], "model": [json.dumps(fit(pool, **how))]})
+            pdf = pdf.sort_values("colour")
+            model = fit(groupfit.colour_pixels(pdf["colour"].to_numpy()), **how, counts=pdf["n"].to_numpy())
+            return pd.DataFrame({"group": [pdf["group"].iloc[0]], "model": [json.dumps(model)]})
 
-        models = {r["group"]: json.loads(r["model"]) for r in picked.groupBy("group").applyInPandas(one, "group string, model string").collect()}
+        pool = groupfit.pooled_colours(picked, "group", "pixels")
+        models = {r["group"]: json.loads(r["model"]) for r in pool.groupBy("group").applyInPandas(one, "group string, model string").collect()}
         shared = self.spark.sparkContext.broadcast(models)
 
         def score(frames):
@@ -712,7 +715,8 @@ class Project:
                     out.append((row.occurrence_id, canonical_json(value | {"group": None if own == groupfit.POPULATION else own})))
                 yield pd.DataFrame(out, columns=[ID, "value_json"])
 
-        scored = tables.written(pixels.mapInPandas(score, f"{ID} string, value_json string"))
+        measured = pixels if kind == "color_clusters" else self.pooled_pixels(part, group_col, None)
+        scored = tables.written(measured.mapInPandas(score, f"{ID} string, value_json string"))
         recipe = Recipe("metric", run_name, [Operation(kind, _stored, "metric", {"models": models}, metric_name=kind, unit="fraction")], part)
         self._pin(recipe, True)
         run_id = self._start(recipe, None)

@@ -1,10 +1,15 @@
 """One project from images to an export, with the drawn specimens of FIXTURES.md."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.functions import raster
+from gleanery.functions.color import convert
 from gleanery.functions.raster import png_bytes
+from gleanery.operators import groupfit
 from gleanery.plans import recipes as r
 from gleanery.plans.project import ID, Project
 from gleanery.sources import tables
@@ -125,6 +130,42 @@ def test_fitted_metrics_and_products(project, tmp_path):
     assert p.exemplars_per_group("base", "device", "area_px", normalize=False).count() == 2
 
 
+def test_hue_ranges_are_scored_on_every_masked_pixel(spark, tmp_path):
+    (tmp_path / "images").mkdir()
+    for k in range(2):
+        image = specimen(k)
+        inside = image[..., 0] > 100
+        rows = np.arange(220)[:, None] * np.ones((1, 280))
+        image[inside & (rows < 100 + k)] = (200, 120, 60)
+        image[inside & (rows >= 100 + k)] = (90, 120, 220)
+        image[inside] += np.random.default_rng(k).integers(0, 30, (int(inside.sum()), 3)).astype(np.uint8)
+        (tmp_path / f"images/s{k}.png").write_bytes(png_bytes(image))
+    p = Project(spark, str(tmp_path / "p"))
+    p.ingest_images(str(tmp_path / "images"), spark.createDataFrame([("s0",), ("s1",)], f"{ID} string"))
+    p.run_segments([r.segment(r.BrightnessModel())], "organisms")
+    full = {x[ID]: np.frombuffer(x["pixels"], np.uint8).reshape(-1, 3) for x in p.pooled_pixels(per_occurrence=None).collect()}
+    assert all(len(px) > groupfit.PIXELS for px in full.values())
+    scored = p.pixel_metric("inductive_color_thresholds", "hues").collect()
+    model = p.describe_run(name="hues")["recipe"]["operations"][0]["parameters"]["models"][groupfit.POPULATION]
+    for x in scored:
+        px, got = full[x[ID]], json.loads(x["value_json"])
+        want = raster.threshold_fractions(raster.Segment(px[None], np.ones((1, len(px)), bool)), model["thresholds"])
+        assert {k: got[k] for k in want} == want and any(0 < v < 1 for v in want.values())
+
+
+def test_fits_pool_every_occurrence(spark, tmp_path, monkeypatch):
+    p = Project(spark, str(tmp_path / "pool"))
+    px = np.random.default_rng(3).integers(0, 256, (600, 3)).astype(np.uint8)
+    pool = spark.createDataFrame([(f"o{k}", None, px[k].tobytes()) for k in range(600)], f"{ID} string, group string, pixels binary")
+    monkeypatch.setattr(p, "pooled_pixels", lambda *_: pool)
+    assert p.pixel_metric("color_clusters", "palette", n_colors=1).count() == 600
+    models = p.describe_run(name="palette")["recipe"]["operations"][0]["parameters"]["models"]
+    assert np.allclose(models[groupfit.POPULATION]["centres"][0], convert(px, "lab").astype(float).mean(0))
+    repeated, counts = np.repeat(px, np.arange(600) % 7 + 1, axis=0), np.arange(600) % 7 + 1
+    one, many = groupfit.hue_definition(px, counts=counts), groupfit.hue_definition(repeated)
+    assert np.allclose(one["gate"], many["gate"]) and np.allclose(one["hue_ranges"], many["hue_ranges"])
+
+
 def test_downloads_remember_failures(spark, tmp_path):
     p = Project(spark, str(tmp_path / "d"))
     p.save_occurrences(spark.createDataFrame([("a", "mem://1"), ("b", "mem://bad"), ("c", None), ("d", "mem://text")], f"{ID} string, image_url string"))
