@@ -1,13 +1,15 @@
 """Models fitted per group with a fallback for the whole population: clusters, outliers, scores from labels, palettes, hue ranges.
 
-Groups are fitted in parallel by Arrow group tasks on a bounded, seeded sample of each group; the fits are a small
-table that every row of any size is then scored against. Whole-population clustering uses pyspark.ml.
+Clusters are fitted on all rows: small groups in parallel by Arrow group tasks, large ones in rounds of partial sums
+over all tasks. Each tree of a forest draws from its whole group. The fits are a small table that every row of any size
+is then scored against. Whole-population clustering uses pyspark.ml.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import pickle
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -18,35 +20,90 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.color import ColorThreshold, convert
 from gleanery.functions.nulls import missing
+from gleanery.sources.tables import written
 
-#: Rows of a group that a model is fitted on.
+#: Rows of a group that one task fits by itself (label_score: that are fitted at all).
 FIT_ROWS = 20_000
 POPULATION = "\0all"
 
 
-def fit_groups(df: DataFrame, features: Sequence[str], group_col: str | None, id_col: str, fit: Callable[[np.ndarray], Any], min_group_size: int = 1, fit_rows: int = FIT_ROWS) -> dict[str, Any]:
-    """{group: model} for every large enough group and POPULATION for all rows.
+def group_rows(df: DataFrame, features: Sequence[str], group_col: str | None, id_col: str, min_group_size: int = 1) -> tuple[DataFrame, dict[str, int]]:
+    """(key, g, v) of the rows of every large enough group and again of all rows as POPULATION, and the groups' sizes.
 
-    Only rows with every feature count. ``fit`` takes an array (at most ``fit_rows`` rows, drawn by a hash of the id)
-    and returns something JSON can hold; the models come to the driver, one small record a group.
+    Only rows with every feature count; ``key`` is a hash of the id. The sizes come to the driver.
     """
     good = df
     for f in features:
         good = good.where(~missing(df, f))
     values = F.array(*[F.col(f).cast("double") for f in features])
-    rows = good.select(F.col(id_col).cast("string").alias("id"), (F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")).alias("g"), values.alias("v"))
-    named = rows.where("g is not null") if group_col else rows.limit(0)
-    sizes = named.groupBy("g").count().where(F.col("count") >= min_group_size).select("g")
-    grouped = named.join(sizes, "g", "left_semi")
-    every = grouped.select("id", "g", "v").union(rows.select("id", F.lit(POPULATION), "v"))
-    order = Window.partitionBy("g").orderBy(F.sha2("id", 256), "id")
-    sample = every.withColumn("k", F.row_number().over(order)).where(F.col("k") <= fit_rows).drop("k")
+    rows = written(good.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), (F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")).alias("g"), values.alias("v")))
+    counted = rows.where("g is not null").groupBy("g").count().where(F.col("count") >= min_group_size)
+    sizes = {r["g"]: r["count"] for r in counted.collect()} if group_col else {}
+    every = rows.select("key", F.lit(POPULATION).alias("g"), "v")
+    if sizes:
+        every = rows.join(counted.select("g"), "g", "left_semi").select("key", "g", "v").union(every)
+    n = rows.count()
+    return every, sizes | ({POPULATION: n} if n else {})
+
+
+def fit_groups(rows: DataFrame, fit: Callable[[np.ndarray, np.ndarray, str], Any]) -> dict[str, Any]:
+    """{group: model} of all given rows, a task a group: ``fit`` takes their values, their keys and the group and returns something JSON can hold."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "n": [len(pdf)], "model": [json.dumps(fit(np.stack(pdf["v"].to_numpy())))]})
+        keys, x = _arrays(pdf)
+        order = np.lexsort((*x.T[::-1], keys))
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "model": [json.dumps(fit(x[order], keys[order], pdf["g"].iloc[0]))]})
+
+    return {r["g"]: json.loads(r["model"]) for r in rows.groupBy("g").applyInPandas(one, "g string, model string").collect()}
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return pdf["key"].to_numpy(), np.stack(pdf["v"].to_numpy())
 
-    return {r["g"]: json.loads(r["model"]) | {"n": r["n"]} for r in sample.groupBy("g").applyInPandas(one, "g string, n long, model string").collect()}
+
+def _packed(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(g, n, keys, v) with many rows of a group as bytes in one, so that passes over them don't unpack rows; a task of a pass has about FIT_ROWS rows or more."""
+
+    def run(frames):
+        for pdf in frames:
+            for g, some in pdf.groupby("g", sort=False):
+                keys, x = _arrays(some)
+                yield pd.DataFrame({"g": [g], "n": [len(x)], "keys": [keys.tobytes()], "v": [x.tobytes()]})
+
+    return written(rows.where(F.col("g").isin(list(sizes))).mapInPandas(run, "g string, n long, keys binary, v binary")).coalesce(math.ceil(sum(sizes.values()) / FIT_ROWS))
+
+
+def _look(packed: DataFrame, states: dict[str, Any], part: Callable[[Any, np.ndarray, np.ndarray], Any], merge: Callable[[Any, Any], Any]) -> dict[str, Any]:
+    """{group: what all its rows come to} in one pass: ``part`` sees a state and some rows, a task sends one small record a group."""
+    shared = packed.sparkSession.sparkContext.broadcast(states)
+
+    def run(frames):
+        seen = {}
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                if r.g in shared.value:
+                    got = part(shared.value[r.g], np.frombuffer(r.v).reshape(r.n, -1), np.frombuffer(r.keys, np.int64))
+                    seen[r.g] = merge(seen[r.g], got) if r.g in seen else got
+        yield pd.DataFrame({"g": list(seen), "seen": [pickle.dumps(v) for v in seen.values()]})
+
+    out: dict[str, Any] = {}
+    for r in packed.mapInPandas(run, "g string, seen binary").collect():
+        got = pickle.loads(r["seen"])
+        out[r["g"]] = merge(out[r["g"]], got) if r["g"] in out else got
+    shared.unpersist()
+    return out
+
+
+def _uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """A number between 0 and 1 for each key, by the key and the salt alone."""
+    x = keys.astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        for s in (*salt, 0):
+            x = x + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
 def score_groups(df: DataFrame, features: Sequence[str], group_col: str | None, id_col: str, models: dict[str, Any], score: Callable[[np.ndarray, Any], dict[str, np.ndarray]], schema: str) -> DataFrame:
@@ -77,27 +134,82 @@ def score_groups(df: DataFrame, features: Sequence[str], group_col: str | None,
 # K-means ------------------------------------------------------------------------------------------
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, steps: int = 100, counts: np.ndarray | None = None) -> np.ndarray:
-    """Centres of the best of several k-means++ starts, sorted so that equal data give equal numbers. A row counts as often as ``counts`` says."""
-    rng, k = np.random.default_rng(seed), min(k, len(np.unique(x, axis=0)))
-    w = np.ones(len(x)) if counts is None else counts.astype(np.float64)
-    best, lowest = None, math.inf
-    for _ in range(starts):
-        centres = [x[rng.choice(len(x), p=w / w.sum())]]
-        for _ in range(k - 1):
-            near = w * np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-            centres.append(x[rng.choice(len(x), p=near / near.sum())])
-        centres = np.array(centres)
-        for _ in range(steps):
-            label = _nearest(x, centres)[0]
-            moved = np.array([np.average(x[label == j], axis=0, weights=w[label == j]) if (label == j).any() else centres[j] for j in range(k)])
-            if np.allclose(moved, centres):
-                break
-            centres = moved
-        cost = float((w * _nearest(x, centres)[1] ** 2).sum())
-        if cost < lowest - 1e-9:
-            best, lowest = centres, cost
-    return best[np.lexsort(best.T[::-1])]
+class KMeans:
+    """Lloyd's rounds from several k-means++ starts at once, over rows in any number of parts: ``part`` looks at some of the rows, ``update`` takes what all parts come to.
+
+    The next centre is drawn by a race: each row's time is exponential with its weighted squared distance as the
+    rate, by a hash of its key, and the first row wins, so that the parts don't matter.
+    """
+
+    def __init__(self, k: int, seed: int = 0, starts: int = 10, steps: int = 100):
+        self.k, self.seed, self.steps, self.round = k, seed, steps, 0
+        self.centres: list[list | np.ndarray] = [[] for _ in range(starts)]
+        self.cost: dict[int, float] = {}
+
+    def open(self) -> list[int]:
+        return [s for s in range(len(self.centres)) if s not in self.cost]
+
+    def part(self, x: np.ndarray, keys: np.ndarray, w: np.ndarray | None = None) -> dict[int, tuple | None]:
+        w = np.ones(len(x)) if w is None else w
+        return {s: self._first(s, x, keys, w) if self.round < self.k else self._sums(s, x, w) for s in self.open()}
+
+    def _first(self, s, x, keys, w):
+        near = np.ones(len(x))
+        for j, c in enumerate(self.centres[s]):
+            square = ((x - c) ** 2).sum(1)
+            near = np.minimum(near, square) if j else square
+        with np.errstate(divide="ignore"):
+            time = -np.log(_uniform(keys, self.seed, s, self.round)) / (w * near)
+        at = time.argmin()
+        return (float(time[at]), tuple(x[at].tolist())) if np.isfinite(time[at]) else None
+
+    def _sums(self, s, x, w):
+        label, distance = _nearest(x, self.centres[s])
+        n = len(self.centres[s])
+        return np.bincount(label, w, n), np.column_stack([np.bincount(label, w * v, n) for v in x.T]), float((w * distance**2).sum())
+
+    @staticmethod
+    def merge(a: dict, b: dict) -> dict:
+        def two(p, q):
+            if p is None or q is None:
+                return p if q is None else q
+            return min(p, q) if len(p) == 2 else tuple(v + u for v, u in zip(p, q, strict=True))
+
+        return {s: two(a[s], b[s]) for s in a}
+
+    def update(self, seen: dict[int, tuple | None]) -> None:
+        for s, got in seen.items():
+            if self.round < self.k:
+                if got is not None:
+                    self.centres[s].append(np.array(got[1]))
+                continue
+            counts, sums, cost = got
+            moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1e-300)[:, None], self.centres[s])
+            if self.round == self.k + self.steps or np.allclose(moved, self.centres[s]):
+                self.cost[s] = cost
+            else:
+                self.centres[s] = moved
+        self.round += 1
+        if self.round == self.k:
+            self.centres = [np.array(c) for c in self.centres]
+
+    def best(self) -> np.ndarray:
+        """Sorted, so that equal data give equal numbers."""
+        lowest = None
+        for s in range(len(self.centres)):
+            if lowest is None or self.cost[s] < self.cost[lowest] - 1e-9:
+                lowest = s
+        centres = self.centres[lowest]
+        return centres[np.lexsort(centres.T[::-1])]
+
+
+def kmeans(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, steps: int = 100, counts: np.ndarray | None = None, keys: np.ndarray | None = None) -> np.ndarray:
+    """Centres of the best of several starts. A row counts as often as ``counts`` says; ``keys`` decide the draws."""
+    model = KMeans(k, seed, starts, steps)
+    keys = np.arange(len(x)) if keys is None else keys
+    while model.open():
+        model.update(model.part(x, keys, None if counts is None else counts.astype(np.float64)))
+    return model.best()
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,29 +224,59 @@ def _scaled(x: np.ndarray, components: int | None) -> tuple[np.ndarray, dict]:
     spread[spread == 0] = 1
     z = (x - mean) / spread
     _, _, axes = np.linalg.svd(z - z.mean(0), full_matrices=False)
-    axes = axes[:components]
-    axes *= np.where(axes[np.arange(len(axes)), np.abs(axes).argmax(1)] < 0, -1, 1)[:, None]
+    axes = _turned(axes[:components])
     return z @ axes.T, {"mean": mean.tolist(), "spread": spread.tolist(), "axes": axes.tolist()}
 
 
+def _turned(axes: np.ndarray) -> np.ndarray:
+    return axes * np.where(axes[np.arange(len(axes)), np.abs(axes).argmax(1)] < 0, -1, 1)[:, None]
+
+
+def _scaled_rows(packed: DataFrame, sizes: dict[str, int], components: int | None) -> dict[str, dict]:
+    """What ``_scaled`` returns second, for large groups: sums over all rows, then products of what is left."""
+    sums = _look(packed, dict.fromkeys(sizes), lambda _, x, __: x.sum(0), np.add)
+    means = {g: v / sizes[g] for g, v in sums.items()}
+    products = _look(packed, means, lambda mean, x, _: (x - mean).T @ (x - mean), np.add)
+    out = {}
+    for g, p in products.items():
+        spread = np.sqrt(np.diag(p) / sizes[g])
+        spread[spread == 0] = 1
+        axes = _turned(np.linalg.eigh(p / np.outer(spread, spread))[1].T[::-1][:components])
+        out[g] = {"mean": means[g].tolist(), "spread": spread.tolist(), "axes": axes.tolist()}
+    return out
+
+
 def _reduced(x: np.ndarray, how: dict | None) -> np.ndarray:
     return x if how is None else (x - np.array(how["mean"])) / np.array(how["spread"]) @ np.array(how["axes"]).T
 
 
 def cluster(df: DataFrame, features: Sequence[str], id_col: str, group_col: str | None = None, n_clusters: int = 3, min_group_size: int = 1, n_components: int | None = None, seed: int = 0) -> DataFrame:
-    """(id, group, cluster_id, centroid_distance): k-means per group, optionally after standardising and PCA."""
+    """(id, group, cluster_id, centroid_distance): k-means per group over all its rows, optionally after standardising and PCA.
+
+    Groups of up to FIT_ROWS rows are fitted in a task each, larger ones in rounds over all tasks, by the same steps.
+    """
 
-    def fit(x):
+    def fit(x, keys, _):
         how = None
         if n_components:
             x, how = _scaled(x, n_components)
-        return {"centres": kmeans(x, n_clusters, seed).tolist(), "how": how}
+        return {"centres": kmeans(x, n_clusters, seed, keys=keys).tolist(), "how": how}
 
     def score(x, model):
         label, distance = _nearest(_reduced(x, model["how"]), np.array(model["centres"]))
         return {"cluster_id": label.astype(np.int32), "centroid_distance": distance}
 
-    models = fit_groups(df, features, group_col, id_col, fit, min_group_size)
+    rows, sizes = group_rows(df, features, group_col, id_col, min_group_size)
+    large = {g: n for g, n in sizes.items() if n > FIT_ROWS}
+    models = fit_groups(rows.where(~F.col("g").isin(list(large))) if large else rows, fit)
+    if large:
+        packed = _packed(rows, large)
+        how = _scaled_rows(packed, large, n_components) if n_components else dict.fromkeys(large)
+        rounds = {g: KMeans(n_clusters, seed) for g in large}
+        while still := {g: (m, how[g]) for g, m in rounds.items() if m.open()}:
+            for g, seen in _look(packed, still, lambda held, x, keys: held[0].part(_reduced(x, held[1]), keys), KMeans.merge).items():
+                rounds[g].update(seen)
+        models |= {g: {"centres": m.best().tolist(), "how": how[g]} for g, m in rounds.items()}
     return score_groups(df, features, group_col, id_col, models, score, "cluster_id int, centroid_distance double")
 
 
@@ -166,12 +308,19 @@ def _depth_of(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def isolation_forest(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0) -> dict:
-    """Random trees that isolate rows, as flat arrays."""
+#: Trees of a forest and the rows that each draws.
+TREES, TREE_ROWS = 100, 256
+#: Rows of a group that are expected to compete for a tree's places; with fewer than TREE_ROWS, all do.
+RIVALS = 400
+
+
+def isolation_forest(x: np.ndarray, trees: int = TREES, sample: int = TREE_ROWS, seed: int = 0, keys: np.ndarray | None = None) -> dict:
+    """Random trees that isolate rows, as flat arrays. Each takes the rows whose keys hash lowest for it."""
+    keys = np.arange(len(x)) if keys is None else keys
     rng, grown = np.random.default_rng(seed), []
     size = min(sample, len(x))
     limit = math.ceil(math.log2(max(2, size)))
-    for _ in range(trees):
+    for tree in range(trees):
         nodes: list[list] = []
 
         def grow(rows: np.ndarray, depth: int, nodes=nodes) -> int:
@@ -188,7 +337,7 @@ def isolation_forest(x: np.ndarray, trees: int = 100, sample: int = 256, seed: i
                     nodes[at][3] = grow(rows[~left], depth + 1)
             return at
 
-        grow(rng.choice(len(x), size, replace=False), 0)
+        grow(np.argsort(_uniform(keys, seed, tree), kind="stable")[:size], 0)
         grown.append(nodes)
     return {"trees": grown, "size": size}
 
@@ -211,9 +360,34 @@ def isolation_score(x: np.ndarray, model: dict) -> dict[str, np.ndarray]:
     return {"anomaly_score": score, "is_outlier": score < 0}
 
 
+def _rivals(rows: DataFrame, shares: dict[str, float], seed: int) -> DataFrame:
+    """The rows whose keys hash below their group's share for some tree: all that a tree can take, and a bounded number a group."""
+    shared = rows.sparkSession.sparkContext.broadcast(shares)
+
+    def run(frames):
+        for pdf in frames:
+            share, keys = pdf["g"].map(shared.value).to_numpy(dtype=np.float64), pdf["key"].to_numpy()
+            keep = share >= 1
+            for tree in range(TREES):
+                keep |= _uniform(keys, seed, tree) < share
+            yield pdf[keep]
+
+    return rows.where(F.col("g").isin(list(shares))).mapInPandas(run, rows.schema)
+
+
 def outlier(df: DataFrame, features: Sequence[str], id_col: str, group_col: str | None = None, min_group_size: int = 1, seed: int = 0) -> DataFrame:
-    """(id, group, anomaly_score, is_outlier) by an isolation forest per group."""
-    models = fit_groups(df, features, group_col, id_col, lambda x: isolation_forest(x, seed=seed), min_group_size)
+    """(id, group, anomaly_score, is_outlier) by an isolation forest per group, each tree's rows drawn from the whole group."""
+    rows, sizes = group_rows(df, features, group_col, id_col, min_group_size)
+    models: dict[str, Any] = {}
+    for rivals in (RIVALS, math.inf):
+        shares = {g: min(1.0, rivals / n) for g, n in sizes.items() if g not in models}
+
+        def fit(x, keys, g, shares=shares):
+            short = shares[g] < 1 and any((_uniform(keys, seed, tree) < shares[g]).sum() < TREE_ROWS for tree in range(TREES))
+            return None if short else isolation_forest(x, seed=seed, keys=keys)
+
+        if shares:
+            models |= {g: m for g, m in fit_groups(_rivals(rows, shares, seed), fit).items() if m}
     return score_groups(df, features, group_col, id_col, models, isolation_score, "anomaly_score double, is_outlier boolean")
 
 

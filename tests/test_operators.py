@@ -176,6 +176,36 @@ def test_group_models(spark):
     assert len(groupfit.hue_ranges(np.concatenate((rng.normal(60, 5, 500), rng.normal(200, 5, 500))) % 360)) == 2
 
 
+def keyed(df, id_col, *cols):
+    """Values and keys of a frame in the order of the fits."""
+    got = df.select(F.xxhash64(F.col(id_col).cast("string")).alias("key"), *cols).toPandas()
+    x, keys = got[list(cols)].to_numpy(dtype=float), got["key"].to_numpy()
+    order = np.lexsort((*x.T[::-1], keys))
+    return x[order], keys[order]
+
+
+def test_clusters_and_outliers_are_fitted_on_all_rows(spark):
+    """25,000 rows, one group: the centres are a fixed point of all of them, and the forest is that of all of them."""
+    n = 25_000
+    df = spark.range(n).select("id", F.lit("a").alias("g"), *[(F.randn(k) * (k + 1) + (F.col("id") % 3) * 4).alias(f"f{k}") for k in range(3)]).localCheckpoint()
+    names = ["f0", "f1", "f2"]
+    x, keys = keyed(df, "id", *names)
+    got = groupfit.cluster(df, names, "id", "g", 3).toPandas().merge(df.toPandas(), on="id")
+    assert len(got) == n and set(got["group"]) == {"a"}
+    means = got.groupby("cluster_id")[names].mean().to_numpy()
+    assert np.allclose(got["centroid_distance"], np.sqrt(((got[names].to_numpy() - means[got["cluster_id"]]) ** 2).sum(1)), atol=1e-3)
+    want = groupfit.kmeans(x, 3, keys=keys)
+    assert np.allclose(got.groupby("cluster_id")[names].mean().to_numpy(), want, atol=1e-3)
+    assert np.allclose(got["centroid_distance"], np.sqrt(((got[names].to_numpy() - want[got["cluster_id"]]) ** 2).sum(1)), atol=1e-9)
+    z, how = groupfit._scaled(x, 2)
+    reduced = groupfit.cluster(df, names, "id", "g", 3, n_components=2).toPandas().merge(df.toPandas(), on="id")
+    want = groupfit.kmeans(z, 3, keys=keys)
+    assert np.allclose(reduced["centroid_distance"], groupfit._nearest(groupfit._reduced(reduced[names].to_numpy(), how), want)[1], atol=1e-6)
+    forest = groupfit.isolation_forest(x, keys=keys)
+    odd = groupfit.outlier(df, names, "id", "g").toPandas().merge(df.toPandas(), on="id")
+    assert len(odd) == n and np.allclose(odd["anomaly_score"], groupfit.isolation_score(odd[names].to_numpy(), forest)["anomaly_score"], atol=1e-12)
+
+
 def test_collage():
     assert len(collage.rings(20)) == 20 and len(collage.spiral(9)) == 9 and len(collage.phyllotaxis(7)) == 7
     cost = np.array([[4.0, 1, 3], [2, 0, 5], [3, 2, 2]])
