@@ -326,14 +326,20 @@ def optimal_match(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(items: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """Item of each slot: optimal and without reuse where both are small enough, else the nearest item, reused."""
-    square = ((slots[:, None, :] - items[None]) ** 2).sum(-1) if len(slots) * len(items) <= OPTIMAL * OPTIMAL else None
-    if square is not None and len(slots) <= len(items) <= OPTIMAL:
-        return optimal_match(square)
-    if square is not None:
-        return square.argmin(1)
-    return np.concatenate([((slots[k : k + 256, None, :] - items[None]) ** 2).sum(-1).argmin(1) for k in range(0, len(slots), 256)])
+def assign(items: np.ndarray, slots: np.ndarray, reuse: bool = False, max_items: int = OPTIMAL) -> np.ndarray:
+    """Item of each slot by the least total distance, each item used once, -1 where none is left; with ``reuse`` each slot's nearest item."""
+    if max(len(items), len(slots)) > max_items:
+        raise ValueError(f"{len(items)} items and {len(slots)} slots are more than max_items={max_items}")
+    if not len(items) or not len(slots):
+        return np.full(len(slots), -1)
+    distance = np.sqrt(((slots[:, None, :] - items[None]) ** 2).sum(-1))
+    if reuse:
+        return distance.argmin(1)
+    if len(slots) <= len(items):
+        return optimal_match(distance)
+    out = np.full(len(slots), -1)
+    out[optimal_match(distance.T)] = np.arange(len(items))
+    return out
 
 
 def placements(items: DataFrame, layout: Callable[[int], pd.DataFrame], order_col: str = "order", id_col: str = "occurrence_id") -> DataFrame:

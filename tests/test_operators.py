@@ -217,6 +217,17 @@ def test_collage():
     assert {path[0], path[-1]} == {0, 3}
 
 
+def test_assign_reuses_only_where_asked():
+    items, slots = np.array([[0.0], [1.0]]), np.array([[0.1], [0.2], [0.9]])
+    assert collage.assign(items, slots).tolist() == [0, -1, 1] and collage.assign(items, slots, reuse=True).tolist() == [0, 0, 1]
+    assert sorted(collage.assign(np.arange(4.0)[:, None], np.zeros((3, 1))).tolist()) == [0, 1, 2]
+    for reuse in (False, True):
+        with pytest.raises(ValueError):
+            collage.assign(np.zeros((3, 1)), np.zeros((2, 1)), reuse, max_items=2)
+    with pytest.raises(ValueError):
+        collage.assign(np.zeros((3001, 1)), np.zeros((1, 1)))
+
+
 def test_archives_and_logs(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d/Occurrence.txt").write_text("gbifID\toccurrenceStatus\tscientificName\n1\tPRESENT\tNA\n2\tPRESENT\t\n3\tABSENT\tx\n4\tbroken\n")
