@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import lower_ascii, materialize
+from gleanery.llm.common import fresh, lower_ascii, materialize
 
 #: The rules of the registered query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
@@ -13,6 +13,11 @@ RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/
 LIMIT, Z = 0.5, 1.645
 #: Bounds of a prior's strength, in pages.
 WEAKEST, STRONGEST = 1.0, 1000.0
+# Words of a url (runs of letters) that mark a page as unwanted, and public suffixes of two labels.
+BAD_WORDS = "adult ads bet bets betting casino casinos cheap escort gambling hentai loan loans malware phishing pill pills poker porn porno sex slots spam torrent tracker viagra warez xxx".split()
+SUFFIXES = "ac.in ac.jp ac.nz ac.uk ac.za co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.bd com.br com.cn com.co com.eg com.hk com.mx com.my com.ng com.pe com.ph com.pk com.pl com.sa com.sg com.tr com.tw com.ua com.vn edu.au edu.cn gen.tr go.jp go.kr gob.mx gov.au gov.br gov.cn gov.in gov.uk ltd.uk me.uk ne.jp net.au net.br net.cn net.nz net.uk or.jp or.kr org.au org.br org.cn org.nz org.uk org.za sch.uk".split()
+#: A page whose html has fewer words outside markup, scripts and styles is a bad outcome.
+LEAST_WORDS = 20
 
 _PARTS = r"://([^/?#]*)([^?#]*)"
 
@@ -47,17 +52,33 @@ def _strength(rows: DataFrame) -> tuple[float, float]:
     return rate, STRONGEST if between <= 0 else min(STRONGEST, max(WEAKEST, rate * (1 - rate) / between - 1))
 
 
+def site_of(host: Column) -> Column:
+    """The host without user and port, which is what reputation belongs to."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+
+
+def page_outcome(url: Column, html: Column | None = None) -> Column:
+    """1 (bad) where the url holds a word of ``BAD_WORDS`` or the html fewer than ``LEAST_WORDS`` words, 0 for other pages with html, null where there is nothing to judge by."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(url, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    marked = F.arrays_overlap(words, F.array(*map(F.lit, BAD_WORDS)))
+    if html is None:
+        return F.when(marked, 1).when(url.isNotNull(), 0)
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, "(?is)<script.*?</script>", " "), "(?is)<style.*?</style>", " "), "<[^>]*>", " ")
+    return F.when(marked, 1).when(F.regexp_count(plain, F.lit(r"[^\x20\x09-\x0D]+")) < LEAST_WORDS, 1).when(html.isNotNull(), 0)
+
+
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """host, n, bad, rate and bound of every host in ``outcomes`` (columns host, outcome: 1 bad, 0 good, null not labelled).
 
-    A host's rate is shrunk towards that of its registered domain (the last two labels), the domain's towards that
-    of its suffix (the last label), the suffix's towards the overall rate; each level's prior strength comes from
-    the spread between its groups. bound is the posterior mean less ``Z`` posterior deviations. Counts are
-    pre-aggregated, so a host with a third of the pages is one row for each task.
+    A host's rate is shrunk towards that of its registered domain (one label before a public suffix), the domain's
+    towards that of its suffix (``SUFFIXES``, else the last label), the suffix's towards the overall rate; each
+    level's prior strength comes from the spread between its groups. bound is the posterior mean less ``Z`` posterior
+    deviations. Counts are pre-aggregated, so a host with a third of the pages is one row for each task.
     """
     counts = outcomes.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("bad"))
-    labels = F.split("host", r"\.")
-    hosts = materialize(counts.withColumn("suffix", F.element_at(labels, -1)).withColumn("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")), "hosts")
+    labels, last = F.split("host", r"\."), lambda k: F.array_join(F.slice(F.split("host", r"\."), F.greatest(F.size(F.split("host", r"\.")) - (k - 1), F.lit(1)), k), ".")
+    double = last(2).isin(SUFFIXES)
+    hosts = materialize(counts.withColumn("suffix", F.when(double, last(2)).otherwise(F.element_at(labels, -1))).withColumn("domain", F.when(double, last(3)).otherwise(last(2))), "hosts")
     total = lambda key, *more: hosts.groupBy(key, *more).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     shrunk = lambda k, n, prior, s: (F.col(k) + F.lit(s) * prior) / (F.col(n) + F.lit(s))
     suffixes = materialize(total("suffix"), "suffixes")
@@ -73,27 +94,30 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules=RULES, outcomes: DataFrame | None = None) -> DataFrame:
-    """``pages`` with host, path, rule and verdict; columns of those names are replaced.
+    """``pages`` with host, path, rule and verdict; columns of those names are replaced, all others are kept.
 
     A rule's verdict wins; other pages are blocked if their host's posterior bound is above ``LIMIT``. Outcomes come
-    from ``outcomes`` (host, outcome), by default from the pages that a rule judges (block 1, allow 0). Null urls and
-    urls without :// have empty host and path and belong to one nameless host, which no outcome reaches. Repeated
-    rows count as often as they occur. The rules are a short list given by the caller.
+    from ``outcomes`` (host, outcome), by default from every page itself (``page_outcome``; column html counts where
+    there is one); rules are policy and no evidence against a host. Null urls and urls without :// have empty host
+    and path and belong to one nameless host, which no outcome reaches. Repeated rows count as often as they occur,
+    urls and html of any length whole. The rules are a short list given by the caller.
     """
     plain = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     which, says = rule_for(F.col("host"), F.col("path"), rules)
-    ruled = plain.withColumn("rule", which).withColumn("__says", says)
+    rule_says, site, bad = (fresh(plain, x) for x in ("says", "site", "bad"))
+    ruled = plain.withColumn("rule", which).withColumn(rule_says, says).withColumn(site, site_of(F.col("host")))
     if outcomes is None:
-        outcomes = ruled.select("host", F.when(F.col("__says") == "block", 1).when(F.col("__says") == "allow", 0).alias("outcome"))
-    known = materialize(host_reputation(outcomes).where(F.col("bound") > LIMIT).select("host", F.lit(True).alias("__bad")), "bad-hosts")
-    met = ruled.join(known, "host", "left")
-    method = F.when(F.col("__bad") & (F.col("host") != ""), "block").otherwise("allow")
-    return met.withColumn("verdict", F.coalesce("__says", method)).drop("__says", "__bad")
+        html = F.col("html") if "html" in pages.columns else None
+        outcomes = pages.select(site_of(host_of(F.col("url"))).alias("host"), page_outcome(F.col("url"), html).alias("outcome"))
+    known = materialize(host_reputation(outcomes).where(F.col("bound") > LIMIT).select(F.col("host").alias(site), F.lit(True).alias(bad)), "bad-hosts")
+    met = ruled.join(known, site, "left")
+    method = F.when(F.col(bad) & (F.col("host") != ""), "block").otherwise("allow")
+    return met.withColumn("verdict", F.coalesce(F.col(rule_says), method)).drop(rule_says, bad, site)
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _op6_sql() -> str:
@@ -104,16 +128,20 @@ def _op6_sql() -> str:
         f"(SELECT rate, CASE WHEN n - nn / n > 0 THEN (kk - 2 * rate * k + rate * rate * n - (g - 1) * rate * (1 - rate)) / (n - nn / n) END AS between_ FROM "
         f"(SELECT *, (k + 0.5) / (n + 1) AS rate FROM (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS k, count(*) AS g, sum(n::DOUBLE * n) AS nn, sum(bad::DOUBLE * bad / n) AS kk FROM {table} WHERE n > 0))))"
     )
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
     return rf"""
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{_PARTS}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '{_PARTS}', 2) AS path FROM pages),
-r AS (SELECT *, {pick(0)} AS rule, {pick(1)} AS says FROM u),
-h AS (SELECT host, count(says) AS n, count(*) FILTER (says = 'block') AS bad, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM r GROUP BY host),
+WITH u AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '{_PARTS}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '{_PARTS}', 2) AS path FROM pages),
+r AS (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS site, {pick(0)} AS rule, {pick(1)} AS says FROM u),
+o AS (SELECT site, CASE WHEN list_has_any(regexp_extract_all(lower(coalesce(url, '')), '[a-z]+'), [{quoted(BAD_WORDS)}]) THEN 1
+  WHEN len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[^\x20\x09-\x0D]+')) < {LEAST_WORDS} THEN 1 WHEN html IS NOT NULL THEN 0 END AS outcome FROM r),
+l AS (SELECT site AS host, count(outcome) AS n, count(*) FILTER (outcome = 1) AS bad, string_split(site, '.') AS labels, array_to_string(string_split(site, '.')[-2:], '.') IN ({quoted(SUFFIXES)}) AS double FROM o GROUP BY site),
+h AS (SELECT host, n, bad, CASE WHEN double THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix, CASE WHEN double THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain FROM l),
 sx AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix), dx AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 {level("ls", "sx")}, {level("ld", "dx")}, {level("lh", "h")},
 sr AS (SELECT suffix, (bad + s * rate) / (n + s) AS suffix_rate FROM sx, ls), dr AS (SELECT domain, (bad + s * suffix_rate) / (n + s) AS domain_rate FROM dx JOIN sr USING (suffix), ld),
 hr AS (SELECT host, n, s, (bad + s * domain_rate) / (n + s) AS rate FROM h JOIN dr USING (domain), lh),
 bad AS (SELECT host FROM hr WHERE rate - {Z} * sqrt(rate * (1 - rate) / (n + s + 1)) > {LIMIT})
-SELECT page_id, host, path, rule, coalesce(says, CASE WHEN host <> '' AND host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM r"""
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN host <> '' AND site IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM r"""
 
 
 OP6_SQL = _op6_sql()
