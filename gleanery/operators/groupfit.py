@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.color import ColorThreshold, convert
+from gleanery.functions.color import ColorRule, convert
 from gleanery.functions.nulls import missing
 from gleanery.sources.tables import written
 
@@ -514,23 +514,26 @@ def _quantiles(x: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndar
 
 
 def chroma_gate(chroma: np.ndarray, hue: np.ndarray, bins: int = 20, least: int = 50, counts: np.ndarray | None = None) -> float:
-    """The chroma from which hue is settled: the first of equally filled bins from which the circular variance stays within 1.5 times the median of the last quarter."""
-    counts = np.ones(len(chroma), dtype=np.int64) if counts is None else counts
-    edges = _quantiles(chroma, counts, np.linspace(0, 1, bins + 1))
-    place = np.clip(np.searchsorted(edges, chroma, side="right") - 1, 0, bins - 1)
-    starts, spread = [], []
-    for k in range(bins):
-        angle, n = np.radians(hue[place == k]), counts[place == k]
-        if n.sum() >= least:
-            starts.append(float(edges[k]))
-            spread.append(1 - math.hypot(np.average(np.cos(angle), weights=n), np.average(np.sin(angle), weights=n)))
-    if not spread:
-        return float(edges[0])
-    limit = 1.5 * float(np.median(spread[-max(1, len(spread) // 4) :]))
-    for k in range(len(spread)):
-        if max(spread[k:]) <= limit:
-            return starts[k]
-    return starts[-1]
+    """The chroma from which hue is settled, 0 where it never is or there are no pixels.
+
+    Pixels are counted, and their hues added as unit vectors, per equally filled bin of chroma. Of the bins with
+    ``least`` pixels, one is settled if neither its scatter (one less the mean vector's length) nor that of any bin
+    above exceeds 1.5 times the median of the last quarter.
+    """
+    if not len(chroma):
+        return 0.0
+    weight = np.ones(len(chroma)) if counts is None else np.asarray(counts, dtype=np.float64)
+    edges = _quantiles(chroma, weight, np.linspace(0, 1, bins + 1))
+    vector = np.exp(1j * np.radians(hue)) * weight
+    place = np.searchsorted(edges[1:-1], chroma, side="right")
+    n, x, y = (np.bincount(place, w, minlength=bins) for w in (weight, vector.real, vector.imag))
+    full = n >= least
+    if not full.any():
+        return 0.0
+    scatter = 1 - np.hypot(x[full], y[full]) / n[full]
+    worst_above = np.maximum.accumulate(scatter[::-1])[::-1]
+    settled = worst_above <= 1.5 * np.median(scatter[-max(1, len(scatter) // 4) :])
+    return float(edges[:-1][full][settled.argmax()]) if settled.any() else 0.0
 
 
 def hue_ranges(hue: np.ndarray, bandwidth: float = 10.0, relative_height: float = 0.5, most: int = 8, counts: np.ndarray | None = None) -> list[tuple[float, float]]:
@@ -561,5 +564,5 @@ def hue_definition(pixels: np.ndarray, bins: int = 20, least: int = 50, bandwidt
     above = lch[:, 1] >= gate
     colourful = lch[above]
     arcs = hue_ranges(colourful[:, 2], bandwidth, relative_height, most, None if counts is None else counts[above]) if len(colourful) else []
-    rules = [ColorThreshold("achromatic", (("lch", "c", None, gate),))] + [ColorThreshold(f"hue_{k}", (("lch", "c", gate, None), ("lch", "h", a, b))) for k, (a, b) in enumerate(arcs)]
+    rules = [ColorRule("achromatic", lch_c=(None, gate))] + [ColorRule(f"hue_{k}", lch_c=(gate, None), lch_h=arc) for k, arc in enumerate(arcs)]
     return {"gate": gate, "hue_ranges": arcs, "thresholds": [r.spec() for r in rules]}

@@ -92,7 +92,7 @@ def hue_fractions(spark, sf_dir):
     """Shares of pixels in hue bands that wrap, and of dark ones."""
     hsv, lab = (make(F.col("r"), F.col("g"), F.col("b")) for make in (hsv_columns, lab_columns))
     share = lambda test: F.round(F.avg(F.when(test, 1.0).otherwise(0.0)), 9)
-    return _rgb(spark, sf_dir).groupBy("p_brand").agg(share(hue_threshold("red").column({"hsv": hsv})).alias("red_fraction"), share(hue_threshold("green").column({"hsv": hsv})).alias("green_fraction"), share(lab["l"] < 20).alias("black_fraction"))
+    return _rgb(spark, sf_dir).groupBy("p_brand").agg(share(hue_threshold("red").holds(lambda _, c: hsv[c])).alias("red_fraction"), share(hue_threshold("green").holds(lambda _, c: hsv[c])).alias("green_fraction"), share(lab["l"] < 20).alias("black_fraction"))
 
 
 @query(f"WITH {_HSV} SELECT p_partkey, CASE WHEN h >= 340 OR h < 22 THEN 'red' WHEN h < 42 THEN 'orange' WHEN h < 72 THEN 'yellow' WHEN h < 172 THEN 'green' WHEN h < 262 THEN 'blue' WHEN h < 322 THEN 'purple' END AS band FROM hsv")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import raster
-from gleanery.functions.color import BLACK, MIN_SATURATION, MIN_VALUE, ColorThreshold, color_threshold, hue_threshold
+from gleanery.functions.color import BLACK, MIN_SATURATION, MIN_VALUE, ColorRule, hue_threshold
 from gleanery.functions.identity import canonical_json, derivation_hash, hash_spec, recipe_spec
 from gleanery.functions.naming import repeated_labels
 from gleanery.functions.raster import NothingToMeasure, Segment
@@ -255,7 +255,7 @@ def background_color(name: str | None = None, unit: str = "fraction") -> Operati
     return _metric("background_color", raster.background_color, unit, name)
 
 
-def threshold_fractions(thresholds: Sequence[ColorThreshold], unmatched: bool = False, name: str | None = None, unit: str = "fraction") -> Operation:
+def threshold_fractions(thresholds: Sequence[ColorRule], unmatched: bool = False, name: str | None = None, unit: str = "fraction") -> Operation:
     names = [t.name for t in thresholds]
     if not names or len(set(names)) != len(names) or (unmatched and "unmatched" in names):
         raise ValueError("thresholds need distinct names")
@@ -263,7 +263,7 @@ def threshold_fractions(thresholds: Sequence[ColorThreshold], unmatched: bool =
 
 
 def black_fraction(threshold: float = BLACK, name: str | None = None, unit: str = "fraction") -> Operation:
-    return _metric("black_fraction", raster.single_fraction, unit, name, threshold=color_threshold("black", lab_l=(None, round(threshold * 100, 9))).spec())
+    return _metric("black_fraction", raster.single_fraction, unit, name, threshold=ColorRule("black", lab_l=(None, round(threshold * 100, 9))).spec())
 
 
 def hue_fraction(hue: str, min_saturation: float = MIN_SATURATION, min_value: float = MIN_VALUE, name: str | None = None, unit: str = "fraction") -> Operation:

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleanery.functions import raster, rle
-from gleanery.functions.color import CHANNELS, color_threshold, convert, hue_thresholds, in_arc, to_bgr
+from gleanery.functions.color import CHANNELS, ColorRule, convert, hue_thresholds, in_arc, to_bgr
 from gleanery.functions.identity import canonical_json, combined_source, derivation_hash, hash_spec
 from gleanery.operators import collage, filters, groupfit, selection, validate, wide
 from gleanery.plans import recipes
@@ -88,10 +88,10 @@ def test_colours():
     for space in CHANNELS:
         assert np.abs(to_bgr(convert(pixels, space), space).astype(int) - pixels).max() <= 1
     assert in_arc(np.array([350, 10, 22, 340]), 340, 22).tolist() == [True, True, False, True] and not in_arc(np.array([5]), 5, 5).any()
-    assert color_threshold("dark", lab_l=(None, 20)).spec() == {"name": "dark", "conditions": {"lab": {"l": [None, 20]}}}
+    assert ColorRule("dark", lab_l=(None, 20)).spec() == {"name": "dark", "conditions": {"lab": {"l": [None, 20]}}}
     for bad in ({"hsv_h": (None, 5)}, {"hsv_x": (0, 1)}, {}):
         with pytest.raises(ValueError):
-            color_threshold("x", **bad)
+            ColorRule("x", **bad)
 
 
 def test_filters(spark):
