@@ -62,15 +62,22 @@ def sample_per_group(df: DataFrame, group_col: str, count: int, id_col: str, see
     if count <= 0:
         return known.limit(0)
     sizes = known.groupBy(F.col(group_col).alias("_g")).agg(F.count("*").alias("_n"))
-    start = F.struct(F.lit(count).cast("long").alias("left"), F.array().cast("array<long>").alias("takes"))
+    # Groups of one size are one step: sizes are few beside groups. From the first size above the fair share on, all get that share, the first of them one more.
+    steps = sizes.groupBy("_n").agg(F.count("*").alias("_k"))
+    start = F.struct(F.lit(count).cast("long").alias("left"), F.sum("_k").alias("groups"), F.lit(None).cast("long").alias("cut"))
 
     def visit(state: Column, x: Column) -> Column:
-        groups = F.size("groups") - F.size(state["takes"])
-        take = F.least(x["_n"], F.ceil(state["left"] / groups))
-        return F.struct((state["left"] - take).alias("left"), F.concat(state["takes"], F.array(take)).alias("takes"))
-
-    shares = sizes.agg(F.array_sort(F.collect_list(F.struct("_n", "_g"))).alias("groups")).withColumn("takes", F.aggregate("groups", start, visit)["takes"])
-    takes = shares.select(F.explode(F.arrays_zip("groups", "takes")).alias("x")).select(F.col("x.groups._g").alias("_g"), F.col("x.takes").alias("_take"))
+        whole = state["cut"].isNull() & (x["_n"] * state["groups"] <= state["left"])
+        cut = F.when(~whole, F.coalesce(state["cut"], x["_n"]))
+        return F.struct((state["left"] - F.when(whole, x["_n"] * x["_k"]).otherwise(0)).alias("left"), (state["groups"] - F.when(whole, x["_k"]).otherwise(0)).alias("groups"), cut.alias("cut"))
+
+    end = steps.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_n", "_k"))), start, visit).alias("end")).select("end.*").first()
+    if end["cut"] is None:
+        takes = sizes.select("_g", F.col("_n").alias("_take"))
+    else:
+        share, more = divmod(end["left"], end["groups"])
+        large = global_rank(sizes.where(F.col("_n") >= end["cut"]), ["_n", "_g"], "_at")
+        takes = sizes.where(F.col("_n") < end["cut"]).select("_g", F.col("_n").alias("_take")).union(large.select("_g", F.lit(share) + (F.col("_at") < more).cast("long")))
     order = Window.partitionBy(group_col).orderBy(draw(F.col(id_col), seed), F.col(id_col).cast("string"))
     ranked = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= count)
     return ranked.join(takes, ranked[group_col] == takes["_g"]).where("_rank <= _take").drop("_rank", "_g", "_take")

@@ -1,14 +1,13 @@
 """A project: a folder of tables and logs, resumable runs over it, and every question asked of it.
 
-Tables are versioned Parquet under <path>/tables; small registries and logs are JSON under <path>/logs, on a file
-system that the driver sees. Values are never changed in place: a run appends, and what is current is decided when read.
+Tables are versioned Parquet under <path>/tables; small registries and logs are JSON under <path>/logs, on the same
+file system. Values are never changed in place: a run appends, and what is current is decided when read.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
 import time
 import tomllib
 from collections.abc import Mapping, Sequence
@@ -184,8 +183,7 @@ class Project:
     # Subsets ------------------------------------------------------------------------------------
 
     def load_subsets(self) -> dict[str, dict]:
-        path = self.log("subsets.toml")
-        return tomllib.loads(Path(path).read_text()) if os.path.exists(path) else {}
+        return tomllib.loads((tables.read_bytes(self.log("subsets.toml")) or b"").decode())
 
     def define_subset(self, name: str, column: str | None = None, values: Sequence | None = None, query: str | None = None, ids: Sequence[str] | DataFrame | None = None, from_subset: str | None = None, note: str | None = None) -> dict:
         """A named, persisted rule: values of a column, a query, frozen ids, or another subset's ids frozen now."""
@@ -206,11 +204,8 @@ class Project:
         else:
             rule |= {"column": column, "values": [values] if isinstance(values, str) else list(values)}
         every = self.load_subsets() | {name: rule}
-        os.makedirs(os.path.dirname(self.log("x")), exist_ok=True)
         text = "\n".join(f"[{json.dumps(n)}]\n" + "".join(f"{k} = {json.dumps(v)}\n" for k, v in r.items()) for n, r in every.items())
-        partial = self.log("subsets.toml.tmp")
-        Path(partial).write_text(text)
-        os.replace(partial, self.log("subsets.toml"))
+        tables.write_bytes(self.log("subsets.toml"), text.encode())
         return rule
 
     def define_subsets(self, column: str, mapping: Mapping[str, Sequence], note: str | None = None) -> None:
@@ -254,8 +249,13 @@ class Project:
         """A known scale for one value of a column, or for all its values."""
         if not px_per_mm > 0:
             raise ValueError("a scale is positive")
-        values = [scope_value] if scope_value is not None else [r[0] for r in self.occurrences().select(F.col(scope).cast("string")).distinct().collect() if r[0] is not None]
-        self.save_calibrations([(scope, v, {wide.SCALE: float(px_per_mm)}) for v in values], measured_from=measured_from)
+        if scope_value is not None:
+            self.save_calibrations([(scope, scope_value, {wide.SCALE: float(px_per_mm)})], measured_from=measured_from)
+            return
+        values = self.occurrences().select(F.col(scope).cast("string").alias("scope_value")).where("scope_value is not null").distinct()
+        text = lambda value: F.lit(value).cast("string")
+        made = values.select(text("scale").alias("calibration_type"), text(scope).alias("scope"), "scope_value", text(canonical_json({wide.SCALE: float(px_per_mm)})).alias("parameters_json"), text("declared").alias("source"), F.lit(None).cast("double").alias("score"), text(measured_from).alias("measured_from"), text(_now()).alias("created_at"))
+        tables.upsert_table(tables.written(made), self.at("calibrations"), ["calibration_type", "scope", "scope_value"])
 
     def scale_for_occurrences(self) -> DataFrame:
         held = self.calibrations("scale").select("scope", "scope_value", F.get_json_object("parameters_json", f"$.{wide.SCALE}").cast("double").alias("parameters"))
@@ -291,6 +291,8 @@ class Project:
 
     def _start(self, recipe: Recipe, subset: str | None) -> int:
         run_id = max(int(time.time() * 1000), (self._read("runs", RUNS).agg(F.max("run_id")).first()[0] or 0) + 1)
+        while not tables.claim(f"{self.path}/logs/run_ids/{run_id}"):  # another driver's
+            run_id += 1
         row = (run_id, recipe.kind, recipe.name, recipe.part, subset, recipe.hash, canonical_json(recipe.spec()), "running", None, _now(), None, None, None, None)
         tables.append_table(self.spark.createDataFrame([row], RUNS), self.at("runs"))
         return run_id
@@ -448,7 +450,7 @@ class Project:
             df = df.withColumnsRenamed(dict(rename))
         if path:
             flat = df.select(*[F.to_json(f"`{c}`").alias(c) if t.startswith(("variant", "array", "map", "struct")) else F.col(f"`{c}`") for c, t in df.dtypes])
-            flat.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+            flat.write.mode("overwrite").option("header", True).csv(path)
             one = ids_record(df, ID)
             record = {"at": _now(), "path": path, "n_rows": one["count"], "ids_hash": one["ids_hash"], "columns": made.provenance, "filters": _plain(filters), "part_filters": _plain(part_filters), "part_counts": counts.first().asDict() if counts is not None else None, "selection": {"run_names": run_names, "parts": parts, "metric_names": metric_names, "subset": subset, "units": units}, "rename": dict(rename or {})}
             record["export_hash"] = hash_spec({k: v for k, v in record.items() if k not in ("at", "path")})
@@ -614,7 +616,7 @@ class Project:
         folder_of = F.concat_ws("/", "split", F.regexp_replace(F.col(class_by).cast("string"), r'[<>:"/\\|?*\s]+', "_") if class_by else F.lit("images"), ID)
         manifest = df.select(ID, "split", *([class_by] if class_by else []), folder_of.alias("file"))
         files.write_images(manifest.join(self.images().select(ID, "height", "width", "data"), ID), "file", "height", "width", "data", folder)
-        manifest.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/manifest")
+        manifest.write.mode("overwrite").option("header", True).csv(f"{folder}/manifest")
         tables.write_json(f"{folder}/dataset.json", {"at": _now(), "part": part, "class_by": class_by, "n": manifest.count()})
         return manifest
 
@@ -803,9 +805,9 @@ class Project:
                 df.withColumns(cut).write.mode("overwrite").parquet(f"{dest}/{name}")
                 copied.append(name)
         for file in ("imports.jsonl", "exports.jsonl", "runs.jsonl", "models.json", "subsets.toml"):
-            if os.path.exists(self.log(file)):
-                os.makedirs(dest, exist_ok=True)
-                shutil.copyfile(self.log(file), f"{dest}/{file}")
+            if tables.exists(self.spark, self.log(file)):
+                held = tables.read_log(self.log(file)) if file.endswith(".jsonl") else None
+                tables.write_bytes(f"{dest}/{file}", tables.read_bytes(self.log(file)) if held is None else "".join(canonical_json(x) + "\n" for x in held).encode())
                 copied.append(file)
         return copied
 

@@ -113,8 +113,8 @@ def raster_position(spark, sf_dir):
 
 @query(
     f"""WITH {_PIXELS}, i AS (SELECT k, count(*) FILTER (NOT body) > 0 AS island FROM px GROUP BY k), c AS (SELECT k, 2 * avg(x) AS twice FROM px GROUP BY k),
-f AS (SELECT k, count(*) AS n, count(q.k) AS matched FROM (SELECT px.k, px.y, round_even(twice - px.x, 0)::BIGINT AS x FROM px JOIN c USING (k)) t LEFT JOIN (SELECT k, x, y FROM px) q USING (k, x, y) GROUP BY k)
-SELECT k, island::BIGINT AS n_islands, round(n / {HEIGHT * WIDTH}.0::DOUBLE, 6) AS mask_fraction, 0.0::DOUBLE AS edge_fraction, round(1 - matched / (2 * n - matched)::DOUBLE, 6) AS asymmetry FROM i JOIN f USING (k)"""
+f AS (SELECT k, count(*) AS n, count(*) FILTER (x >= 0 AND x < {WIDTH}) AS mirrored, count(q.k) AS matched FROM (SELECT px.k, px.y, round_even(twice - px.x, 0)::BIGINT AS x FROM px JOIN c USING (k)) t LEFT JOIN (SELECT k, x, y FROM px) q USING (k, x, y) GROUP BY k)
+SELECT k, island::BIGINT AS n_islands, round(n / {HEIGHT * WIDTH}.0::DOUBLE, 6) AS mask_fraction, 0.0::DOUBLE AS edge_fraction, round(1 - matched / (n + mirrored - matched)::DOUBLE, 6) AS asymmetry FROM i JOIN f USING (k)"""
 )
 def raster_quality(spark, sf_dir):
     """Islands, share of the frame, share on its edge and asymmetry of masks."""

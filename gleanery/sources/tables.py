@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Sequence
-from pathlib import Path
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -21,9 +20,13 @@ _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests) a folder of this session's own."""
+    """spark.checkpoint.dir, or where it is unset, on one machine (tests), a folder of this session's own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else _folders.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='gleanery-')}")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _folders.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='gleanery-')}")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -145,42 +148,65 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line", F.try_parse_json("value").alias("record")).where("record is not null")
 
 
+def read_bytes(path: str) -> bytes | None:
+    """A small file of any file system that Spark reaches; None where there is none."""
+    where, files = _filesystem(SparkSession.active(), path)
+    if not files.exists(where):
+        return None
+    stream = files.open(where)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """Replace a small file in one step: it is written aside and renamed over the old one."""
+    spark = SparkSession.active()
+    jvm = spark.sparkContext._jvm
+    where, files = _filesystem(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = files.create(aside, True)
+    out.write(bytearray(data))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    qualified = files.makeQualified(where)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(aside), qualified, over)
+
+
+def claim(path: str) -> bool:
+    """Create an empty file; False where it was there already. Of several drivers one gets True."""
+    where, files = _filesystem(SparkSession.active(), path)
+    files.mkdirs(where.getParent())
+    return bool(files.createNewFile(where))
+
+
 def append_jsonl(path: str, record: Any) -> None:
-    """Add a record to a driver-side log; a line cut short by a crash is ended first."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a+b") as f:
-        f.seek(0, os.SEEK_END)
-        if f.tell():
-            f.seek(-1, os.SEEK_END)
-            if f.read(1) != b"\n":
-                f.write(b"\n")
-        f.write(json.dumps(record, sort_keys=True, default=str).encode() + b"\n")
+    """Add a record to a log: a folder of one small file for each, so that any file system takes it and two drivers don't cut each other's lines."""
+    write_bytes(f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json", json.dumps(record, sort_keys=True, default=str).encode() + b"\n")
 
 
 def read_log(path: str) -> list[dict]:
-    """A small driver-side log as dicts, oldest first; malformed lines are skipped."""
+    """A small log as dicts, oldest first; malformed lines are skipped."""
+    where, files = _filesystem(SparkSession.active(), path)
+    if not files.exists(where):
+        return []
+    names = sorted(x.getPath().toString() for x in files.listStatus(where) if x.getPath().getName().endswith(".json")) if files.getFileStatus(where).isDirectory() else [path]
     out = []
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                try:
-                    out.append(json.loads(line))
-                except ValueError:
-                    continue
+    for line in b"".join(read_bytes(n) or b"" for n in names).splitlines():
+        try:
+            out.append(json.loads(line))
+        except ValueError:
+            continue
     return [x for x in out if isinstance(x, dict)]
 
 
 def write_json(path: str, value: Any) -> None:
     """Replace a small JSON document in one step."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    partial = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(partial, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, sort_keys=True, default=str)
-    os.replace(partial, path)
+    write_bytes(path, json.dumps(value, indent=2, sort_keys=True, default=str).encode())
 
 
 def read_json(path: str, default: Any = None) -> Any:
-    if not os.path.exists(path):
-        return default
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    text = read_bytes(path)
+    return default if text is None else json.loads(text)

@@ -245,8 +245,13 @@ def test_archives_and_logs(spark, tmp_path):
     assert (sheet[0].sheet_image_id, sheet[0].session_path) == ("bronzeBobcat/2026-06-11/bronzeBobcat_2026_06_11__01_15_20_HDR0.jpg", "bronzeBobcat/2026-06-11") and sheet[1].session_path is None and sheet[2].sheet_image_id is None
     log = tmp_path / "log.jsonl"
     log.write_text('{"a": 1}\n{"a": 2}\nbroken')
-    tables.append_jsonl(str(log), {"a": 3})
-    assert [r["a"] for r in tables.read_log(str(log))] == [1, 2, 3] and tables.read_jsonl(spark, f"file://{log}").count() == 3
+    assert [r["a"] for r in tables.read_log(str(log))] == [1, 2] and tables.read_jsonl(spark, f"file://{log}").count() == 2
+    for k in range(3):
+        tables.append_jsonl(f"{tmp_path}/log", {"a": k})
+    assert [r["a"] for r in tables.read_log(f"{tmp_path}/log")] == [0, 1, 2] and tables.read_jsonl(spark, f"file://{tmp_path}/log").count() == 3 and tables.read_log(f"{tmp_path}/none") == []
+    tables.write_json(f"file://{tmp_path}/x.json", {"a": [1]})
+    tables.write_json(f"file://{tmp_path}/x.json", {"a": [2]})
+    assert tables.read_json(f"file://{tmp_path}/x.json") == {"a": [2]} and tables.read_json(f"{tmp_path}/none.json", 7) == 7 and tables.claim(f"{tmp_path}/c/1") and not tables.claim(f"{tmp_path}/c/1")
     paged = {"u?limit=2": {"results": [1, 2], "next": "v"}, "v": {"results": [3], "next": "v"}}
     assert list(files.pages("u", 2, fetch=paged.get)) == [1, 2, 3]
     with pytest.raises(ValueError):
