@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions.color import HUE_BANDS, hsv_columns, hue_threshold, in_arc, lab_columns
-from gleanery.operators import collage, groupfit, spans, stored
+from gleanery.operators import collage, spans, stored
 from gleanery.operators.wide import ID, long_values
 from gleanery.plans.relational import query, table
 from gleanery.sources import files, tables
@@ -201,28 +201,6 @@ def malformed_tsv(spark, sf_dir):
     return files.read_tsv(spark, path).select("id", "name")
 
 
-@query("SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL")
-def cluster_kmeans(spark, sf_dir):
-    """Every vector gets a cluster; here only that all are scored, see the tests for the fit."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", k).cast("double").alias(f"f{k}") for k in range(4)])
-    return groupfit.cluster(e, [f"f{k}" for k in range(4)], "vec_id", "label", 3).where("cluster_id between 0 and 2").select("vec_id")
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice IS NOT NULL")
-def outlier_forest(spark, sf_dir):
-    """Every order gets an anomaly score; here only that all are scored, see the tests for the fit."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("price"), F.dayofyear("o_orderdate").cast("double").alias("day"))
-    return groupfit.outlier(o, ["price", "day"], "o_orderkey", "o_orderstatus").where("anomaly_score between -0.5 and 0.5").select("o_orderkey")
-
-
-@query("SELECT doc_id::VARCHAR AS doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL) AS out_of_fold FROM documents WHERE n_chars IS NOT NULL")
-def label_score(spark, sf_dir):
-    """Probability of a bad label for every document; labelled ones are scored out of fold."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n"), F.length(F.regexp_replace("text", r"[\p{L}\s]", "")).cast("double").alias("odd"))
-    scored, _ = groupfit.label_score(d, ["n", "odd"], "doc_id", table(spark, sf_dir, "labels"), "quality", [0])
-    return scored.where("score between 0 and 1").select("doc_id", "out_of_fold")
-
-
 @query("SELECT DISTINCT user_id::VARCHAR AS occurrence_id FROM events WHERE value > 50")
 def ids_with_value(spark, sf_dir):
     """Occurrences that have a stored value passing a test."""
