@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.shipping import ship
@@ -22,11 +22,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of this session's own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, on one machine (tests), a folder of this session's own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _folders.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='gleanery-')}")
 
 
@@ -50,6 +61,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialize`` and the number of rows written (after lost tasks possibly more than that, but 0 only where there are none)."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get["n"]
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` made and that nothing reads any more."""
     spark = df.sparkSession
@@ -63,33 +81,33 @@ def release(df: DataFrame) -> None:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph as (node, component): component is the smallest node reachable.
 
-    Contraction: every node moves to the neighbour (or itself) that comes first in a hashed order, edges are
-    renamed, and what still joins two different nodes is contracted again. The hashed order keeps the number of
-    rounds logarithmic on chains of consecutive ids. Each round aggregates before it shuffles, and its joins have
-    a plain exchange on either side, so a hub with most of the edges is split. Self loops and repeated edges are
-    allowed; rows with a null end are ignored; without edges the result is empty.
+    Contraction: every node moves to the neighbour (or itself) that comes first in an order, edges are renamed, and
+    what still joins two different nodes is contracted again. The first order is that of the ids, which settles stars
+    around their smallest node at once; the next ones are hashed, which keeps the number of rounds logarithmic on
+    chains of consecutive ids. Each round aggregates before it shuffles, and its joins have a plain exchange on either
+    side, so a hub with most of the edges is split. Self loops and repeated edges are allowed; rows with a null end
+    are ignored; without edges the result is empty.
     """
     left, right = F.col(a).cast("long"), F.col(b).cast("long")
-    graph = materialize(edges.select(left.alias("u"), right.alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
-    nodes = materialize(graph.select(F.col("u").alias("node")).union(graph.select("v")).distinct(), "nodes")
+    graph, many = counted(edges.select(F.least(left, right).alias("u"), F.greatest(left, right).alias("v")).where("u is not null and v is not null and u <> v").distinct(), "edges")
     maps: list[DataFrame] = []
-    while not graph.isEmpty():
+    while many or not maps:
         both = graph.union(graph.select("v", "u"))
-        first = F.min(F.struct(F.xxhash64("v").alias("h"), "v"))
-        own = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("v"))
+        rank = (lambda node: F.xxhash64(node, F.lit(len(maps)))) if maps else (lambda node: F.col(node))
+        first = F.min(F.struct(rank("v").alias("h"), "v"))
+        own = F.struct(rank("u").alias("h"), F.col("u").alias("v"))
         step = materialize(both.groupBy("u").agg(first.alias("best")).select(F.col("u").alias("node"), F.least("best", own)["v"].alias("to")), "step")
         maps.append(step)
         from_, to = step.select(F.col("node").alias("u"), F.col("to").alias("tu")), step.select(F.col("node").alias("v"), F.col("to").alias("tv"))
         half = graph.join(from_, "u").select("v", "tu")
         renamed = half.join(to, "v").where("tu <> tv").select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct()
-        last, graph = graph, materialize(renamed, "edges")
+        last, (graph, many) = graph, counted(renamed, "edges")
         release(last)
-    root = nodes.withColumn("root", F.col("node"))
-    for step in maps:
+    root = maps[0].withColumnRenamed("to", "root")
+    for step in maps[1:]:
         moved = root.join(step.select(F.col("node").alias("root"), "to"), "root", "left")
         root = moved.select("node", F.coalesce("to", "root").alias("root"))
     root = materialize(root, "roots")
     for step in maps:
         release(step)
-    smallest = materialize(root.groupBy("root").agg(F.min("node").alias("component")), "smallest")
-    return root.join(smallest, "root").select("node", "component")
+    return root.join(root.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")

@@ -10,13 +10,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import BLANKS, lower_ascii, materialize, small_batches
+from gleanery.llm.common import BLANKS, fresh, lower_ascii, materialize, small_batches
 from gleanery.llm.sketch import build, cells_for
 
 #: Spark's xxhash64 starts from this seed.
 SPARK_SEED = 42
 CELLS_PER_LINE = 8
 PROBES = 2
+#: Ids of documents that lose lines which are broadcast (16 bytes each), so that the others stay where they are.
+BROADCAST_IDS = 2_000_000
+#: Texts that a Python worker cuts at once.
+AT_ONCE = 200
 
 
 def line_keys(text: Column, min_chars: int) -> Column:
@@ -34,10 +38,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     replaced, all others are kept. A null or empty text has one empty line and comes back empty. Rows that share a
     doc_id count as one document. Rows without a doc_id keep all their lines and make no line a repeat.
 
-    One pass fills the filters with 8-byte hashes, one pass sends on only the lines whose hash the second filter
-    holds. Those are grouped by their whole text with partial aggregation, so a line that every document holds is
-    one row for each task; the join back to the suspects has plain exchanges on both sides, which are split when
-    skewed.
+    Texts and lines of any length count whole, and columns of any other name are kept, also those named like inner
+    ones. One pass fills the filters with 8-byte hashes, one pass sends on only the lines whose hash the second
+    filter holds. Those are grouped by their whole text with partial aggregation, so a line that every document
+    holds is one row for each task; the join back to the suspects has plain exchanges on both sides, which are split
+    when skewed. Only documents that lose lines are shuffled with their text, while their ids are few enough to be
+    broadcast; beyond that all are.
     """
     small_batches(docs.sparkSession)
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), line_keys(F.col("text"), min_chars).alias("keys"))
@@ -55,28 +61,41 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     suspects = materialize(lines.mapInArrow(suspected, "doc_id long, key string, h long"), "suspects")
     held = suspects.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     repeats = materialize(held.where("first <> last").select("key", "first"), "repeats")
-    drops = suspects.join(repeats, "key").where("doc_id <> first").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("h").alias("__drops"))
-
     plain = docs.drop("n_lines", "n_dropped")
-    joined = plain.join(drops, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
-    schema = plain.withColumn("n_lines", F.lit(0).cast("long")).withColumn("n_dropped", F.lit(0).cast("long")).schema
+    id_, gone = fresh(plain, "doc"), fresh(plain, "drops")
+    drops = suspects.join(repeats, "key").where("doc_id <> first").groupBy(F.col("doc_id").alias(id_)).agg(F.collect_list("h").alias(gone))
+    drops = materialize(drops, "drops")
+    same = F.col("doc_id").cast("long") == F.col(id_)
+    if drops.count() <= BROADCAST_IDS:
+        losers = F.broadcast(drops.select(id_))
+        whole, joined = plain.join(losers, same, "left_anti"), plain.join(losers, same, "left_semi").join(drops, same)
+    else:
+        whole, joined = None, plain.join(drops, same, "left")
+    long_ = lambda column: column.cast("long")
+    schema = plain.withColumn("n_lines", long_(F.lit(0))).withColumn("n_dropped", long_(F.lit(0))).schema
     names = plain.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, before, dropped = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("__drops").to_pylist(), strict=True):
-                found = (text or "").split("\n")
-                before.append(len(found))
-                if drop:
-                    gone = {h & 0xFFFFFFFFFFFFFFFF for h in drop}
-                    found = [x for x in found if xxhash.xxh64_intdigest(x.encode().lower().strip(), SPARK_SEED) not in gone]
-                texts.append("\n".join(found))
-                dropped.append(before[-1] - len(found))
-            columns = {name: pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in names}
-            yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
-
-    return joined.mapInArrow(kept, schema)
+        for large in batches:
+            for k in range(0, large.num_rows, AT_ONCE):
+                batch = large.slice(k, AT_ONCE)
+                texts, before, dropped = [], [], []
+                for text, drop in zip(batch.column("text").to_pylist(), batch.column(gone).to_pylist(), strict=True):
+                    found = (text or "").split("\n")
+                    before.append(len(found))
+                    if drop:
+                        out = {h & 0xFFFFFFFFFFFFFFFF for h in drop}
+                        found = [x for x in found if xxhash.xxh64_intdigest(x.encode().lower().strip(), SPARK_SEED) not in out]
+                    texts.append("\n".join(found))
+                    dropped.append(before[-1] - len(found))
+                columns = {name: pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in names}
+                yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())})
+
+    cut = joined.drop(id_).mapInArrow(kept, schema)
+    if whole is None:
+        return cut
+    text = F.coalesce("text", F.lit(""))
+    return whole.withColumns({"text": text, "n_lines": long_(F.size(F.split(text, "\n"))), "n_dropped": long_(F.lit(0))}).union(cut)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
