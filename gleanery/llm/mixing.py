@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import materialize
+from gleanery.llm.common import fresh, materialize
 
 #: What a null in a raked column counts as.
 NONE = "(none)"
-ROUNDS = 10
-#: Rounds after which the plan is cut.
-CUT = 5
+#: Rounds at most, rounds after which the plan is cut and the fit looked at, and the gap at which it has converged.
+ROUNDS, CUT, TOLERANCE = 20, 5, 1e-12
+#: Cells that are raked in one task.
+TOGETHER = 200_000
 SEED = "mix"
 #: Marginals of the registered query: each share is the observed one to this power, scaled to sum to 1.
 POWERS = {"source": 0.8, "lang": 0.9, "topic": 1.0}
@@ -24,45 +25,61 @@ def topic_of(text: Column) -> Column:
     return F.when(F.lower(whole).contains("licen"), "licence").when(whole.contains("@"), "address").when(whole.rlike("[0-9]"), "figures").otherwise("prose")
 
 
-def _cell(docs: DataFrame, dims: dict[str, Column]) -> DataFrame:
-    return docs.withColumns({f"__{name}": F.coalesce(column.cast("string"), F.lit(NONE)) for name, column in dims.items()})
+def _cell(docs: DataFrame, dims: dict[str, Column], keys: list[str]) -> DataFrame:
+    return docs.withColumns({key: F.coalesce(column.cast("string"), F.lit(NONE)) for key, column in zip(keys, dims.values(), strict=True)})
 
 
 def calibrate(docs: DataFrame, dims: dict[str, Column], powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Per cell (one value of every dimension): tokens, documents and the probability of its documents.
+    """Per cell (one value of every dimension, in columns ``__`` and its name): tokens, documents, and the probability ``__p`` of its documents.
 
     Targets of a dimension come from ``targets[name]`` with columns value and share (values it lacks keep their
     observed share of the tokens, the others split the rest), else from ``powers[name]``. Each half-step multiplies
-    the cells of a value by target over current weight, for ``rounds`` rounds; probabilities are the resulting
-    factors over the largest one of a cell with tokens, so all are 1 at most and expected tokens are in the fitted
-    proportions. Cells without tokens take the factor of their values. No documents: no cells.
+    the cells of a value by target over current weight. After every ``CUT`` rounds the largest gap between a
+    marginal and its target is measured; at ``TOLERANCE`` of all tokens the fit has converged and ends, at the latest
+    after ``rounds`` rounds (targets that contradict each other or the empty cells never meet). Column gap of the
+    result is the largest gap left, as a share of the tokens. Probabilities are the resulting factors over the
+    largest one of a cell with tokens, so all are 1 at most and expected tokens are in the fitted proportions. Cells
+    without tokens take the factor of their values. No documents: no cells. Texts of any length count whole.
+
+    Up to ``TOGETHER`` cells are raked in one task, by window functions that spill; more stay spread.
     """
     names = list(dims)
     keys = [f"__{name}" for name in names]
-    counted = _cell(docs, dims).withColumn("__tokens", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    cells = materialize(counted.groupBy(*keys).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
-    total = cells.agg(F.sum("tokens").alias("n")).first().n or 0
-    fitted = cells.withColumn("f", F.lit(1.0))
+    held = docs.select(*[F.coalesce(column.cast("string"), F.lit(NONE)).alias(key) for key, column in zip(keys, dims.values(), strict=True)], F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
+    cells = materialize(held.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
+    size = cells.agg(F.sum("tokens").alias("tokens"), F.count("*").alias("cells")).first()
+    total = float(size.tokens or 0)
+    near = lambda df: df.coalesce(1) if size.cells <= TOGETHER else df
+    everywhere = Window.partitionBy()
+    fitted = near(cells).withColumn("f", F.lit(1.0))
     for name, key in zip(names, keys, strict=True):
-        sums = cells.groupBy(key).agg(F.sum("tokens").alias("n"))
+        value = Window.partitionBy(key)
+        fitted = fitted.withColumns({"n": F.sum("tokens").over(value).cast("double"), "k": F.count("*").over(value)})
         if targets and name in targets:
-            given = sums.join(targets[name].select(F.col("value").cast("string").alias(key), F.col("share").cast("double").alias("share")), key, "left")
-            row = given.agg(F.sum("share").alias("named"), F.sum(F.when(F.col("share").isNull(), F.col("n"))).alias("rest")).first()
-            goal = F.when(F.col("share").isNull(), F.col("n").cast("double")).otherwise(F.col("share") / (row.named or 1.0) * (total - (row.rest or 0)))
+            fitted = near(fitted.join(targets[name].select(F.col("value").cast("string").alias(key), F.col("share").cast("double").alias("share")), key, "left"))
+            named = F.coalesce(F.sum(F.col("share") / F.col("k")).over(everywhere), F.lit(1.0))
+            rest = F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("tokens"))).over(everywhere), F.lit(0))
+            goal = F.when(F.col("share").isNull(), F.col("n")).otherwise(F.col("share") / named * (total - rest))
         else:
-            powered = F.pow(F.col("n").cast("double"), F.lit(float((powers or {}).get(name, 1.0))))
-            given = sums
-            goal = powered / F.lit(float(sums.agg(F.sum(powered).alias("p")).first().p or 1.0)) * float(total)
-        fitted = fitted.join(materialize(given.select(key, goal.alias(f"goal{key}")), "goals"), key)
-    for turn in range(rounds):
-        for key in keys:
-            now = F.sum(F.col("tokens") * F.col("f")).over(Window.partitionBy(key))
-            fitted = fitted.withColumn("f", F.col("f") * F.when(now > 0, F.col(f"goal{key}") / now).otherwise(1.0))
-        if turn % CUT == CUT - 1:
-            fitted = materialize(fitted, "fitted")
-    fitted = materialize(fitted.select(*keys, "tokens", "documents", "f"), "fitted")
-    most = fitted.agg(F.max(F.when(F.col("tokens") > 0, F.col("f"))).alias("m")).first().m or 1.0
-    return fitted.select(*keys, "tokens", "documents", F.least(F.lit(1.0), F.col("f") / most).alias("__p"))
+            powered = F.pow(F.col("n"), F.lit(float((powers or {}).get(name, 1.0))))
+            goal = powered / F.sum(powered / F.col("k")).over(everywhere) * total
+        fitted = fitted.withColumn(f"goal{key}", goal).drop("n", "k", "share")
+    fitted = materialize(fitted, "goals")
+    now = {key: F.sum(F.col("tokens") * F.col("f")).over(Window.partitionBy(key)) for key in keys}
+    gap, most = F.greatest(F.lit(0.0), *(F.abs(now[key] - F.col(f"goal{key}")) for key in keys)), 1.0
+    for turn in range(0, rounds, CUT):
+        fitted = near(fitted)
+        for _ in range(min(CUT, rounds - turn)):
+            for key in keys:
+                fitted = fitted.withColumn("f", F.col("f") * F.when(now[key] > 0, F.col(f"goal{key}") / now[key]).otherwise(1.0))
+        fitted = materialize(fitted.withColumn("gap", gap), "fitted")
+        reached = fitted.agg(F.max("gap").alias("gap"), F.max(F.when(F.col("tokens") > 0, F.col("f"))).alias("most")).first()
+        most = reached.most or 1.0
+        if (reached.gap or 0.0) <= TOLERANCE * total:
+            break
+        if turn + CUT < rounds:
+            fitted = fitted.drop("gap")
+    return fitted.select(*keys, "tokens", "documents", F.least(F.lit(1.0), F.col("f") / most).alias("__p"), (F.col("gap") / (total or 1.0)).alias("gap"))
 
 
 def chance(doc_id: Column, text: Column, seed: str = SEED) -> Column:
@@ -72,16 +89,18 @@ def chance(doc_id: Column, text: Column, seed: str = SEED) -> Column:
 
 
 def sample(docs: DataFrame, dims: dict[str, Column], **fit) -> DataFrame:
-    """The sampled rows of ``docs`` with their cell (``__`` and the dimension) and probability ``__p``.
+    """The sampled rows of ``docs`` with their cell (``__`` and the dimension) and probability ``__p``; where ``docs`` has a column of such a name, the added one gets underscores at its end.
 
     Null values are a value of their own; null and empty texts hold no tokens. Repeated ids are kept or left
     together. The cells are few beside the documents; the join broadcasts them only where Spark finds the written
     table small, else it is a shuffle with plain sides that are split when skewed.
     """
     cells = calibrate(docs, dims, **fit)
-    keys = [f"__{name}" for name in dims]
-    met = _cell(docs, dims).join(cells.select(*keys, "__p"), keys)
-    return met.where(chance(F.col("doc_id"), F.col("text")) < F.col("__p"))
+    keys = [fresh(docs, name) for name in dims]
+    p = fresh(docs, "p")
+    renamed = cells.select(*[F.col(f"__{name}").alias(key) for name, key in zip(dims, keys, strict=True)], F.col("__p").alias(p))
+    met = _cell(docs, dims, keys).join(renamed, keys)
+    return met.where(chance(F.col("doc_id"), F.col("text")) < F.col(p))
 
 
 def default_dims() -> dict[str, Column]:
