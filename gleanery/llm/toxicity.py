@@ -268,6 +268,7 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
                 np.add.at(step, inverse, (d_input[:, :WIDTH] if which == 0 else d_input[:, WIDTH:]) * used[:, which : which + 1])
                 spread[which][row] += (step * step).mean(1)
                 network.tables[which][row] -= speed * step / np.sqrt(spread[which][row])[:, None]
+    network.tables = [table.astype(np.float16) for table in network.tables]  # half the bytes to send around
     top = np.full(many, -np.inf)
     np.maximum.at(top, doc, network.logits(features, start, size))
     network.scale = _calibrated(top, labels)
