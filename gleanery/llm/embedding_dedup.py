@@ -18,22 +18,25 @@ SHARD_ROWS = 100_000
 SLICE_ROWS, PIECE_BYTES = 50_000, 4 << 20
 #: First beam, the beam from which exact comparison with the whole shard is cheaper, vectors of an audit, recall it asks for.
 BEAM, WIDEST, AUDITED, RECALL = 24, 1024, 512, 0.98
+#: Tasks that ask, however many pairs of a shard and a slice there are; nodes of one side of a tile that counts links.
+MOST_TASKS, TILE = 10_000, 2048
 #: Single precision cosines this much below the threshold are verified in double precision.
 SLACK = 1e-4
 
 _PIECES = "dim int, shard int, slice int, kind int, piece int, uid long, data binary"
 
 
-def _unit(embedding):
-    """Components in double precision where all are finite and not all zero, else null."""
-    v = embedding.cast("array<double>")
+def _unit(vectors: DataFrame):
+    """Embeddings (floats as they are, other numbers in double precision) where all components are finite and not all zero, else null."""
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding") if kind == "float" else F.col("embedding").cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     return F.when(F.coalesce(good, F.lit(False)), v)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
 def _normal(v: np.ndarray) -> np.ndarray:
@@ -45,7 +48,7 @@ def _hits(graph: Graph, base: np.ndarray, queries: np.ndarray, threshold: float,
     """(query, node) of every link found: beams widen for queries whose beam is full of links, and end in a comparison with all vectors of the shard."""
     found_q, found_n, left = [], [], np.arange(len(queries))
     while len(left):
-        wide = beam >= min(WIDEST, len(base) // 4)
+        wide = beam >= min(WIDEST, len(base))
         if wide:
             parts = [np.nonzero(queries[left[k : k + 128]] @ base.T >= threshold) for k in range(0, len(left), 128)]
             q = np.concatenate([p[0] + 128 * k for k, p in enumerate(parts)])
@@ -65,20 +68,32 @@ def _hits(graph: Graph, base: np.ndarray, queries: np.ndarray, threshold: float,
 
 
 def _audited_beam(graph: Graph, base: np.ndarray, threshold: float) -> int:
-    """The narrowest of the doubled beams that finds at least RECALL of the links of an audit.
+    """The narrowest of the doubled beams that passes a recall audit.
 
     The audit asks for evenly spread vectors of the shard, and for as many planted ones whose cosine to such a vector
-    is just above the threshold, the hardest links there are; brute force over the shard gives the truth.
+    is just above the threshold, the hardest links there are; brute force over the shard gives the truth. Each query
+    that has links counts the same, however many it has; a vector's hit of itself doesn't count. Of either kind the
+    mean recall must be RECALL.
     """
-    sample = base[np.linspace(0, len(base) - 1, min(AUDITED, len(base))).astype(np.int64)]
+    own = np.linspace(0, len(base) - 1, min(AUDITED, len(base))).astype(np.int64)
+    sample = base[own]
     noise = np.random.default_rng(0).normal(size=sample.shape)
     noise -= (noise * sample).sum(1, keepdims=True) * sample
     edge = min(1.0, threshold + 0.005)
     planted = edge * sample + np.sqrt(1 - edge * edge) * noise / np.maximum(np.sqrt((noise * noise).sum(1, keepdims=True)), 1e-12)
-    asked = np.concatenate((sample, planted))
-    linked = sum(int((asked[k : k + 128] @ base.T >= threshold).sum()) for k in range(0, len(asked), 128))
+    asked, many = np.concatenate((sample, planted)), len(own)
+    truth = np.concatenate([(asked[k : k + 128] @ base.T >= threshold).sum(1) for k in range(0, len(asked), 128)])
+
+    def recall(beam: int) -> float:
+        q, n = _hits(graph, base, asked, threshold, beam)
+        itself = (q < many) & (n == own[np.minimum(q, many - 1)])
+        found = np.bincount(q[~itself], minlength=len(asked))
+        wanted = truth - np.bincount(q[itself], minlength=len(asked))
+        kinds = (slice(0, many), slice(many, None))
+        return min(float((found[k][wanted[k] > 0] / wanted[k][wanted[k] > 0]).mean()) if (wanted[k] > 0).any() else 1.0 for k in kinds)
+
     beam = BEAM
-    while beam < min(WIDEST, len(base) // 4) and len(_hits(graph, base, asked, threshold, beam)[0]) < RECALL * linked:
+    while beam < min(WIDEST, len(base)) and recall(beam) < RECALL:
         beam *= 2
     return beam
 
@@ -103,7 +118,38 @@ def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
+def _counted(members: DataFrame, threshold: float) -> DataFrame:
+    """(uid, links) of nodes (uid, v, copies, root): the other rows linked to each, counted over the whole component.
+
+    A component's nodes are dealt into blocks, and each pair of blocks is one tile of bounded size, so both ends of
+    every link count it whichever found it.
+    """
+
+    def count(tile: pa.Table) -> pa.Table:
+        side, copies, unit = tile.column("side").to_numpy(), tile.column("copies").to_numpy(), _normal(_matrix(tile.column("v")))
+        one = side == side.min()
+        links = np.zeros(len(side), dtype=np.int64)
+        if one.all():
+            for k in range(0, len(side), 256):
+                near = unit[k : k + 256] @ unit.T >= threshold
+                near[np.arange(len(near)), k + np.arange(len(near))] = False
+                links[k : k + 256] = near @ copies
+        else:
+            first, second = np.flatnonzero(one), np.flatnonzero(~one)
+            for k in range(0, len(first), 256):
+                near = unit[first[k : k + 256]] @ unit[second].T >= threshold
+                links[first[k : k + 256]] = near @ copies[second]
+                links[second] += copies[first[k : k + 256]] @ near
+        return pa.table({"uid": tile.column("uid"), "links": pa.array(links)}, schema=pa.schema([("uid", pa.int64()), ("links", pa.int64())]))
+
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    dealt = members.join(sizes, "root").withColumn("block", F.expr("pmod(xxhash64(uid, 7), blocks)"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = met.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "uid", "copies", "v")
+    return tiles.groupBy("root", "i", "j").applyInArrow(count, "uid long, links long").groupBy("uid").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shards: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
 
     Two rows link when the cosine of their embeddings, in double precision, is at least ``threshold``; labels and
@@ -111,21 +157,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     reachable, kept says whether that is the row's own. Embeddings that are null, empty, zero or hold null or
     non-finite components, and embeddings of different lengths, link with nothing. Rows without a vec_id aren't
     compared (0 links, no component, not kept). Rows that share a vec_id are rows of their own, but of one component
-    where either links.
+    where either links. Embeddings of any length are compared whole.
 
     Equal embeddings are one node with a count. Nodes are dealt over shards by hash; each shard's graph is built in
     one task and written to the shared folder, and its beam is widened until a recall audit against brute force
     passes. Every node then asks every shard, in slices; a query whose beam is full of links is repeated with a wider
-    one. A task returns, per query, the number of linked rows and one edge for each of the shard's own components
-    it reaches, never all pairs of a group. The cost is rows times shards; a shard is as large as memory allows.
+    one. A task returns, per query, one edge for each of the shard's own components it reaches, never all pairs of a
+    group. Inside the components links are counted by brute force in tiles, so a link that only one end found, or
+    neither, counts for both. The cost is rows times shards; there are as many ``shards`` as the cluster runs tasks
+    unless given or one would exceed ``SHARD_ROWS``.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _unit(F.col("embedding")).alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _unit(vectors).alias("v"))
     good = rows.where("v is not null and vec_id is not null").withColumn("uid", F.xxhash64("v"))
     nodes = materialize(good.groupBy("uid", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first")).withColumn("dim", F.size("v")), "nodes")
     many = nodes.count()
-    shards = max(1, min(max(spark.sparkContext.defaultParallelism, -(-many // SHARD_ROWS)), -(-many // 64)))
+    shards = shards or max(1, min(max(spark.sparkContext.defaultParallelism, -(-many // SHARD_ROWS)), -(-many // 64)))
+    kind = nodes.schema["v"].dataType.simpleString()
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
 
     def build(part: pa.Table) -> pa.Table:
@@ -146,10 +195,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     graphs = materialize(dealt.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, piece int, data binary"), "graphs")
     slices = max(1, -(-many // SLICE_ROWS))
     each = F.sequence(F.lit(0), F.lit(slices - 1))
-    stored = graphs.select("dim", "shard", F.explode(each).alias("slice"), F.lit(0).alias("kind"), "piece", F.lit(None).cast("long").alias("uid"), "data", F.lit(None).cast("array<double>").alias("v"))
+    stored = graphs.select("dim", "shard", F.explode(each).alias("slice"), F.lit(0).alias("kind"), "piece", F.lit(None).cast("long").alias("uid"), "data", F.lit(None).cast(kind).alias("v"))
     asked = nodes.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64(F.col("uid"), F.lit(1)), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("kind"), F.lit(0).alias("piece"), "uid", F.lit(None).cast("binary").alias("data"), "v")
-    tasks = stored.union(asked).repartitionByRange(shards * slices, "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", "kind", "piece")
-    out = pa.schema([("uid", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
+    tasks = stored.union(asked).repartitionByRange(min(shards * slices, MOST_TASKS), "dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", "kind", "piece")
+    out = pa.schema([("uid", pa.int64()), ("other", pa.int64())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph, held, pieces, at = None, {}, [], None
@@ -173,22 +222,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                     own = uid[k : k + TOGETHER]
                     q, n = _hits(graph, held["base"], queries[k : k + TOGETHER], threshold, int(held["beam"][0]))
                     other = held["uid"][n] != own[q]
-                    q, n = q[other], n[other]
-                    count = np.bincount(q, weights=held["copies"][n], minlength=len(own)).astype(np.int64)
-                    reached = np.unique(np.stack((q, held["label"][n]), axis=1), axis=0)
-                    to = held["uid"][reached[:, 1]]
-                    edge = pa.RecordBatch.from_arrays([pa.array(own[reached[:, 0]]), pa.array(to), pa.array(np.zeros(len(to), np.int64))], schema=out)
-                    some = count > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(count[some])], schema=out)
-                    yield edge
-
-    answers = materialize(tasks.mapInArrow(ask, "uid long, other long, links long"), "answers")
-    degree = answers.groupBy("uid").agg(F.sum("links").alias("links"))
-    # A link that only the other end found still counts as one.
-    back = answers.where("other is not null and uid <> other").groupBy(F.col("other").alias("uid")).agg(F.lit(1).cast("long").alias("back"))
-    groups = components(answers.where("other is not null"), "uid", "other").withColumnRenamed("node", "uid")
-    known = nodes.select("uid", "copies", "first").join(degree, "uid", "left").join(back, "uid", "left").join(groups, "uid", "left")
-    known = materialize(known.select("uid", "first", (F.greatest(F.coalesce("links", F.lit(0)), F.coalesce("back", F.lit(0))) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "uid").alias("root")), "known")
+                    reached = np.unique(np.stack((q[other], held["label"][n[other]]), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[reached[:, 0]]), pa.array(held["uid"][reached[:, 1]])], schema=out)
+
+    answers = materialize(tasks.mapInArrow(ask, "uid long, other long"), "answers")
+    groups = components(answers, "uid", "other").withColumnRenamed("node", "uid").withColumnRenamed("component", "root")
+    joined = materialize(nodes.select("uid", "v", "copies").join(groups, "uid"), "joined")
+    known = nodes.select("uid", "copies", "first").join(_counted(joined, threshold), "uid", "left").join(joined.select("uid", "root"), "uid", "left")
+    known = materialize(known.select("uid", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "uid").alias("root")), "known")
     smallest = materialize(known.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     known = materialize(known.join(smallest, "root").select("uid", "n_links", "component_id"), "known")
     linked = good.select("vec_id", "uid").join(known, "uid").select("vec_id", "n_links", "component_id")
