@@ -257,6 +257,26 @@ def test_embeddings_against_brute_force(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_of_groups_larger_than_a_beam(spark):
+    """One shard whose groups fill the first beam many times over: counts are exact, and the graph is used whatever the shard's size."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 24))
+    v = np.concatenate([c + rng.normal(size=(90, 24)) * 0.33 for c in centres] + [rng.normal(size=(60, 24))])
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(x))
+    for _ in range(50):
+        label = np.minimum(label, np.where(linked, label[None], len(x)).min(1))
+    df = spark.createDataFrame([(k, y.tolist()) for k, y in enumerate(v)], "vec_id long, embedding array<float>")
+    x = v.astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for shards in (1, 9):
+        got = {r.vec_id: r for r in near_duplicates(df, shards=shards).collect()}
+        assert [got[k].n_links for k in range(len(x))] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+        assert [got[k].component_id for k in range(len(x))] == label.tolist()
+
+
 # URLs, chat, licences, pages ---------------------------------------------------------------------
 
 
@@ -434,6 +454,17 @@ def test_page_order_does_not_depend_on_partitions(spark):
         assert got == {k: f"Text {k} one\nText {k} two\nText {k} three" for k in range(60)}
 
 
+def test_copies_of_a_page_still_meet_their_template(spark):
+    """A run of near copies at adjacent urls: the neighbours of its inner pages are copies, the page before the run shows the template."""
+    page = lambda top, body: f"<div>Template top</div><div>Template two</div>{body}<div>Template end {top}</div>"
+    own = "".join(f"<p>Same line {k}</p>" for k in range(20))
+    rows = [(0, "http://h.com/a", page("", "<p>First page one</p><p>First page two</p><p>First page three</p>"))] + [(k, f"http://h.com/b{k}", page("", own + f"<p>Copy {k}</p>")) for k in range(1, 6)]
+    rows += [(9, "http://h.com/z", page("", "<article><p>Marked</p></article>"))]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got[9] == "Marked" and got[0] == "First page one\nFirst page two\nFirst page three"
+    assert all(got[k] == "\n".join([*(f"Same line {j}" for j in range(20)), f"Copy {k}"]) for k in range(1, 6))
+
+
 def test_digest_of_kept_text(spark):
     from gleanery.llm.line_dedup import op1_line_dedup
 
