@@ -11,13 +11,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import components, materialize, small_batches
-from gleanery.llm.sketch import SEGMENT, Sketch, build, cells_for
+from gleanery.llm.common import components, counted, materialize, small_batches
+from gleanery.llm.sketch import SEGMENT, build, cells_for
 
 #: Documents of one token that are still compared as single pairs; larger buckets are compared in tiles.
 PAIRED = 64
-#: Rows of a tile's side, and shingles that its sets may hold together.
-TILE_ROWS, TILE_SHINGLES = 512, 1 << 21
+#: Rows of a tile's side, and shingles that they may hold together (one row of any length always fits).
+TILE_ROWS, TILE_SHINGLES = 128, 1 << 21
+#: Ids that are broadcast (8 bytes each) to pick the sets that pairs ask for; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Counters of how many representatives hold a shingle.
+MOST_COUNTERS = 1 << 22
 #: Words whose hash a worker remembers.
 REMEMBERED = 100_000
 
@@ -52,44 +56,78 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(total * np.uint64(0xBF58476D1CE4E5B9))
 
 
-def _prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Per document its number of shingles; where it can have a partner also the digest of its set, its prefix and the set.
+def _shingled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Per document its number of shingles, and where it can have a partner also the digest of its set and the set.
 
-    The order of the prefix: shingles of one document only, then by rising powers of two of the estimated document
-    frequency, then by hash. A document whose prefix consists of shingles that no other has can't reach the
-    threshold with any, and gets nulls.
+    A set whose prefix, its shingles of one document only before all others, consists of such shingles alone can't
+    reach the threshold with any.
     """
     n_words = int((docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0) / 5)
-    cells = cells_for(n_words, 1)
     sets = lambda batch: [shingle_set(text, size) for text in batch.column("text").to_pylist()]
-    sketch = build(docs.select("text"), lambda batch: np.concatenate([np.zeros(0, np.uint64), *sets(batch)]), cells, 1, min(1 << 21, max(SEGMENT, cells // 16)))
-    often = np.log2(np.maximum(1, sketch.counts / (8 * sketch.counts.mean() + 8)))
-    shared = docs.sparkSession.sparkContext.broadcast(Sketch(sketch.twice, cells, 1, 1 + often.astype(np.uint8)))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("dig", pa.binary()), ("pk", pa.binary()), ("tok", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("shingles", pa.binary())])
+    sketch = build(docs.select("text"), lambda batch: np.concatenate([np.zeros(0, np.uint64), *sets(batch)]), cells_for(n_words, 1), 1)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("dig", pa.binary()), ("shingles", pa.binary()), ("again", pa.binary())])
 
-    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
                 found = sets(batch)
-                ends = np.cumsum([len(s) for s in found])
-                repeated = np.split(shared.value.repeated(np.concatenate(found)), ends[:-1])
+                repeated = np.split(shared.value.repeated(np.concatenate(found)), np.cumsum([len(s) for s in found])[:-1])
                 rows = []
                 for doc_id, shingles, again in zip(batch.column("doc_id").to_pylist(), found, repeated, strict=True):
-                    n = len(shingles)
-                    length = n - -(-num * n // den) + 1
-                    alone = n - int(again.sum())
-                    if doc_id is None or not n or alone >= length:
-                        rows.append((doc_id, n, None, None, None, None, None))
-                        continue
+                    if doc_id is None or len(shingles) - again.sum() >= _length(len(shingles), num, den):
+                        rows.append((doc_id, len(shingles), None, None, None))
+                    else:
+                        rows.append((doc_id, len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), shingles.tobytes(), np.packbits(again).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(shingled, "doc_id long, n long, dig binary, shingles binary, again binary")
+
+
+def _length(n: int, num: int, den: int) -> int:
+    """Shingles of a prefix: two sets above the threshold share one within them, in any common order."""
+    return n - -(-n * num // den) + 1 if n else 0
+
+
+def _repeated(row: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A stored set and which of its shingles other documents may hold."""
+    shingles = np.frombuffer(row[0], dtype=np.uint64)
+    return shingles, np.unpackbits(np.frombuffer(row[1], dtype=np.uint8))[: len(shingles)] > 0
+
+
+def _prefixed(reps: DataFrame, items: int, num: int, den: int) -> DataFrame:
+    """(rep, n, pk, tok, pos) of the representatives (rep, n, shingles, again) that can have a partner among each other.
+
+    The common order of shingles: those of one representative only, then by rising powers of two of the estimated
+    number of representatives, then by hash. Estimates count representatives, not copies, so that a passage of many
+    documents stands out from the noise of the counters.
+    """
+    counters = min(MOST_COUNTERS, max(SEGMENT, 1 << max(1, items // 2).bit_length()))
+    load = items / counters
+    pairs = lambda batch: zip(batch.column("shingles").to_pylist(), batch.column("again").to_pylist(), strict=True)
+    mine = lambda batch: np.concatenate([np.zeros(0, np.uint64), *(s[again] for s, again in map(_repeated, pairs(batch)))])
+    sketch = build(reps.select("shingles", "again"), mine, cells_for(items, 2), 1, counters, base=load + 3 * load**0.5 + 1)
+    shared = reps.sparkSession.sparkContext.broadcast(sketch)
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("pk", pa.binary()), ("tok", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))])
+
+    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for rep, (shingles, again) in zip(batch.column("rep").to_pylist(), map(_repeated, pairs(batch)), strict=True):
+                n = len(shingles)
+                length = _length(n, num, den)
+                again[again] = shared.value.repeated(shingles[again])
+                alone = n - int(again.sum())
+                if alone < length:
                     both = shingles[again]
                     rank = np.argsort(shared.value.estimate(both), kind="stable")[: length - alone]
                     prefix = np.concatenate((shingles[~again], both[rank]))
                     group = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
-                    rows.append((doc_id, n, hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), group, both[rank].view(np.int64), np.arange(alone, length, dtype=np.int32), shingles.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows.append((rep, n, group, both[rank].view(np.int64), np.arange(alone, length, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prefixed, "doc_id long, n long, dig binary, pk binary, tok array<long>, pos array<int>, shingles binary")
+    return reps.select("rep", "shingles", "again").mapInArrow(prefixed, "rep long, n long, pk binary, tok array<long>, pos array<int>")
 
 
 def _may_link(n: Column, pos: Column, other_n: Column, other_pos: Column, num: int, den: int) -> Column:
@@ -98,6 +136,11 @@ def _may_link(n: Column, pos: Column, other_n: Column, other_pos: Column, num: i
     return sizes & (F.least(n - pos, other_n - other_pos) * (num + den) >= (n + other_n) * num)
 
 
+def _only(sets: DataFrame, ids: DataFrame, many: int) -> DataFrame:
+    """The rows of ``sets`` whose doc_id is in ``ids`` (column doc_id, ``many`` rows): up to ``BROADCAST_IDS`` are broadcast, so that sets nobody asks for are not shuffled; more are joined."""
+    return materialize(sets.join(F.broadcast(ids) if many <= BROADCAST_IDS else ids.distinct(), "doc_id", "left_semi"), "wanted")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
 
@@ -110,44 +153,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    # Merge joins on plain exchanges, which Spark splits where one document leads many.
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).hint("merge")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).hint("merge")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
 def _tiled(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between the members of large buckets: members are dealt into blocks, each pair of blocks is one tile, and a tile returns a spanning forest of its links."""
+    """Links between different components of large buckets (rows: token, rep, c, most).
+
+    Pairs inside a bucket's largest component need no comparison. The other members, its strays, are dealt into
+    blocks, and so are all members; each block of strays meets each block of members in a tile, which returns a
+    spanning forest of the links it finds. A bucket with few strays costs work in proportion to its size.
+    """
 
     def compare(tile: pa.Table) -> pa.Table:
-        rep, side = tile.column("rep").to_numpy(), tile.column("side").to_numpy()
+        rep, side, c = (tile.column(x).to_numpy() for x in ("rep", "side", "c"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in tile.column("shingles").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         _, place = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(place, kind="stable")
         row, place = row[order], place[order]
-        both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        stray, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        both = np.zeros((len(stray), len(other)), dtype=np.float32)
         for low in range(0, int(place[-1]) + 1, 4096):
             part = slice(*np.searchsorted(place, (low, low + 4096)))
             held = np.zeros((len(sets), 4096), dtype=np.float32)
             held[row[part], place[part] - low] = 1
-            both += held @ held.T
-        linked = den * both.astype(np.int64) >= num * (sizes[:, None] + sizes - both.astype(np.int64))
-        if side.min() != side.max():
-            linked &= side[:, None] != side
+            both += held[stray] @ held[other].T
+        both = both.astype(np.int64)
+        linked = (den * both >= num * (sizes[stray][:, None] + sizes[other] - both)) & (c[stray][:, None] != c[other])
         label, before = np.arange(len(sets)), None
         while before is None or (label != before).any():
-            before = label
-            label = np.minimum(label, np.where(linked, label, len(sets)).min(1))
+            before = label.copy()
+            reached = np.where(linked, label[stray][:, None], len(sets)).min(0, initial=len(sets))
+            label[other] = np.minimum(label[other], reached)
+            reached = np.where(linked, label[other], len(sets)).min(1, initial=len(sets))
+            label[stray] = np.minimum(label[stray], reached)
         tied = label != np.arange(len(sets))
         return pa.table({"a": rep[label[tied]], "b": rep[tied]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    per = F.greatest(F.lit(8), F.least(F.lit(TILE_ROWS), F.lit(TILE_SHINGLES) / F.col("most"))).cast("long")
-    blocks = F.ceil(F.col("members") / per)
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sides = met.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "rep")
-    full = sides.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    held = rows.groupBy("token", "c").agg(F.count("*").alias("k"), F.max("most").alias("most"))
+    per = F.greatest(F.lit(1), F.least(F.lit(TILE_ROWS), F.floor(F.lit(TILE_SHINGLES) / F.col("most"))))
+    main = held.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("members"), (F.sum("k") - F.max("k")).alias("strays"), F.max("most").alias("most"))
+    main = main.select("token", "main", F.ceil(F.col("strays") / per).alias("rows_"), F.ceil(F.col("members") / per).alias("columns_"))
+    dealt = materialize(rows.drop("most").join(main, "token"), "dealt")
+    to = lambda many, column: F.expr(f"pmod(xxhash64(rep, {many}), {column})")
+    each = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
+    strays = dealt.where("c <> main").select("token", to(0, "rows_").alias("i"), each("columns_").alias("j"), F.lit(0).alias("side"), "rep", "c")
+    all_ = dealt.select("token", each("rows_").alias("i"), to(1, "columns_").alias("j"), F.lit(1).alias("side"), "rep", "c")
+    full = strays.union(all_).join(sets.withColumnRenamed("doc_id", "rep").hint("merge"), "rep")
     return full.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
 
 
@@ -156,55 +212,75 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
 
     component_id is the smallest doc_id reachable by links, itself included. Null, empty and blank texts have an
     empty set and link with nothing. Rows without a doc_id link with nothing and have no component; rows that share
-    one are one document with several texts. Other columns are ignored.
+    one are one document with several texts. Texts of any length count whole. Other columns are ignored.
 
     1. Equal sets become one representative. Representatives with equal size and prefix become one group, and
        groups meet in an inverted index of their prefix shingles (exact by the prefix principle: two sets above the
        threshold share a shingle of both prefixes, in any common order).
     2. Each bucket of the index pairs its groups with its first group only; pairs that pass the size and position
        filters are expanded to members and verified on whole sets. Linked documents are one component from here on.
-    3. Buckets that still hold several components are completed: small ones by pairs of members of different
-       components, large ones in tiles. So a group of copies costs work in proportion to its size where its first
+    3. Buckets that still hold several components are completed, still by groups: in small ones the pairs of groups
+       that pass the filters and are not of one component are expanded to the members of different components; in
+       large ones the members outside the bucket's largest component are compared with all in tiles. Buckets with
+       the same groups are compared once. So a group of copies costs work in proportion to its size where its first
        document links it together, and never one row for each of its pairs.
 
-    Identity of shingles is that of 64-bit hashes, of sets that of 128-bit digests.
+    Only sets that a pair asks for are shuffled. Identity of shingles is that of 64-bit hashes, of sets and of
+    buckets that of 128-bit digests.
     """
     small_batches(docs.sparkSession)
-    prefixes = materialize(_prefixes(docs, size, num, den), "prefixes")
-    living = prefixes.where("dig is not null")
-    best = F.min_by(F.struct(F.col("doc_id").alias("rep"), "n", "pk", "tok", "pos"), "doc_id").alias("r")
-    reps = materialize(living.groupBy("dig").agg(best).select("dig", "r.*"), "reps")
-    groups = materialize(reps.groupBy("pk").agg(F.min_by(F.struct(F.col("rep").alias("gid"), "n", "tok", "pos"), "rep").alias("r")).select("pk", "r.*"), "groups")
-    members = materialize(reps.select("pk", "rep").join(groups.select("pk", "gid"), "pk").select("gid", "rep"), "members")
-    sets = living.select("doc_id", "shingles")
-
+    shingled = materialize(_shingled(docs, size, num, den), "shingled")
+    living = shingled.where("dig is not null")
+    digests, many = counted(living.groupBy("dig").agg(F.min("doc_id").alias("rep")), "digests")
+    own = living.withColumnRenamed("doc_id", "rep").join(F.broadcast(digests) if many <= BROADCAST_IDS else digests, ["dig", "rep"], "left_semi")
+    # Rows that share a doc_id and a text stay several; they make no other links.
+    sets = materialize(own.select("rep", "n", "shingles", "again"), "sets")
+    reps = materialize(_prefixed(sets, sets.agg(F.sum("n").alias("n")).first().n or 0, num, den).distinct(), "reps")
+    sets = sets.select(F.col("rep").alias("doc_id"), "shingles")
+    first = F.min_by(F.struct(F.col("rep").alias("gid"), "n", "tok", "pos"), "rep").alias("r")
+    groups = materialize(reps.groupBy("pk").agg(first, F.count("*").alias("size")).select("pk", "r.*", "size"), "groups")
+    crowds = reps.select("pk", "rep").join(groups.where("size > 1").select("pk", "gid"), "pk")
     each = lambda df, *keep: df.select(*keep, F.explode(F.arrays_zip("tok", "pos")).alias("at")).select(*keep, F.col("at.tok").alias("token"), F.col("at.pos").alias("pos"))
+
     indexed = each(groups, "gid", "n")
     lead = indexed.groupBy("token").agg(F.min(F.struct("gid", "n", "pos")).alias("lead"), F.count("*").alias("c"))
     leads = materialize(lead.where("c > 1").select("token", F.col("lead.gid").alias("a"), F.col("lead.n").alias("an"), F.col("lead.pos").alias("ap")), "leads")
     star = indexed.join(leads, "token").where("gid <> a").where(_may_link(F.col("n"), F.col("pos"), F.col("an"), F.col("ap"), num, den))
-    group_pairs = star.select("a", "gid").distinct()
-    first_pairs = materialize(group_pairs.join(members, "gid").select("a", F.col("rep").alias("b")).union(members.where("gid <> rep").select("gid", "rep")), "pairs")
-    first_links = materialize(_verified(first_pairs, sets, num, den), "links")
-
-    known = components(first_links)
-    placed = materialize(reps.select("rep", "n", "tok", "pos").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "placed")
-    indexed = each(placed, "rep", "n", "c")
-    mixed = indexed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members"), F.max("n").alias("most"))
-    mixed = materialize(mixed.where("low <> high").select("token", "members", "most"), "mixed")
+    met = star.select("a", "gid").distinct().join(crowds.select("gid", "rep"), "gid", "left").select("a", F.coalesce("rep", "gid").alias("b"))
+    first_pairs, many = counted(met.where("a <> b").union(crowds.where("gid <> rep").select("gid", "rep")).distinct(), "pairs")
+    ends = lambda df: df.select("a").union(df.select("b")).withColumnRenamed("a", "doc_id")
+    first_links = materialize(_verified(first_pairs, _only(sets, ends(first_pairs), 2 * many), num, den), "links")
+
+    known = components(first_links).withColumnRenamed("node", "rep")
+    state = materialize(reps.select("pk", "rep").join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "state")
+    spans = state.groupBy("pk").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    indexed = each(groups.join(spans, "pk"), "gid", "n", "size", "low", "high")
+    xor = [F.bit_xor(F.xxhash64("gid", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    mixed = indexed.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("members"), F.max("n").alias("most"), F.count("*").alias("k"), F.sum("pos").alias("places"), *xor)
+    # Of buckets with the same groups the one earliest in the common order: the position filter holds at a pair's first common shingle.
+    mixed = mixed.where("low <> high").groupBy("k", "h0", "h1").agg(F.min_by(F.struct("token", "members", "most"), F.struct("places", "token")).alias("m")).select("m.*")
     rows = materialize(indexed.join(mixed, "token"), "rows")
+    crowds = materialize(state.join(groups.where("size > 1").select("pk", "gid"), "pk").select("gid", "rep", "c"), "crowds")
+
     few = rows.where(F.col("members") <= PAIRED)
-    x, y = (few.select("token", *(F.col(c).alias(p + c) for c in ("rep", "n", "c", "pos"))) for p in "xy")
-    near = x.join(y, "token").where("xrep < yrep and xc <> yc").where(_may_link(F.col("xn"), F.col("xpos"), F.col("yn"), F.col("ypos"), num, den))
-    pairs = near.select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
+    x, y = (few.select("token", *(F.col(c).alias(p + c) for c in ("gid", "n", "low", "high", "pos"))) for p in "xy")
+    near = x.join(y, "token").where("xgid <= ygid and (xlow <> xhigh or ylow <> yhigh or xlow <> ylow)")
+    near = near.where(_may_link(F.col("xn"), F.col("xpos"), F.col("yn"), F.col("ypos"), num, den)).select("xgid", "xlow", "ygid", "ylow").distinct()
+    for p in "xy":
+        near = near.join(crowds.select(F.col("gid").alias(f"{p}gid"), F.col("rep").alias(f"{p}rep"), F.col("c").alias(f"{p}c")), f"{p}gid", "left")
+        near = near.withColumns({f"{p}rep": F.coalesce(f"{p}rep", f"{p}gid"), f"{p}c": F.coalesce(f"{p}c", f"{p}low")})
+    pairs = near.where("xc <> yc").select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b")).distinct()
     done = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    later = _verified(materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), sets, num, den)
-    links = first_links.union(later).union(_tiled(rows.where(F.col("members") > PAIRED), sets, num, den))
+    pairs, n_pairs = counted(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    large = rows.where(F.col("members") > PAIRED).select("token", "gid", F.col("low"), "most").join(crowds, "gid", "left")
+    large, n_large = counted(large.select("token", F.coalesce("rep", "gid").alias("rep"), F.coalesce("c", "low").alias("c"), "most"), "large")
+    wanted = _only(sets, ends(pairs).union(large.select("rep")), 2 * n_pairs + n_large)
+    links = first_links.union(_verified(pairs, wanted, num, den)).union(materialize(_tiled(large, wanted, num, den), "tiles"))
 
     final = components(links)
-    labels = materialize(reps.select("dig", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("dig", F.coalesce("component", "rep").alias("component_id")), "labels")
+    labels = materialize(digests.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("dig", F.coalesce("component", "rep").alias("component_id")), "labels")
     linked = living.select("doc_id", "n", "dig").join(labels, "dig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(prefixes.where("dig is null").select("doc_id", "n", "doc_id"))
+    return linked.union(shingled.where("dig is null").select("doc_id", "n", "doc_id"))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ MAX_CELLS = 1 << 27
 
 @dataclass
 class Sketch:
-    """``twice``: bits of the cells hit at least twice. ``counts``: the count-min row, or an empty array."""
+    """``twice``: bits of the cells hit at least twice. ``counts``: levels of the count-min row (1, and one more for each doubling above the base), or an empty array."""
 
     twice: np.ndarray
     cells: int
@@ -33,7 +33,7 @@ class Sketch:
         return out
 
     def estimate(self, hashes: np.ndarray) -> np.ndarray:
-        """Never below the true count."""
+        """Level of each hash; never below that of its true count."""
         return self.counts[(hashes >> np.uint64(11)) % np.uint64(len(self.counts))]
 
 
@@ -57,18 +57,19 @@ def cells_for(items: int, per_item: int) -> int:
     return min(MAX_CELLS, max(SEGMENT, 1 << max(1, items * per_item - 1).bit_length()))
 
 
-def build(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], cells: int, probes: int, counters: int = 0, at_once: int = 1000) -> Sketch:
+def build(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], cells: int, probes: int, counters: int = 0, at_once: int = 1000, base: float = 1.0) -> Sketch:
     """Add what ``hashes_of`` makes of every batch of ``rows``.
 
     As many tasks as the cluster runs at once each fill filters of bounded size; the pieces are merged by
     segment (a cell that two tasks have hit once counts as hit twice), and only the bits of ``twice`` and the
-    counters, whose size is bounded whatever the input, come to the driver. ``at_once`` rows are hashed together.
+    the counters' levels above ``base``, whose size is bounded whatever the input, come to the driver. ``at_once`` rows
+    are hashed together.
     """
     spark = rows.sparkSession
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, again = np.zeros(cells // 8, dtype=np.uint8), np.zeros(cells // 8, dtype=np.uint8)
-        counts = np.zeros(counters, dtype=np.int64)
+        counts = np.zeros(counters, dtype=np.int32)
         for whole in batches:
             for low in range(0, whole.num_rows, at_once):
                 hashes = hashes_of(whole.slice(low, at_once))
@@ -92,8 +93,9 @@ def build(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], ce
         segment = pieces.column("segment")[0].as_py()
         parts = zip(pieces.column("once").to_pylist(), pieces.column("twice").to_pylist(), strict=True)
         if segment < 0:
-            total = sum(np.frombuffer(zlib.decompress(once), dtype=np.int64) for once, _ in parts)
-            return pa.table({"segment": [segment], "bits": [zlib.compress(total.tobytes(), 1)]}, schema=merged)
+            total = sum(np.frombuffer(zlib.decompress(once), dtype=np.int32).astype(np.int64) for once, _ in parts)
+            level = (1 + np.log2(np.maximum(1, total / base))).astype(np.uint8)
+            return pa.table({"segment": [segment], "bits": [zlib.compress(level.tobytes(), 1)]}, schema=merged)
         seen, again = np.zeros(SEGMENT // 8, dtype=np.uint8), np.zeros(SEGMENT // 8, dtype=np.uint8)
         for once, twice in parts:
             one = np.frombuffer(zlib.decompress(once), dtype=np.uint8)
@@ -104,12 +106,12 @@ def build(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], ce
     schema = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
     merged = pa.schema([("segment", pa.int32()), ("bits", pa.binary())])
     filled = rows.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(fill, "segment int, once binary, twice binary")
-    twice, counts = np.zeros(cells // 8, dtype=np.uint8), np.zeros(counters, dtype=np.int64)
+    twice, counts = np.zeros(cells // 8, dtype=np.uint8), np.ones(counters, dtype=np.uint8)
     for row in filled.groupBy("segment").applyInArrow(merge, "segment int, bits binary").collect():
         whole = zlib.decompress(row.bits)
         if row.segment < 0:
             at = (-1 - row.segment) * SEGMENT
-            counts[at : at + SEGMENT] = np.frombuffer(whole, dtype=np.int64)
+            counts[at : at + SEGMENT] = np.frombuffer(whole, dtype=np.uint8)
         else:
             twice[row.segment * SEGMENT // 8 : (row.segment + 1) * SEGMENT // 8] = np.frombuffer(whole, dtype=np.uint8)
     return Sketch(twice, cells, probes, counts)
