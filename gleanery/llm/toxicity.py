@@ -17,51 +17,79 @@ WINDOW = 32
 STRIDE = 16
 HIDDEN = 8
 WIDTH = 8
-#: Rows of the embedding tables: whole words, then the first 3, 4 and 5 characters and the last 3.
-TABLES = (1 << 18, 1 << 16, 1 << 16, 1 << 16, 1 << 16)
+#: Rows of the embedding tables: whole words, and runs of characters inside a word.
+TABLES = (1 << 18, 1 << 18)
+#: Lengths of the runs that end at each character of a word (cut at the word's beginning).
+RUNS = (3, 5, 7)
 THRESHOLD = 0.7
-#: Share of a token's features that training leaves out, so that neither words nor characters decide alone.
+#: Share of tokens whose word or characters training leaves out, so that neither decides alone.
 DROPPED = 0.3
 #: Characters tokenized at once.
 PIECE = 1 << 19
 _letters: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
-    """Which of the first 65536 code points are letters; those above count as letters."""
+def _in_word() -> np.ndarray:
+    """Which of the first 65536 code points are letters or digits; those above count as letters."""
     if not _letters:
-        _letters.append(np.fromiter((chr(x).isalpha() for x in range(65536)), dtype=bool, count=65536))
+        _letters.append(np.fromiter((chr(x).isalnum() for x in range(65536)), dtype=bool, count=65536))
     return _letters[0]
 
 
-def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each run of letters of ``text`` its five table rows, and where it starts."""
+class Tokens:
+    """Words one after another: the row of each, and the rows of its runs of characters, token k's from ``first[k]`` to ``first[k + 1]``."""
+
+    def __init__(self, word: np.ndarray, gram: np.ndarray, first: np.ndarray):
+        self.word, self.gram, self.first = word, gram, first
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def between(self, low: int, high: int) -> Tokens:
+        a, b = self.first[low], self.first[high]
+        return Tokens(self.word[low:high], self.gram[a:b], self.first[low : high + 1] - a)
+
+    def at(self, places: np.ndarray) -> Tokens:
+        size = (self.first[1:] - self.first[:-1])[places]
+        first = np.concatenate(([0], np.cumsum(size)))
+        gram = self.gram[np.repeat(self.first[places] - first[:-1], size) + np.arange(first[-1])]
+        return Tokens(self.word[places], gram, first)
+
+    @classmethod
+    def joined(cls, parts: list[Tokens]) -> Tokens:
+        first = np.concatenate([[0], *(p.first[1:] - p.first[:-1] for p in parts)]).cumsum()
+        empty = np.zeros(0, dtype=np.int32)
+        return cls(np.concatenate([empty, *(p.word for p in parts)]), np.concatenate([empty, *(p.gram for p in parts)]), first)
+
+
+def _rows(x: np.ndarray, many: int) -> np.ndarray:
+    return ((((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)) % np.uint64(many)).astype(np.int32)
+
+
+def _features(text: str) -> tuple[Tokens, np.ndarray]:
+    """The runs of letters and digits of ``text``, and where each starts."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _is_letter()[np.minimum(code, 65535)] | (code > 65535)
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).view(np.int8)))
-    begin, end = edge[::2], edge[1::2]
+    inside = _in_word()[np.minimum(code, 65535)] | (code > 65535)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    begin, size = edge[::2], edge[1::2] - edge[::2]
     if not len(begin):
-        return np.zeros((0, len(TABLES)), dtype=np.int32), begin
-    size = end - begin
-    chars = code[letter].astype(np.uint64) + np.uint64(1)
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    at = (np.arange(len(chars)) - np.repeat(first, size)) & 63
+        return Tokens.joined([]), begin
+    chars = code[inside].astype(np.uint64) + np.uint64(1)
+    first = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(len(chars)) - np.repeat(first[:-1], size)
     power = np.cumprod(np.full(64, 0x100000001B3, dtype=np.uint64))
-    hashes = [np.add.reduceat(chars * power[at], first)]
-    grown = np.zeros(len(begin), dtype=np.uint64)
-    for k in range(5):
-        grown = grown * np.uint64(1_000_003) + np.where(size > k, chars[first + np.minimum(k, size - 1)], 0).astype(np.uint64)
-        if k >= 2:
-            hashes.append(grown)
-    tail = np.zeros(len(begin), dtype=np.uint64)
-    for k in range(3):
-        tail = tail * np.uint64(1_000_033) + np.where(size > k, chars[first + np.maximum(size - 1 - k, 0)], 0).astype(np.uint64)
-    hashes.append(tail)
-    mixed = (((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40) for x in hashes)
-    return np.stack([(x % np.uint64(rows)).astype(np.int32) for x, rows in zip(mixed, TABLES, strict=True)], axis=1), begin
-
-
-def tokenize(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    words = np.add.reduceat(chars * power[at & 63], first[:-1])
+    run, runs = np.zeros_like(chars), []
+    for back in range(max(RUNS)):
+        earlier = np.zeros_like(chars)
+        earlier[back:] = np.where(at[back:] >= back, chars[: max(0, len(chars) - back)], 0)
+        run += earlier * power[back]
+        if back + 1 in RUNS:
+            runs.append(_rows((run + np.uint64(back)) * np.uint64(0x9E3779B97F4A7C15), TABLES[1]))
+    return Tokens(_rows(words, TABLES[0]), np.stack(runs, axis=1).ravel(), first * len(RUNS)), begin
+
+
+def tokenize(texts: list[str | None]) -> tuple[Tokens, np.ndarray]:
     """All tokens of the texts, one after another, and the number of tokens of each text. Long texts are cut at white space on the way."""
     pieces, owner = [], []
     for k, text in enumerate(texts):
@@ -84,7 +112,7 @@ def tokenize(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(counts, np.asarray(owner[k:last]), np.diff(np.searchsorted(begin, np.concatenate(([0], ends)))))
         found.append(features)
         k = last
-    return (np.concatenate(found) if found else np.zeros((0, len(TABLES)), dtype=np.int32)), counts
+    return Tokens.joined(found), counts
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,12 +141,16 @@ class Network:
         }
         self.scale = np.array([1.0, 0.0])
 
-    def inputs(self, features: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-        """Word embedding beside the sum of the character embeddings; ``keep`` weighs each token's features while training."""
+    def inputs(self, features: Tokens, keep: np.ndarray | None = None) -> np.ndarray:
+        """Word embedding beside the sum of the characters' embeddings, by the root of their number; ``keep`` weighs each token's two halves while training."""
         out = np.zeros((len(features), 2 * WIDTH), dtype=np.float32)
-        for k in range(len(TABLES)):
-            got = self.tables[k][features[:, k]]
-            out[:, slice(0, WIDTH) if k == 0 else slice(WIDTH, None)] += got if keep is None else got * keep[:, k : k + 1]
+        if len(features):
+            out[:, :WIDTH] = self.tables[0][features.word]
+            out[:, WIDTH:] = np.add.reduceat(self.tables[1][features.gram].astype(np.float32, copy=False), features.first[:-1])
+            out[:, WIDTH:] /= np.sqrt(np.diff(features.first))[:, None]
+        if keep is not None:
+            out[:, :WIDTH] *= keep[:, :1]
+            out[:, WIDTH:] *= keep[:, 1:]
         return out
 
     def forward(self, projected: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False):
@@ -154,20 +186,21 @@ class Network:
         padded = np.concatenate((x, np.zeros((1, x.shape[1]), np.float32)))
         return padded @ self.p["wx"] + self.p["bx"]
 
-    def logits(self, features: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
+    def logits(self, features: Tokens, start: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
         out = np.empty(len(start), dtype=np.float32)
         for k in range(0, len(start), block):
             first, last = (int(start[k]), int(max(start[k : k + block] + size[k : k + block]))) if len(start) else (0, 0)
-            out[k : k + block] = self.forward(self.project(self.inputs(features[first:last])), start[k : k + block] - first, size[k : k + block])
+            out[k : k + block] = self.forward(self.project(self.inputs(features.between(first, last))), start[k : k + block] - first, size[k : k + block])
         return out
 
-    def gradients(self, features: np.ndarray, start: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray, rng: np.random.Generator):
-        """Gradients of the weighted logistic loss: of the dense parameters, and of the inputs of each used token."""
+    def gradients(self, features: Tokens, start: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray, rng: np.random.Generator):
+        """Gradients of the weighted logistic loss: of the dense parameters, and per used token of the embeddings of its word and of each of its characters."""
         step = np.arange(WINDOW)
         tokens = np.concatenate([np.arange(s, s + n) for s, n in zip(start, size, strict=True)])
         begin = np.cumsum(size) - size
         used = (rng.random((len(tokens), len(TABLES))) >= DROPPED).astype(np.float32) / (1 - DROPPED)
-        x = self.inputs(features[tokens], used)
+        some = features.at(tokens)
+        x = self.inputs(some, used)
         logit, (index, states, attention, pooled, kept) = self.forward(self.project(x), begin, size, keep=True)
         d_logit = (_sigmoid(logit) - label) * weight / len(start)
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -196,7 +229,9 @@ class Network:
         grad["bx"] = d_projected.sum(1, keepdims=True)
         grad["wx"] = x.T @ d_projected[:, :-1]
         d_input = (d_projected[:, :-1] @ self.p["wx"].transpose(0, 2, 1)).sum(0)
-        return grad, tokens, d_input, used
+        d_input[:, :WIDTH] *= used[:, :1]
+        d_input[:, WIDTH:] *= used[:, 1:] / np.sqrt(np.diff(some.first))[:, None].astype(np.float32)
+        return grad, some, d_input
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Calibrated probability of each text: that of its most toxic window."""
@@ -207,12 +242,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * top + self.scale[1], -60, 60)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: int = 5, batch: int = 64, rate: float = 0.01) -> Network:
+def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: int = 5, batch: int = 64, rate: float = 0.01, lean_start: bool = True) -> Network:
     """Fit on whole texts with one label each; the list of texts is emptied once they are tokenized.
 
     A label says that some window is toxic, so each round trains on the window that the network finds most toxic
     in every text, and on another of each clean one. The first dimension of every embedding starts from how far
-    its feature leans to either label; the first round's windows are chosen by that.
+    its feature leans to either label (unless ``lean_start`` is off); the first round's windows are chosen by that.
     """
     rng = np.random.default_rng(seed)
     network = Network(seed)
@@ -221,11 +256,11 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
     features, counts = tokenize(texts)
     texts.clear()
     start, size, doc = windows(counts)
-    token_doc = np.repeat(np.arange(many, dtype=np.int32), counts)
     share = labels.mean()
     lean = np.zeros(len(features), dtype=np.float32)
-    for k, rows in enumerate(TABLES):
-        pair = token_doc * np.int64(rows) + features[:, k]
+    owner = np.repeat(np.arange(many, dtype=np.int32), counts)
+    for k, (rows, column) in enumerate(zip(TABLES, (features.word, features.gram), strict=True) if lean_start else ()):
+        pair = (owner if k == 0 else np.repeat(owner, np.diff(features.first))) * np.int64(rows) + column
         pair.sort()
         pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
         seen = np.bincount(pair % rows, minlength=rows)
@@ -233,10 +268,10 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
         del pair
         z = np.where(seen > 2, np.tanh((toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1) / 4), 0).astype(np.float32)
         network.tables[k][:, 0] = z
-        lean += z[features[:, k]]
+        lean += z[column] if k == 0 else np.add.reduceat(z[column], features.first[:-1]) / np.sqrt(np.diff(features.first)) if len(features) else 0
     total = np.concatenate(([0.0], np.cumsum(np.maximum(lean, 0))))
     logit = total[start + size] - total[start]
-    del token_doc, lean, total
+    del owner, lean, total
     sums = {k: np.zeros_like(v) for k, v in network.p.items()}
     squares = {k: np.zeros_like(v) for k, v in network.p.items()}
     spread = [np.full(rows, 1e-3, np.float32) for rows in TABLES]
@@ -256,16 +291,17 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
         chosen = np.concatenate([rng.permutation(chosen) for _ in range(repeats)])
         for k in range(0, len(chosen), batch):
             some = chosen[k : k + batch]
-            grad, tokens, d_input, used = network.gradients(features, start[some], size[some], labels[doc[some]], balance[doc[some]], rng)
+            grad, used, d_input = network.gradients(features, start[some], size[some], labels[doc[some]], balance[doc[some]], rng)
             count += 1
             for name, g in grad.items():
                 sums[name] = 0.9 * sums[name] + 0.1 * g
                 squares[name] = 0.99 * squares[name] + 0.01 * g * g
                 network.p[name] -= speed * (sums[name] / (1 - 0.9**count)) / (np.sqrt(squares[name] / (1 - 0.99**count)) + 1e-6)
-            for which in range(len(TABLES)):
-                row, inverse = np.unique(features[tokens, which], return_inverse=True)
-                step = np.zeros((len(row), WIDTH), np.float32)
-                np.add.at(step, inverse, (d_input[:, :WIDTH] if which == 0 else d_input[:, WIDTH:]) * used[:, which : which + 1])
+            d_gram = np.repeat(d_input[:, WIDTH:], np.diff(used.first), axis=0)
+            for which, (places, d) in enumerate(((used.word, d_input[:, :WIDTH]), (used.gram, d_gram))):
+                row, inverse = np.unique(places, return_inverse=True)
+                order = np.argsort(inverse, kind="stable")
+                step = np.add.reduceat(d[order], np.concatenate(([0], np.cumsum(np.bincount(inverse))[:-1])))
                 spread[which][row] += (step * step).mean(1)
                 network.tables[which][row] -= speed * step / np.sqrt(spread[which][row])[:, None]
     network.tables = [table.astype(np.float16) for table in network.tables]  # half the bytes to send around

@@ -13,13 +13,17 @@ def sample(seed=0, windows=(5, 32, 1, 17)):
     for table in network.tables:
         table *= 10
     size = np.array(windows)
-    features = np.stack([rng.integers(0, rows, size.sum()) for rows in t.TABLES], axis=1).astype(np.int32)
+    chars = rng.integers(1, 7, size.sum())
+    features = t.Tokens(rng.integers(0, t.TABLES[0], size.sum()).astype(np.int32), rng.integers(0, t.TABLES[1], chars.sum()).astype(np.int32), np.concatenate(([0], np.cumsum(chars))))
     return rng, network, features, np.cumsum(size) - size, size
 
 
 def plain_logit(network, features):
     """One window, word by word, in double precision."""
-    words = [np.concatenate((network.tables[0][f[0]], sum(network.tables[k][f[k]] for k in range(1, len(t.TABLES))))).astype(float) for f in features]
+    words = []
+    for k in range(len(features)):
+        grams = features.gram[features.first[k] : features.first[k + 1]]
+        words.append(np.concatenate((network.tables[0][features.word[k]], sum(network.tables[1][g].astype(float) for g in grams) / math.sqrt(len(grams)))))
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
     states = [None, None]
     for way in (0, 1):
@@ -46,7 +50,7 @@ def test_forward_against_plain_loops():
     for seed in range(3):
         _, network, features, start, size = sample(seed)
         got = network.logits(features, start, size)
-        want = [plain_logit(network, features[a : a + n]) for a, n in zip(start, size, strict=True)]
+        want = [plain_logit(network, features.between(a, a + n)) for a, n in zip(start, size, strict=True)]
         assert np.allclose(got, want, atol=1e-4)
 
 
@@ -56,11 +60,11 @@ def test_gradients_against_finite_differences(monkeypatch):
     label, weight = np.array([1, 0, 1, 0], np.float32), np.array([1, 2, 0.5, 1], np.float32)
 
     def loss():
-        logit = np.array([plain_logit(network, features[a : a + n]) for a, n in zip(start, size, strict=True)])
+        logit = np.array([plain_logit(network, features.between(a, a + n)) for a, n in zip(start, size, strict=True)])
         return float((weight * (np.log1p(np.exp(logit)) - label * logit)).mean())
 
-    grad, tokens, d_input, used = network.gradients(features, start, size, label, weight, rng)
-    assert (used == 1).all() and len(tokens) == size.sum()
+    grad, used, d_input = network.gradients(features, start, size, label, weight, rng)
+    assert len(used) == size.sum() and (used.gram == features.gram).all()
 
     def slope(array, place, step=1e-2):
         old = array[place]
@@ -75,12 +79,19 @@ def test_gradients_against_finite_differences(monkeypatch):
         places = [np.unravel_index(k, g.shape) for k in rng.choice(g.size, min(g.size, 6), replace=False)]
         for place in places:
             assert math.isclose(slope(network.p[name], place), float(g[place]), rel_tol=0.02, abs_tol=2e-4), (name, place)
-    for token in (0, 7, len(tokens) - 1):
-        for which in (0, 2):
-            row = features[tokens[token], which]
-            same = [k for k in range(len(tokens)) if features[tokens[k], which] == row]
-            want = sum(d_input[k, 3 if which == 0 else t.WIDTH + 3] for k in same)
-            assert math.isclose(slope(network.tables[which], (row, 3)), float(want), rel_tol=0.02, abs_tol=2e-4)
+    owner = np.repeat(np.arange(len(features)), np.diff(features.first))
+    for token in (0, 7, len(features) - 1):
+        row = features.word[token]
+        assert math.isclose(slope(network.tables[0], (row, 3)), float(d_input[features.word == row, 3].sum()), rel_tol=0.02, abs_tol=2e-4)
+        row = features.gram[features.first[token]]
+        assert math.isclose(slope(network.tables[1], (row, 3)), float(d_input[owner[features.gram == row], t.WIDTH + 3].sum()), rel_tol=0.02, abs_tol=2e-4)
+
+
+def test_every_character_of_a_word_counts():
+    tokens, counts = t.tokenize(["id10t ab", "id20t ab"])
+    assert counts.tolist() == [2, 2] and np.diff(tokens.first).tolist() == [15, 6, 15, 6]
+    a, b = set(tokens.gram[:15].tolist()), set(tokens.gram[21:36].tolist())
+    assert len(a - b) >= 6 and len(a & b) >= 4 and tokens.word[0] != tokens.word[2] and tokens.word[1] == tokens.word[3]
 
 
 def test_windows_of_one_text_are_independent_of_its_neighbours():
