@@ -13,7 +13,7 @@ from gleanery.llm.common import components
 from gleanery.llm.decontamination import LEAST, SHARE, SPAN, contaminated_pairs, decontaminate, masks_for
 from gleanery.llm.embedding_dedup import near_duplicates
 from gleanery.llm.html_extract import aligned, extract_text, page_lines
-from gleanery.llm.license_scan import HINTS, RULES, SENTENCES, scan_licenses
+from gleanery.llm.license_scan import GAP, HINTS, KNOWN, NAMES, RULES, scan_licenses
 from gleanery.llm.line_dedup import dedup_lines
 from gleanery.llm.mixing import calibrate, default_dims, sample
 from gleanery.llm.ngram_join import jaccard_components
@@ -322,7 +322,7 @@ def test_chat_perspectives(spark):
 def test_license_rules(spark):
     import re
 
-    assert all(re.search(HINTS, s) for s in SENTENCES.values()) and all(set(r[2]) <= set(SENTENCES) for r in RULES)
+    assert all(set(r[2]) <= set(KNOWN) for r in RULES)
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal in\nthe Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     rows = [(0, mit), (1, "text\nReleased under the MIT License.\nmore"), (2, "x Licensed under CC BY-NC 4.0."), (3, None), (4, ""), (5, "a licence, no more"), (6, "Hi.\nLicensed under the Apache License, Version 2.0. Bye.\nThis work is licensed under the GNU General Public License, version 3.")]
     got = {(r.doc_id, r.license, r.kind) for r in scan_licenses(docs(spark, rows).withColumn("ids", F.lit(1))).collect()}
@@ -387,19 +387,67 @@ IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
 
 
+LGPL = GPL2.replace("This program", "This library").replace("General Public", "Lesser General Public").replace("version 2 of", "version 2.1 of")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+BSD_AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+BSD4 = """
+3. All advertising materials mentioning features or use of this software must display the following acknowledgement:
+This product includes software developed by the organization.
+"""
+X11 = """
+Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software..."""
+BSL = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/"""
+CC0 = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty."""
+
+
 def test_every_licence_rule_on_its_verbatim_text(spark):
-    texts = {
-        RULES[0]: MIT, RULES[1]: "Released under the MIT License.", RULES[2]: "Licensed under the MIT license.", RULES[3]: "This project is licensed under the MIT License.", RULES[4]: "# The MIT License\n\nx", RULES[5]: APACHE, RULES[6]: "Licensed under the Apache License, Version 2.0.",
-        RULES[7]: GPL, RULES[8]: GPL2, RULES[9]: "This work is licensed under the GNU General Public License, version 3.", RULES[10]: "Licensed under the GNU General Public License version 3.", RULES[11]: BSD + BSD3, RULES[12]: BSD, RULES[13]: ISC, RULES[14]: MPL,
-        RULES[15]: "Licensed under CC BY-NC 4.0.", RULES[16]: "Licensed under CC BY 4.0.", RULES[17]: "Licensed under CC-BY-SA 4.0.",
-    }
-    assert set(texts) == set(RULES)
+    import re
+
+    texts = [
+        ("MIT", "text", MIT), ("X11", "text", MIT + X11), ("MIT", "title", "# The MIT License\n\nx"), ("Apache-2.0", "notice", APACHE), ("Apache-2.0", "notice", APACHE.replace("You may obtain a copy of the License at\n", "")),
+        ("GPL-3.0-or-later", "notice", GPL), ("GPL-2.0-or-later", "notice", GPL2), ("AGPL-3.0-or-later", "notice", AGPL), ("LGPL-3.0-or-later", "notice", GPL.replace("This program", "This library").replace("General Public", "Lesser General Public")), ("LGPL-2.1-or-later", "notice", LGPL),
+        ("BSD-4-Clause", "text", BSD + BSD4 + BSD3), ("BSD-3-Clause", "text", BSD + BSD3), ("BSD-2-Clause", "text", BSD + BSD_AS_IS), ("BSD-2-Clause", "text", BSD), ("ISC", "text", ISC), ("0BSD", "text", ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", "")), ("MPL-2.0", "notice", MPL),
+        ("Unlicense", "text", UNLICENSE), ("Zlib", "text", ZLIB), ("BSL-1.0", "text", BSL + "\n\n" + MIT.rsplit("\n\n", 1)[1]), ("BSL-1.0", "text", BSL), ("EPL-2.0", "notice", EPL), ("CC0-1.0", "notice", CC0),
+    ]
+    assert [x[:2] for x in texts] == [r[:2] for r in RULES[: len(texts)]] and all(r[1] == "reference" for r in RULES[len(texts) :])
+    begins = ("Licensed under the ", "This project is licensed under the ", "released under ", "It is nice.\nThis dataset is made available under the terms of the ")
+    texts += [(name, "reference", begins[k % 4] + said.title() + ".") for k, (name, said) in enumerate((n, x) for n, xs in NAMES.items() for x in xs)]
     comment = lambda text: "/*\n * Copyright (C) 2020 A\n *\n" + "".join(f" * {x}\n" for x in text.split("\n")) + " */"
-    odd = [GPL2.replace("Foundation; either", "Foundation, either"), comment(GPL), comment(GPL2), comment(MPL), "a license; This program is free software: no", MPL.replace("v. 2.0", "v. 1.1") + "\n\n2.0", MPL.replace("v. 2.0", "v. 2.1")]
-    rows = list(enumerate([*texts.values(), *odd]))
-    got = sorted((r.doc_id, r.license, r.kind, r.sentences) for r in scan_licenses(docs(spark, rows)).collect())
-    want = [(k, name, kind, " ".join(needed)) for k, (name, kind, needed) in enumerate(texts)]
-    want += [(len(texts) + k, *[(name, kind, " ".join(needed)) for name, kind, needed in RULES if name == found][0]) for k, found in enumerate(["GPL-2.0-or-later", "GPL-3.0-or-later", "GPL-2.0-or-later", "MPL-2.0"])]
+    far = lambda n: APACHE.replace("Unless required", "\n\n".join(f"Other {k}." for k in range(n)) + "\n\nUnless required")
+    odd = [("GPL-2.0-or-later", GPL2.replace("Foundation; either", "Foundation, either")), ("GPL-3.0-or-later", comment(GPL)), ("GPL-2.0-or-later", comment(GPL2)), ("MPL-2.0", comment(MPL)), (None, "a license; This program is free software: no"), (None, MPL.replace("v. 2.0", "v. 1.1") + "\n\n2.0"), (None, MPL.replace("v. 2.0", "v. 2.1")), ("Apache-2.0", far(GAP - 3)), (None, far(GAP + 1)), ("Apache-2.0", far(GAP + 1) + "\n\n" + APACHE), (None, "\n\n".join(reversed(GPL.split("\n\n")))), ("MIT", "x\n" * 20_000 + "Released under the MIT License.")]
+    rows = list(enumerate([x[-1] for x in texts] + [x[1] for x in odd]))
+    got = sorted(((r.doc_id, r.license, r.kind, r.sentences) for r in scan_licenses(docs(spark, rows)).collect()), key=repr)
+    want = sorted([(k, name, kind, " ".join(RULES[k][2])) for k, (name, kind, _) in enumerate(texts)] + [(len(texts) + k, name, *next((x[1], " ".join(x[2])) for x in (RULES if k != 11 else RULES[23:]) if x[0] == name)) for k, (name, _) in enumerate(odd) if name], key=repr)
+    assert all(re.search(HINTS, (x[-1]).lower()) for x in texts)
     assert got == want
 
 
