@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import materialize
+
 # Sentences of public licence texts and notices, normalised (lower case, runs of other than letters and digits are one space).
 SENTENCES = {
     "mit-name": "the mit license",
@@ -179,17 +181,23 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     is shuffled.
     """
     hinted = docs.select("doc_id", "text").where(F.lower("text").rlike(HINTS))
-    found = hinted.select("doc_id", sentence_ids(F.col("text")).alias("ids")).where(F.size("ids") > 0)
+    # Written down, as every rule reads the identifiers: few texts have any.
+    found = materialize(hinted.select("doc_id", sentence_ids(F.col("text")).alias("ids")), "sentences").where(F.size("ids") > 0)
     single = F.transform("ids", lambda x: x["id"])
     found = found.withColumn("names", single)
+    texts = [r for r in RULES if r[1] != "reference"]
     rules = []
-    for name in dict.fromkeys(r[0] for r in RULES):
+    for name in dict.fromkeys(r[0] for r in texts):
         best = F.lit(None).cast("struct<license:string,kind:string,sentences:string>")
-        for license_, kind, needed in sorted((r for r in reversed(RULES) if r[0] == name), key=lambda r: len(r[2])):
+        for license_, kind, needed in sorted((r for r in reversed(texts) if r[0] == name), key=lambda r: len(r[2])):
             rule = F.struct(F.lit(license_).alias("license"), F.lit(kind).alias("kind"), F.lit(" ".join(needed)).alias("sentences"))
             best = F.when(_in_order(needed), rule).otherwise(best)
         rules.append(best)
-    hits = found.select("doc_id", F.filter(F.array(*rules), lambda x: x.isNotNull()).alias("found"))
+    # A reference names its licence in its identifier: of each licence the first name listed.
+    named = F.array_sort(F.array_distinct(F.transform(F.filter("names", lambda x: x.startswith("ref-")), _reference)))
+    found = found.withColumn("whole", F.filter(F.array(*rules), lambda x: x.isNotNull())).withColumn("named", named)
+    beside = F.filter("named", lambda x, k: ~F.exists("whole", lambda w: w["license"] == x["license"]) & ((k == 0) | (F.get("named", k - 1)["license"] != x["license"])))
+    hits = found.select("doc_id", F.concat("whole", beside).alias("found"))
     hits = hits.withColumn("all", F.transform("found", lambda x: x["license"]))
     hits = hits.select("doc_id", "all", F.explode("found").alias("r"))
     hidden = F.lit(False)
@@ -198,6 +206,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     return hits.where(~hidden).select("doc_id", "r.license", "r.kind", "r.sentences")
 
 
+def _reference(name: Column) -> Column:
+    return F.struct(F.regexp_extract(name, "^ref-(.*)-[0-9]+$", 1).alias("license"), F.lit("reference").alias("kind"), name.alias("sentences"))
+
+
 def _in_order(needed: tuple[str, ...]) -> Column:
     """Whether the sentences follow one another within GAP: for each of them the last place where a chain up to it ends."""
     if len(needed) == 1:
