@@ -45,12 +45,11 @@ def current_rows(long: DataFrame, masks: DataFrame | None, pointers: DataFrame |
 
 def cells(long: DataFrame) -> DataFrame:
     """(occurrence_id, metric_id, column, run_name, part, metric_name, key, unit, value): object values one row per key, others one row."""
-    spark = long.sparkSession
     kept = long.select(ID, "metric_id", "run_name", "part", "metric_name", "unit", "value")
-    is_object = F.schema_of_variant("value").startswith("OBJECT")
-    keyed = spark.sql("SELECT l.occurrence_id, l.metric_id, l.run_name, l.part, l.metric_name, e.key, l.unit, e.value FROM {l} l, LATERAL variant_explode(l.value) e", l=kept.where(is_object))
-    plain = kept.where(~F.coalesce(is_object, F.lit(False))).select(ID, "metric_id", "run_name", "part", "metric_name", F.lit(None).cast("string").alias("key"), "unit", "value")
-    every = keyed.unionByName(plain)
+    held = kept.withColumn("_object", F.when(F.schema_of_variant("value").startswith("OBJECT"), F.col("value")))
+    # One pass: what is no object has one row without a key, an empty object none.
+    each = long.sparkSession.sql("SELECT l.*, e.key, e.value AS _value FROM {l} l, LATERAL variant_explode_outer(l._object) e", l=held).where("_object IS NULL OR key IS NOT NULL")
+    every = each.select(ID, "metric_id", "run_name", "part", "metric_name", "key", "unit", F.when(F.col("_object").isNull(), F.col("value")).otherwise(F.col("_value")).alias("value"))
     return every.withColumn("column", wide_name_column(F.col("run_name"), F.col("part"), F.col("metric_name"), F.col("key")))
 
 

@@ -47,9 +47,10 @@ def lines_as_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """length (px) and area (px2) of every line, and a dict rates whose key tax is left out where it is low."""
     line = table(spark, sf_dir, "lineitem").withColumn("_id", F.expr(LINE_ID))
     base = line.select(F.col("l_orderkey").cast("string").alias(ID), F.col("_id").cast("long").alias("metric_id"), F.lit("traits").alias("run_name"), F.col("l_returnflag").alias("part"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    one = lambda name, unit, value: base.select(ID, "metric_id", "run_name", "part", F.lit(name).alias("metric_name"), F.lit(unit).alias("unit"), value.alias("value"))
     rates = F.struct(F.col("l_discount").alias("discount"), F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("tax"))
-    return one("length", "px", F.col("l_quantity").cast("variant")).union(one("area", "px2", F.col("l_extendedprice").cast("variant"))).union(one("rates", "fraction", F.parse_json(F.to_json(rates))))
+    one = lambda name, unit, value: F.struct(F.lit(name).alias("metric_name"), F.lit(unit).alias("unit"), value.alias("value"))
+    made = F.array(one("length", "px", F.col("l_quantity").cast("variant")), one("area", "px2", F.col("l_extendedprice").cast("variant")), one("rates", "fraction", F.parse_json(F.to_json(rates))))
+    return base.select(ID, "metric_id", "run_name", "part", F.explode(made).alias("m")).select(ID, "metric_id", "run_name", "part", "m.metric_name", "m.unit", "m.value")
 
 
 _WIDE = ("area", "length", "rates__discount", "rates__tax")
