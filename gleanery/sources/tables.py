@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,21 @@ def _current(spark: SparkSession, path: str) -> str | None:
     return found[-1] if found else path
 
 
+#: Buckets of a table that is upserted: an upsert rewrites those that its keys fall into.
+BUCKETS = 64
+_BUCKET = "__bucket"
+
+
+def _buckets(folder: str) -> dict | None:
+    """What a bucketed version consists of: keys, and the folder of each bucket under the table's path."""
+    return read_json(f"{folder}/_buckets.json")
+
+
+def _read(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    made = _buckets(folder)
+    return spark.read.parquet(folder) if made is None else spark.read.parquet(*[f"{path}/{f}" for f in made["folders"].values()])
+
+
 def load_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, missing_ok: bool = False, filters: Iterable[tuple] | None = None, schema: T.StructType | None = None) -> DataFrame:
     """One table; filters are (column, op, value), all must hold, their columns needn't be selected. Both reach the scan.
 
@@ -67,7 +82,7 @@ def load_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
         schema = schema or T.StructType([T.StructField(c, T.StringType()) for c in columns or ()])
         df = spark.createDataFrame([], schema)
         return df.select(*columns) if columns else df
-    df = spark.read.parquet(folder)
+    df = _read(spark, path, folder)
     for column, op, value in filters or ():
         df = apply_filters(df, {column: (op.replace("not_in", "not in") if op != "=" else "==", value)})
     return df.select(*columns) if columns is not None else df
@@ -79,27 +94,60 @@ def table_columns(spark: SparkSession, path: str) -> list[str]:
     if folder is None:
         return []
     try:
-        return spark.read.parquet(folder).columns
+        return _read(spark, path, folder).columns
     except AnalysisException:
         return []
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Replace a table: the new version is complete before readers see it, so ``df`` may read the old one; older versions but one go."""
-    spark = df.sparkSession
-    where, files = _filesystem(spark, path)
+def _next(spark: SparkSession, path: str) -> int:
     old = _current(spark, path)
-    number = int(old.rpartition("v=")[2]) + 1 if old and "v=" in old.rpartition("/")[2] else 1
-    df.write.parquet(f"{path}/v={number:012d}")
+    return int(old.rpartition("v=")[2]) + 1 if old and "v=" in old.rpartition("/")[2] else 1
+
+
+def _forget(spark: SparkSession, path: str, newest: int) -> None:
+    """Delete all versions but the newest two, and bucket folders that neither of them holds."""
+    where, files = _filesystem(spark, path)
+    held = set()
+    for number in (newest, newest - 1):
+        made = _buckets(f"{path}/v={number:012d}")
+        held |= {f.split("/")[0] for f in made["folders"].values()} if made else set()
     for status in files.listStatus(where):
         name = status.getPath().getName()
-        if name.startswith("v=") and int(name[2:]) < number - 1:
+        if (name.startswith("v=") and int(name[2:]) < newest - 1) or (name.startswith("d=") and name not in held):
             files.delete(status.getPath(), True)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Replace a table: the new version is complete before readers see it, so ``df`` may read the old one; older versions but one go."""
+    number = _next(df.sparkSession, path)
+    df.write.parquet(f"{path}/v={number:012d}")
+    _forget(df.sparkSession, path, number)
+
+
 def append_table(df: DataFrame, path: str) -> None:
     """Add rows to the newest version."""
-    df.write.mode("append").parquet(_current(df.sparkSession, path) or f"{path}/v={1:012d}")
+    folder = _current(df.sparkSession, path)
+    if folder and _buckets(folder):
+        write_table(_read(df.sparkSession, path, folder).unionByName(df, allowMissingColumns=True), path)
+    else:
+        df.write.mode("append").parquet(folder or f"{path}/v={1:012d}")
+
+
+def _write_buckets(df: DataFrame, path: str, keys: Sequence[str], kept: dict[str, str]) -> None:
+    """A new version: the buckets of ``df``'s rows as given, the ``kept`` ones where they are. Readers see it once its list and then its mark are there."""
+    spark = df.sparkSession
+    number, folder = _next(spark, path), f"d={uuid.uuid4().hex}"
+    df.withColumn(_BUCKET, _bucket_of(keys)).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{path}/{folder}")
+    where, files = _filesystem(spark, f"{path}/{folder}")
+    names = [x.getPath().getName() for x in files.listStatus(where)]
+    made = {n.partition("=")[2]: f"{folder}/{n}" for n in names if n.startswith(f"{_BUCKET}=")}
+    write_json(f"{path}/v={number:012d}/_buckets.json", {"keys": list(keys), "folders": kept | made})
+    claim(f"{path}/v={number:012d}/_SUCCESS")
+    _forget(spark, path, number)
+
+
+def _bucket_of(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(BUCKETS))
 
 
 def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,12 +171,30 @@ def upserted(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def upsert_table(new: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Upsert rows by key into a stored table. It lies in ``BUCKETS`` buckets of its keys, of which only those that hold a new key are read and written again; a table that has other columns or isn't in buckets yet is written once as a whole."""
     spark = new.sparkSession
-    if _current(spark, path) is None:
+    folder = _current(spark, path)
+    if folder is None:
         upserted(spark.createDataFrame([], new.schema), new, keys)
-        write_table(new, path)
+        if not new.isEmpty():
+            _write_buckets(new, path, keys, {})
+        else:
+            write_table(new, path)
+        return
+    made, whole = _buckets(folder), _read(spark, path, folder)
+    if made is None or made["keys"] != list(keys) or whole.schema.simpleString() != new.select(*[c for c in whole.columns if c in new.columns]).schema.simpleString() or set(new.columns) - set(whole.columns):
+        merged = upserted(whole, new, keys)
+        if merged.isEmpty():
+            write_table(merged, path)
+        else:
+            _write_buckets(merged, path, keys, {})
         return
-    write_table(upserted(load_table(spark, path), new, keys), path)
+    touched = {str(r[0]) for r in new.select(_bucket_of(keys)).distinct().collect()}
+    old = [f"{path}/{f}" for k, f in made["folders"].items() if k in touched]
+    existing = spark.read.schema(whole.schema).parquet(*old) if old else spark.createDataFrame([], whole.schema)
+    merged = upserted(existing, new, keys).select(*whole.columns)
+    if touched:
+        _write_buckets(merged, path, keys, {k: f for k, f in made["folders"].items() if k not in touched})
 
 
 def last_per_key(shards: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

@@ -274,3 +274,31 @@ def test_snapshots_and_streams(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(source)
     events.append_once(stream, f"{path}-a", f"{tmp_path}/cp2").awaitTermination()
     assert tables.load_table(spark, f"{path}-a").count() == 3
+
+
+def test_upserts_rewrite_only_the_buckets_of_their_keys(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = lambda ids, value: spark.createDataFrame([(str(k), "a", value) for k in ids], "id string, part string, value long")
+    tables.upsert_table(rows(range(500), 0), path, ["id", "part"])
+    before = tables._buckets(tables._current(spark, path))["folders"]
+    tables.upsert_table(rows([3, 900], 1), path, ["id", "part"])
+    after = tables._buckets(tables._current(spark, path))["folders"]
+    assert 1 <= sum(before.get(k) != f for k, f in after.items()) <= 2 and len(before) == tables.BUCKETS
+    got = {r.id: r.value for r in tables.load_table(spark, path).collect()}
+    assert got == {str(k): int(k == 3) for k in range(500)} | {"900": 1}
+    tables.upsert_table(rows([], 2), path, ["id", "part"])
+    assert tables.load_table(spark, path, ["id"], filters=[("value", "=", 1)]).count() == 2
+    for k in range(4):
+        tables.upsert_table(rows([k], 5 + k), path, ["id", "part"])
+    assert len(list((tmp_path / "t").glob("v=*"))) == 2 and tables.load_table(spark, path).count() == 501
+    wider = rows([7], 9).withColumn("note", F.lit("x"))
+    tables.upsert_table(wider, path, ["id", "part"])
+    assert {r.note for r in tables.load_table(spark, path).where("id in ('7', '8')").collect()} == {"x", None}
+    with pytest.raises(ValueError):
+        tables.upsert_table(spark.createDataFrame([(None, "a", 1)], "id string, part string, value long"), path, ["id", "part"])
+    with pytest.raises(TypeError):
+        tables.upsert_table(spark.createDataFrame([(1, "a", 1)], "id long, part string, value long"), path, ["id", "part"])
+    tables.append_table(rows([1000], 1), path)
+    assert tables.load_table(spark, path).count() == 502
+    tables.upsert_table(rows([1000], 2), path, ["id", "part"])
+    assert tables.load_table(spark, path).where("value = 2").count() == 1
