@@ -419,3 +419,68 @@ def collage_assign(spark, sf_dir):
     items = slots[rows * 7 % 25] + 0.2
     found = collage.assign(items, slots)
     return spark.createDataFrame([(int(rows[item]), slot) for slot, item in enumerate(found.tolist())], "k int, slot long")
+
+
+def _imaged(spark, sf_dir: str) -> Project:
+    """A project of drawn images with their masks and a colour class."""
+    p = Project(spark, folder(spark, "project"))
+    images = tables.written(rasters.drawn(spark, sf_dir))
+    tables.write_table(images, p.at("images"))
+    k = F.col(ID).cast("long")
+    p.ingest_occurrences(images.select(ID, F.when(k % 4 == 0, "red one").when(k % 4 == 1, "green").alias("colour")))
+    p.run_segments([r.segment(r.BrightnessModel())], "bodies")
+    return p
+
+
+@query("SELECT p_partkey AS k, 1.0::DOUBLE AS score, (SELECT count(*) FROM part) AS imported, 0::BIGINT AS again FROM part")
+def mask_round_trip(spark, sf_dir):
+    """Masks written as images, read back as reference masks, held against the stored ones; reading them twice imports nothing."""
+    p = _imaged(spark, sf_dir)
+    path = folder(spark, "masks").removeprefix("file://")
+    p.export_masks(path)
+    imported, again = (p.import_masks(f"file://{path}", reference=True) for _ in range(2))
+    return p.validate_masks().select(F.col(ID).cast("long").alias("k"), "score", F.lit(imported).cast("long").alias("imported"), F.lit(again).cast("long").alias("again"))
+
+
+@query("SELECT p_partkey::VARCHAR AS occurrence_id, 'all' AS split, CASE p_partkey % 4 WHEN 0 THEN 'red one' ELSE 'green' END AS colour, 'all/' || CASE p_partkey % 4 WHEN 0 THEN 'red_one' ELSE 'green' END || '/' || p_partkey AS file, 24 AS height FROM part WHERE p_partkey % 4 < 2")
+def training_export(spark, sf_dir):
+    """Images written by split and class with a manifest; those without a class stay out; the written images are read back."""
+    p = _imaged(spark, sf_dir)
+    path = folder(spark, "training").removeprefix("file://")
+    manifest = p.export_training_data(path, "colour")
+    back = files.images(spark, f"file://{path}", recursive=True).select(ID, F.col("height").cast("long").alias("height"))
+    return manifest.join(back, ID)
+
+
+@query("SELECT unnest(['traits', 'checks']) AS name, 'metric' AS kind, 'finished' AS status, unnest([(SELECT count(*) FROM customer), (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0)]) AS n_processed")
+def run_ledger(spark, sf_dir):
+    """The last state of every run."""
+    p = customers(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
+    p.store_values(c.select(F.col("c_custkey").alias(ID), F.col("c_nationkey").alias("value")), "checks", "nation")
+    return p.load_runs().select("name", "kind", "status", "n_processed")
+
+
+@query("SELECT r_regionkey AS k, r_name AS name, 'models/' || r_name AS path FROM region")
+def json_records(spark, sf_dir):
+    """Records appended to a log and read back in order, and a registry kept as one document."""
+    p = Project(spark, folder(spark, "project"))
+    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    for x in rows:
+        tables.append_jsonl(p.log("notes.jsonl"), {"k": x.r_regionkey, "name": x.r_name})
+        p.register_model(x.r_name, path=f"models/{x.r_name}", fingerprint=False)
+    p.register_model("gone")
+    p.unregister_model("gone")
+    assert len(p.list_models()) == len(rows)
+    return spark.createDataFrame([(x["k"], x["name"], p.load_model(x["name"])["path"]) for x in tables.read_log(p.log("notes.jsonl"))], "k int, name string, path string")
+
+
+@query("SELECT 'metrics' AS name, count(*) AS n FROM customer UNION ALL SELECT 'occurrences', count(*) FROM customer UNION ALL SELECT 'runs', 2")
+def project_archive(spark, sf_dir):
+    """A copy of a project's tables and logs to deposit."""
+    p = customers(spark, sf_dir)
+    dest = folder(spark, "deposit")
+    copied = p.archive(dest)
+    assert "runs.jsonl" in copied and len(tables.read_bytes(f"{dest}/runs.jsonl").splitlines()) == 1
+    names = ["metrics", "occurrences", "runs"]
+    return spark.createDataFrame([(n, spark.read.parquet(f"{dest}/{n}").count()) for n in names], "name string, n long")
