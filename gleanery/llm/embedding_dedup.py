@@ -19,7 +19,7 @@ SLICE_ROWS, PIECE_BYTES = 50_000, 4 << 20
 #: First beam, the beam from which exact comparison with the whole shard is cheaper, vectors of an audit, recall it asks for.
 BEAM, WIDEST, AUDITED, RECALL = 24, 1024, 512, 0.98
 #: Tasks that ask, however many pairs of a shard and a slice there are; nodes of one side of a tile that counts links.
-MOST_TASKS, TILE = 10_000, 2048
+MOST_TASKS, TILE = 10_000, 512
 #: Single precision cosines this much below the threshold are verified in double precision.
 SLACK = 1e-4
 
