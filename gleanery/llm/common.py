@@ -68,14 +68,16 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return table, seen.get["n"]
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` made and that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/gleanery/" in folder:
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` made and that nothing reads any more; other files are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        own = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/gleanery").toUri().getPath() + "/"
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            if path.toUri().getPath().startswith(own):
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

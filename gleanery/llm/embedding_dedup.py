@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import components, materialize, small_batches
+from gleanery.llm.common import components, materialize, release, small_batches
 from gleanery.llm.hnsw import TOGETHER, Graph
 
 #: Rows of a shard at most; below that there are as many shards as the cluster runs tasks.
@@ -232,6 +232,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, shards: int | No
     known = materialize(known.select("uid", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "uid").alias("root")), "known")
     smallest = materialize(known.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     known = materialize(known.join(smallest, "root").select("uid", "n_links", "component_id"), "known")
+    release(nodes, graphs, answers, joined, smallest)
     linked = good.select("vec_id", "uid").join(known, "uid").select("vec_id", "n_links", "component_id")
     rest = rows.where("v is null or vec_id is null").select("vec_id", F.lit(0).cast("long"), "vec_id")
     return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

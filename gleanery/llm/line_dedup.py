@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import BLANKS, fresh, lower_ascii, materialize, small_batches
+from gleanery.llm.common import BLANKS, fresh, lower_ascii, materialize, release, small_batches
 from gleanery.llm.sketch import build, cells_for
 
 #: Spark's xxhash64 starts from this seed.
@@ -65,6 +65,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     id_, gone = fresh(plain, "doc"), fresh(plain, "drops")
     drops = suspects.join(repeats, "key").where("doc_id <> first").groupBy(F.col("doc_id").alias(id_)).agg(F.collect_list("h").alias(gone))
     drops = materialize(drops, "drops")
+    release(suspects, repeats)
     same = F.col("doc_id").cast("long") == F.col(id_)
     if drops.count() <= BROADCAST_IDS:
         losers = F.broadcast(drops.select(id_))

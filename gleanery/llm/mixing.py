@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import fresh, materialize
+from gleanery.llm.common import fresh, materialize, release
 
 #: What a null in a raked column counts as.
 NONE = "(none)"
@@ -72,7 +72,8 @@ def calibrate(docs: DataFrame, dims: dict[str, Column], powers: dict[str, float]
         for _ in range(min(CUT, rounds - turn)):
             for key in keys:
                 fitted = fitted.withColumn("f", F.col("f") * F.when(now[key] > 0, F.col(f"goal{key}") / now[key]).otherwise(1.0))
-        fitted = materialize(fitted.withColumn("gap", gap), "fitted")
+        before, fitted = fitted, materialize(fitted.withColumn("gap", gap), "fitted")
+        release(before)
         reached = fitted.agg(F.max("gap").alias("gap"), F.max(F.when(F.col("tokens") > 0, F.col("f"))).alias("most")).first()
         most = reached.most or 1.0
         if (reached.gap or 0.0) <= TOLERANCE * total:

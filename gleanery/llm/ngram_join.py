@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import components, counted, materialize, small_batches
+from gleanery.llm.common import components, counted, materialize, release, small_batches
 from gleanery.llm.sketch import SEGMENT, build, cells_for
 
 #: Documents of one token that are still compared as single pairs; larger buckets are compared in tiles.
@@ -234,9 +234,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     digests, many = counted(living.groupBy("dig").agg(F.min("doc_id").alias("rep")), "digests")
     own = living.withColumnRenamed("doc_id", "rep").join(F.broadcast(digests) if many <= BROADCAST_IDS else digests, ["dig", "rep"], "left_semi")
     # Rows that share a doc_id and a text stay several; they make no other links.
-    sets = materialize(own.select("rep", "n", "shingles", "again"), "sets")
-    reps = materialize(_prefixed(sets, sets.agg(F.sum("n").alias("n")).first().n or 0, num, den).distinct(), "reps")
-    sets = sets.select(F.col("rep").alias("doc_id"), "shingles")
+    stored = materialize(own.select("rep", "n", "shingles", "again"), "sets")
+    reps = materialize(_prefixed(stored, stored.agg(F.sum("n").alias("n")).first().n or 0, num, den).distinct(), "reps")
+    sets = stored.select(F.col("rep").alias("doc_id"), "shingles")
     first = F.min_by(F.struct(F.col("rep").alias("gid"), "n", "tok", "pos"), "rep").alias("r")
     groups = materialize(reps.groupBy("pk").agg(first, F.count("*").alias("size")).select("pk", "r.*", "size"), "groups")
     crowds = reps.select("pk", "rep").join(groups.where("size > 1").select("pk", "gid"), "pk")
@@ -275,10 +275,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     large = rows.where(F.col("members") > PAIRED).select("token", "gid", F.col("low"), "most").join(crowds, "gid", "left")
     large, n_large = counted(large.select("token", F.coalesce("rep", "gid").alias("rep"), F.coalesce("c", "low").alias("c"), "most"), "large")
     wanted = _only(sets, ends(pairs).union(large.select("rep")), 2 * n_pairs + n_large)
-    links = first_links.union(_verified(pairs, wanted, num, den)).union(materialize(_tiled(large, wanted, num, den), "tiles"))
+    tiles = materialize(_tiled(large, wanted, num, den), "tiles")
+    links = first_links.union(_verified(pairs, wanted, num, den)).union(tiles)
 
     final = components(links)
     labels = materialize(digests.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("dig", F.coalesce("component", "rep").alias("component_id")), "labels")
+    release(stored, reps, groups, leads, first_pairs, first_links, state, rows, crowds, pairs, large, wanted, tiles)
     linked = living.select("doc_id", "n", "dig").join(labels, "dig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(shingled.where("dig is null").select("doc_id", "n", "doc_id"))
 
