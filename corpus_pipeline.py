@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import materialize
+from gleanery.llm.common import fresh, materialize, release
 from gleanery.llm.decontamination import decontaminate
 from gleanery.llm.line_dedup import dedup_lines
 from gleanery.llm.mixing import POWERS, default_dims, sample
@@ -32,8 +32,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each near-duplicate component (5-word shingles, Jaccard 0.8); documents without an id stay."""
     found = jaccard_components(docs.select("doc_id", "text"), 5, 80, 100)
-    extra = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct(), "extra")
-    return docs.join(extra, docs["doc_id"] == extra["__extra"], "left_anti")
+    name = fresh(docs, "extra")
+    extra = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "extra")
+    return docs.join(extra, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            release(before)
     return docs
