@@ -103,6 +103,8 @@ def connect_to(docs):
 def test_pipeline_on_odd_rows(spark):
     rows_ = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a text without an id of its own here", "en", "s", 1), (3, "some words here\nand a line", None, "s", 9), (3, "some words here\nand a line", None, "s", 9)]
     docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit(1)).withColumn("n", F.lit("x")).withColumn("component_id", F.lit(2))
+    for name in ("__doc", "__drops", "__p", "__source", "__key", "__extra", "__says", "__bad", "__n"):  # like inner columns
+        docs = docs.withColumn(name, F.lit(7))
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() <= 5
