@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +43,14 @@ newest AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY occurrence_id
 newest_tax AS (SELECT * FROM l WHERE l_tax > 0.02 QUALIFY row_number() OVER (PARTITION BY occurrence_id, part ORDER BY metric_id DESC) = 1)"""
 
 
-def lines_as_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """length (px) and area (px2) of every line, and a dict rates whose key tax is left out where it is low."""
+def lines_as_long(spark: SparkSession, sf_dir: str, metrics: Sequence[str] = ("length", "area", "rates")) -> DataFrame:
+    """length (px) and area (px2) of every line, and a dict rates whose key tax is left out where it is low; or some of them."""
     line = table(spark, sf_dir, "lineitem").withColumn("_id", F.expr(LINE_ID))
     base = line.select(F.col("l_orderkey").cast("string").alias(ID), F.col("_id").cast("long").alias("metric_id"), F.lit("traits").alias("run_name"), F.col("l_returnflag").alias("part"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     rates = F.struct(F.col("l_discount").alias("discount"), F.when(F.col("l_tax") > 0.02, F.col("l_tax")).alias("tax"))
     one = lambda name, unit, value: F.struct(F.lit(name).alias("metric_name"), F.lit(unit).alias("unit"), value.alias("value"))
-    made = F.array(one("length", "px", F.col("l_quantity").cast("variant")), one("area", "px2", F.col("l_extendedprice").cast("variant")), one("rates", "fraction", F.parse_json(F.to_json(rates))))
-    return base.select(ID, "metric_id", "run_name", "part", F.explode(made).alias("m")).select(ID, "metric_id", "run_name", "part", "m.metric_name", "m.unit", "m.value")
+    every = {"length": one("length", "px", F.col("l_quantity").cast("variant")), "area": one("area", "px2", F.col("l_extendedprice").cast("variant")), "rates": one("rates", "fraction", F.parse_json(F.to_json(rates)))}
+    return base.select(ID, "metric_id", "run_name", "part", F.explode(F.array(*[every[m] for m in metrics])).alias("m")).select(ID, "metric_id", "run_name", "part", "m.metric_name", "m.unit", "m.value")
 
 
 _WIDE = ("area", "length", "rates__discount", "rates__tax")
@@ -104,7 +104,7 @@ WHERE n_len / px_per_mm >= 1 AND occ.priority NOT IN ('5-LOW') AND occ.priority
 def filtered_export(spark, sf_dir):
     """The flagship: one row per occurrence, newest values, millimetres by the narrowest scale, filters that missing values fail."""
     occurrences, scales = _scales(spark, sf_dir)
-    long = lines_as_long(spark, sf_dir).where("metric_name <> 'rates' and part in ('N', 'R')")
+    long = lines_as_long(spark, sf_dir, ("length", "area")).where("part in ('N', 'R')")
     names = [f"traits__{p}__{m}" for p in "NR" for m in ("length", "area")]
     units = {c: "px" if c.endswith("length") else "px2" for c in names}
     flat = wide.wide(long, columns=names, kinds=dict.fromkeys(names, "double"))
