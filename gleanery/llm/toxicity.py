@@ -37,29 +37,33 @@ def _in_word() -> np.ndarray:
 
 
 class Tokens:
-    """Words one after another: the row of each, and the rows of its runs of characters, token k's from ``first[k]`` to ``first[k + 1]``."""
+    """Words one after another, each given by its place ``index`` in a vocabulary: the row of a word, and the rows of its runs of characters, word v's from ``first[v]`` to ``first[v + 1]``."""
 
-    def __init__(self, word: np.ndarray, gram: np.ndarray, first: np.ndarray):
+    def __init__(self, word: np.ndarray, gram: np.ndarray, first: np.ndarray, index: np.ndarray | None = None):
         self.word, self.gram, self.first = word, gram, first
+        self.index = np.arange(len(word)) if index is None else index
 
     def __len__(self) -> int:
-        return len(self.word)
+        return len(self.index)
 
-    def between(self, low: int, high: int) -> Tokens:
-        a, b = self.first[low], self.first[high]
-        return Tokens(self.word[low:high], self.gram[a:b], self.first[low : high + 1] - a)
+    def runs(self) -> np.ndarray:
+        """How many runs of characters each word of the vocabulary has."""
+        return np.diff(self.first)
 
     def at(self, places: np.ndarray) -> Tokens:
-        size = (self.first[1:] - self.first[:-1])[places]
+        """The tokens at some places, with the vocabulary that they use."""
+        used, index = np.unique(self.index[places], return_inverse=True)
+        size = self.runs()[used]
         first = np.concatenate(([0], np.cumsum(size)))
-        gram = self.gram[np.repeat(self.first[places] - first[:-1], size) + np.arange(first[-1])]
-        return Tokens(self.word[places], gram, first)
+        gram = self.gram[np.repeat(self.first[used] - first[:-1], size) + np.arange(first[-1])]
+        return Tokens(self.word[used], gram, first, index)
 
     @classmethod
     def joined(cls, parts: list[Tokens]) -> Tokens:
-        first = np.concatenate([[0], *(p.first[1:] - p.first[:-1] for p in parts)]).cumsum()
-        empty = np.zeros(0, dtype=np.int32)
-        return cls(np.concatenate([empty, *(p.word for p in parts)]), np.concatenate([empty, *(p.gram for p in parts)]), first)
+        first = np.concatenate([[0], *(p.runs() for p in parts)]).cumsum()
+        empty, before = np.zeros(0, dtype=np.int32), np.cumsum([0, *(len(p.word) for p in parts)])
+        index = np.concatenate([np.zeros(0, dtype=np.int64), *(p.index + k for p, k in zip(parts, before[:-1], strict=True))])
+        return cls(np.concatenate([empty, *(p.word for p in parts)]), np.concatenate([empty, *(p.gram for p in parts)]), first, index)
 
 
 def _rows(x: np.ndarray, many: int) -> np.ndarray:
@@ -76,9 +80,14 @@ def _features(text: str) -> tuple[Tokens, np.ndarray]:
         return Tokens.joined([]), begin
     chars = code[inside].astype(np.uint64) + np.uint64(1)
     first = np.concatenate(([0], np.cumsum(size)))
-    at = np.arange(len(chars)) - np.repeat(first[:-1], size)
     power = np.cumprod(np.full(64, 0x100000001B3, dtype=np.uint64))
-    words = np.add.reduceat(chars * power[at & 63], first[:-1])
+    place = np.arange(len(chars)) - np.repeat(first[:-1], size)
+    # What a word is made of is worked out once for each distinct word.
+    words, where, index = np.unique(np.add.reduceat(chars * power[place & 63], first[:-1]), return_index=True, return_inverse=True)
+    size = size[where]
+    starts = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(starts[-1]) - np.repeat(starts[:-1], size)
+    chars = chars[np.repeat(first[where], size) + at]
     run, runs = np.zeros_like(chars), []
     for back in range(max(RUNS)):
         earlier = np.zeros_like(chars)
@@ -86,7 +95,7 @@ def _features(text: str) -> tuple[Tokens, np.ndarray]:
         run += earlier * power[back]
         if back + 1 in RUNS:
             runs.append(_rows((run + np.uint64(back)) * np.uint64(0x9E3779B97F4A7C15), TABLES[1]))
-    return Tokens(_rows(words, TABLES[0]), np.stack(runs, axis=1).ravel(), first * len(RUNS)), begin
+    return Tokens(_rows(words, TABLES[0]), np.stack(runs, axis=1).ravel(), starts * len(RUNS), index), begin
 
 
 def tokenize(texts: list[str | None]) -> tuple[Tokens, np.ndarray]:
@@ -141,16 +150,13 @@ class Network:
         }
         self.scale = np.array([1.0, 0.0])
 
-    def inputs(self, features: Tokens, keep: np.ndarray | None = None) -> np.ndarray:
-        """Word embedding beside the sum of the characters' embeddings, by the root of their number; ``keep`` weighs each token's two halves while training."""
-        out = np.zeros((len(features), 2 * WIDTH), dtype=np.float32)
-        if len(features):
+    def embedded(self, features: Tokens) -> np.ndarray:
+        """For each word of the vocabulary its embedding beside the sum of those of its runs of characters, by the root of their number."""
+        out = np.zeros((len(features.word), 2 * WIDTH), dtype=np.float32)
+        if len(out):
             out[:, :WIDTH] = self.tables[0][features.word]
             out[:, WIDTH:] = np.add.reduceat(self.tables[1][features.gram].astype(np.float32, copy=False), features.first[:-1])
-            out[:, WIDTH:] /= np.sqrt(np.diff(features.first))[:, None]
-        if keep is not None:
-            out[:, :WIDTH] *= keep[:, :1]
-            out[:, WIDTH:] *= keep[:, 1:]
+            out[:, WIDTH:] /= np.sqrt(features.runs())[:, None]
         return out
 
     def forward(self, projected: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False):
@@ -187,20 +193,21 @@ class Network:
         return padded @ self.p["wx"] + self.p["bx"]
 
     def logits(self, features: Tokens, start: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
-        out = np.empty(len(start), dtype=np.float32)
+        out, known = np.empty(len(start), dtype=np.float32), self.embedded(features)
         for k in range(0, len(start), block):
             first, last = (int(start[k]), int(max(start[k : k + block] + size[k : k + block]))) if len(start) else (0, 0)
-            out[k : k + block] = self.forward(self.project(self.inputs(features.between(first, last))), start[k : k + block] - first, size[k : k + block])
+            out[k : k + block] = self.forward(self.project(known[features.index[first:last]]), start[k : k + block] - first, size[k : k + block])
         return out
 
     def gradients(self, features: Tokens, start: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray, rng: np.random.Generator):
-        """Gradients of the weighted logistic loss: of the dense parameters, and per used token of the embeddings of its word and of each of its characters."""
+        """Gradients of the weighted logistic loss: of the dense parameters, and per used word of its embedding and of that of each of its runs of characters."""
         step = np.arange(WINDOW)
         tokens = np.concatenate([np.arange(s, s + n) for s, n in zip(start, size, strict=True)])
         begin = np.cumsum(size) - size
         used = (rng.random((len(tokens), len(TABLES))) >= DROPPED).astype(np.float32) / (1 - DROPPED)
         some = features.at(tokens)
-        x = self.inputs(some, used)
+        used = np.repeat(used, WIDTH, axis=1)
+        x = self.embedded(some)[some.index] * used
         logit, (index, states, attention, pooled, kept) = self.forward(self.project(x), begin, size, keep=True)
         d_logit = (_sigmoid(logit) - label) * weight / len(start)
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -229,9 +236,10 @@ class Network:
         grad["bx"] = d_projected.sum(1, keepdims=True)
         grad["wx"] = x.T @ d_projected[:, :-1]
         d_input = (d_projected[:, :-1] @ self.p["wx"].transpose(0, 2, 1)).sum(0)
-        d_input[:, :WIDTH] *= used[:, :1]
-        d_input[:, WIDTH:] *= used[:, 1:] / np.sqrt(np.diff(some.first))[:, None].astype(np.float32)
-        return grad, some, d_input
+        order = np.argsort(some.index, kind="stable")
+        d_word = np.add.reduceat((d_input * used)[order], np.concatenate(([0], np.cumsum(np.bincount(some.index))[:-1])))
+        d_word[:, WIDTH:] /= np.sqrt(some.runs())[:, None].astype(np.float32)
+        return grad, some, d_word
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Calibrated probability of each text: that of its most toxic window."""
@@ -257,10 +265,16 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
     texts.clear()
     start, size, doc = windows(counts)
     share = labels.mean()
-    lean = np.zeros(len(features), dtype=np.float32)
-    owner = np.repeat(np.arange(many, dtype=np.int32), counts)
-    for k, (rows, column) in enumerate(zip(TABLES, (features.word, features.gram), strict=True) if lean_start else ()):
-        pair = (owner if k == 0 else np.repeat(owner, np.diff(features.first))) * np.int64(rows) + column
+    lean = np.zeros(len(features.word), dtype=np.float32)
+    met = np.unique(np.repeat(np.arange(many, dtype=np.int64), counts) * len(features.word) + features.index) if lean_start and len(features) else np.zeros(0, dtype=np.int64)
+    owner, of = met // max(1, len(features.word)), met % max(1, len(features.word))
+    for k, rows in enumerate(TABLES if len(met) else ()):
+        if k == 0:
+            pair = owner * rows + features.word[of]
+        else:
+            size_of = features.runs()[of]
+            ends = np.cumsum(size_of)
+            pair = np.repeat(owner, size_of) * rows + features.gram[np.repeat(features.first[of] - ends + size_of, size_of) + np.arange(ends[-1])]
         pair.sort()
         pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
         seen = np.bincount(pair % rows, minlength=rows)
@@ -268,10 +282,11 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
         del pair
         z = np.where(seen > 2, np.tanh((toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1) / 4), 0).astype(np.float32)
         network.tables[k][:, 0] = z
-        lean += z[column] if k == 0 else np.add.reduceat(z[column], features.first[:-1]) / np.sqrt(np.diff(features.first)) if len(features) else 0
+        lean += z[features.word] if k == 0 else np.add.reduceat(z[features.gram], features.first[:-1]) / np.sqrt(features.runs())
+    lean = lean[features.index]
     total = np.concatenate(([0.0], np.cumsum(np.maximum(lean, 0))))
     logit = total[start + size] - total[start]
-    del owner, lean, total
+    del met, owner, of, lean, total
     sums = {k: np.zeros_like(v) for k, v in network.p.items()}
     squares = {k: np.zeros_like(v) for k, v in network.p.items()}
     spread = [np.full(rows, 1e-3, np.float32) for rows in TABLES]
@@ -291,14 +306,14 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
         chosen = np.concatenate([rng.permutation(chosen) for _ in range(repeats)])
         for k in range(0, len(chosen), batch):
             some = chosen[k : k + batch]
-            grad, used, d_input = network.gradients(features, start[some], size[some], labels[doc[some]], balance[doc[some]], rng)
+            grad, used, d_word = network.gradients(features, start[some], size[some], labels[doc[some]], balance[doc[some]], rng)
             count += 1
             for name, g in grad.items():
                 sums[name] = 0.9 * sums[name] + 0.1 * g
                 squares[name] = 0.99 * squares[name] + 0.01 * g * g
                 network.p[name] -= speed * (sums[name] / (1 - 0.9**count)) / (np.sqrt(squares[name] / (1 - 0.99**count)) + 1e-6)
-            d_gram = np.repeat(d_input[:, WIDTH:], np.diff(used.first), axis=0)
-            for which, (places, d) in enumerate(((used.word, d_input[:, :WIDTH]), (used.gram, d_gram))):
+            d_gram = np.repeat(d_word[:, WIDTH:], used.runs(), axis=0)
+            for which, (places, d) in enumerate(((used.word, d_word[:, :WIDTH]), (used.gram, d_gram))):
                 row, inverse = np.unique(places, return_inverse=True)
                 order = np.argsort(inverse, kind="stable")
                 step = np.add.reduceat(d[order], np.concatenate(([0], np.cumsum(np.bincount(inverse))[:-1])))

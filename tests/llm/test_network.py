@@ -21,7 +21,7 @@ def sample(seed=0, windows=(5, 32, 1, 17)):
 def plain_logit(network, features):
     """One window, word by word, in double precision."""
     words = []
-    for k in range(len(features)):
+    for k in features.index:
         grams = features.gram[features.first[k] : features.first[k + 1]]
         words.append(np.concatenate((network.tables[0][features.word[k]], sum(network.tables[1][g].astype(float) for g in grams) / math.sqrt(len(grams)))))
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
@@ -50,7 +50,7 @@ def test_forward_against_plain_loops():
     for seed in range(3):
         _, network, features, start, size = sample(seed)
         got = network.logits(features, start, size)
-        want = [plain_logit(network, features.between(a, a + n)) for a, n in zip(start, size, strict=True)]
+        want = [plain_logit(network, features.at(np.arange(a, a + n))) for a, n in zip(start, size, strict=True)]
         assert np.allclose(got, want, atol=1e-4)
 
 
@@ -60,7 +60,7 @@ def test_gradients_against_finite_differences(monkeypatch):
     label, weight = np.array([1, 0, 1, 0], np.float32), np.array([1, 2, 0.5, 1], np.float32)
 
     def loss():
-        logit = np.array([plain_logit(network, features.between(a, a + n)) for a, n in zip(start, size, strict=True)])
+        logit = np.array([plain_logit(network, features.at(np.arange(a, a + n))) for a, n in zip(start, size, strict=True)])
         return float((weight * (np.log1p(np.exp(logit)) - label * logit)).mean())
 
     grad, used, d_input = network.gradients(features, start, size, label, weight, rng)
@@ -89,9 +89,9 @@ def test_gradients_against_finite_differences(monkeypatch):
 
 def test_every_character_of_a_word_counts():
     tokens, counts = t.tokenize(["id10t ab", "id20t ab"])
-    assert counts.tolist() == [2, 2] and np.diff(tokens.first).tolist() == [15, 6, 15, 6]
-    a, b = set(tokens.gram[:15].tolist()), set(tokens.gram[21:36].tolist())
-    assert len(a - b) >= 6 and len(a & b) >= 4 and tokens.word[0] != tokens.word[2] and tokens.word[1] == tokens.word[3]
+    assert counts.tolist() == [2, 2] and tokens.runs()[tokens.index].tolist() == [15, 6, 15, 6]
+    a, b = (set(tokens.gram[tokens.first[v] : tokens.first[v + 1]].tolist()) for v in tokens.index[[0, 2]])
+    assert len(a - b) >= 6 and len(a & b) >= 4 and len(tokens.word) == 3 and tokens.index[1] == tokens.index[3] != tokens.index[0] != tokens.index[2]
 
 
 def test_windows_of_one_text_are_independent_of_its_neighbours():
