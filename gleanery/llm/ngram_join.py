@@ -8,20 +8,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import components, counted, materialize, release, small_batches
-from gleanery.llm.sketch import SEGMENT, build, cells_for
 
 #: Documents of one token that are still compared as single pairs; larger buckets are compared in tiles.
 PAIRED = 64
 #: Rows of a tile's side, and shingles that they may hold together (one row of any length always fits).
 TILE_ROWS, TILE_SHINGLES = 128, 1 << 21
-#: Ids that are broadcast (8 bytes each) to pick the sets that pairs ask for; more are joined by a shuffle.
+#: Ids that are broadcast to pick the texts whose sets pairs ask for; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Counters of how many representatives hold a shingle.
-MOST_COUNTERS = 1 << 22
+#: Tokens and documents of a chunk at most (a document of any length is whole), and about the tokens of a bucket.
+CHUNK_TOKENS, CHUNK_DOCS, BUCKET_TOKENS = 1 << 21, 1 << 16, 1 << 20
 #: Words whose hash a worker remembers.
 REMEMBERED = 100_000
 
@@ -56,33 +56,8 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(total * np.uint64(0xBF58476D1CE4E5B9))
 
 
-def _shingled(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Per document its number of shingles, and where it can have a partner also the digest of its set and the set.
-
-    A set whose prefix, its shingles of one document only before all others, consists of such shingles alone can't
-    reach the threshold with any.
-    """
-    n_words = int((docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0) / 5)
-    sets = lambda batch: [shingle_set(text, size) for text in batch.column("text").to_pylist()]
-    sketch = build(docs.select("text"), lambda batch: np.concatenate([np.zeros(0, np.uint64), *sets(batch)]), cells_for(n_words, 1), 1)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("dig", pa.binary()), ("shingles", pa.binary()), ("again", pa.binary())])
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
-                found = sets(batch)
-                repeated = np.split(shared.value.repeated(np.concatenate(found)), np.cumsum([len(s) for s in found])[:-1])
-                rows = []
-                for doc_id, shingles, again in zip(batch.column("doc_id").to_pylist(), found, repeated, strict=True):
-                    if doc_id is None or len(shingles) - again.sum() >= _length(len(shingles), num, den):
-                        rows.append((doc_id, len(shingles), None, None, None))
-                    else:
-                        rows.append((doc_id, len(shingles), hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), shingles.tobytes(), np.packbits(again).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(shingled, "doc_id long, n long, dig binary, shingles binary, again binary")
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _length(n: int, num: int, den: int) -> int:
@@ -90,44 +65,123 @@ def _length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1 if n else 0
 
 
-def _repeated(row: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A stored set and which of its shingles other documents may hold."""
-    shingles = np.frombuffer(row[0], dtype=np.uint64)
-    return shingles, np.unpackbits(np.frombuffer(row[1], dtype=np.uint8))[: len(shingles)] > 0
+def _width(num: int, den: int) -> int:
+    """Of the 32 leading bits of a hash, how many values a class spans: about twice a prefix."""
+    return min(1 << 32, max(1 << 28, -(-2 * (den - num) * (1 << 32) // den)))
 
 
-def _prefixed(reps: DataFrame, items: int, num: int, den: int) -> DataFrame:
-    """(rep, n, pk, tok, pos) of the representatives (rep, n, shingles, again) that can have a partner among each other.
+def _shingled(docs: DataFrame, size: int, num: int, den: int, width: int) -> DataFrame:
+    """Rows of documents (doc_id, n, dig, chunk, at, held) and rows of their tokens (chunk, bucket, low, owner).
 
-    The common order of shingles: those of one representative only, then by rising powers of two of the estimated
-    number of representatives, then by hash. Estimates count representatives, not copies, so that a passage of many
-    documents stands out from the noise of the counters.
+    Tokens are the shingles of a document's first classes, as many classes as hold its prefix (held: how many in
+    each). A chunk is some documents of one task; its tokens are dealt by hash into buckets: low has their 32 leading
+    bits, owner the place ``at`` of each one's document in the chunk. Rows whose text is not that of their ``mark``
+    (where docs has one that is not null) are left out.
     """
-    counters = min(MOST_COUNTERS, max(SEGMENT, 1 << max(1, items // 2).bit_length()))
-    load = items / counters
-    pairs = lambda batch: zip(batch.column("shingles").to_pylist(), batch.column("again").to_pylist(), strict=True)
-    mine = lambda batch: np.concatenate([np.zeros(0, np.uint64), *(s[again] for s, again in map(_repeated, pairs(batch)))])
-    sketch = build(reps.select("shingles", "again"), mine, cells_for(items, 2), 1, counters, base=load + 3 * load**0.5 + 1)
-    shared = reps.sparkSession.sparkContext.broadcast(sketch)
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("pk", pa.binary()), ("tok", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))])
-
-    def prefixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n_tokens = int((docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0) / 5) * width >> 32
+    buckets = max(16, n_tokens // BUCKET_TOKENS + 1)
+    ends = np.array([k * width << 32 for k in range(1, -(-(1 << 32) // width))], dtype=np.uint64)
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("dig", pa.binary()), ("chunk", pa.int64()), ("at", pa.int32()), ("held", pa.list_(pa.int32())), ("bucket", pa.int64()), ("low", pa.binary()), ("owner", pa.binary())])
+
+    def table(rows: list[tuple], *names: str) -> pa.RecordBatch:
+        columns = dict(zip(names, zip(*rows, strict=True), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * len(rows)), f.type) for f in schema], schema=schema)
+
+    def written(chunk: int, rows: list[tuple], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield table(rows, "doc_id", "n", "dig", "chunk", "at", "held")
+        owner = np.repeat(np.arange(len(tokens), dtype=np.uint16), [len(x) for x in tokens])
+        every = np.concatenate(tokens)
+        bucket = (every & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        low, owner = (every[order] >> np.uint64(32)).astype(np.uint32), owner[order]
+        found, start = np.unique(bucket[order], return_index=True)
+        if len(found):
+            yield table([(chunk, k, x.tobytes(), y.tobytes()) for k, x, y in zip(found.tolist(), np.split(low, start[1:]), np.split(owner, start[1:]), strict=True)], "chunk", "bucket", "low", "owner")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, rows, tokens, many = TaskContext.get().partitionId() << 24, [], [], 0
         for batch in batches:
-            rows = []
-            for rep, (shingles, again) in zip(batch.column("rep").to_pylist(), map(_repeated, pairs(batch)), strict=True):
+            for doc_id, text, mark in zip(*(batch.column(c) for c in ("doc_id", "text", "mark")), strict=True):
+                doc_id, shingles, mark = doc_id.as_py(), shingle_set(text.as_py(), size), mark.as_py()
                 n = len(shingles)
-                length = _length(n, num, den)
-                again[again] = shared.value.repeated(shingles[again])
-                alone = n - int(again.sum())
-                if alone < length:
-                    both = shingles[again]
-                    rank = np.argsort(shared.value.estimate(both), kind="stable")[: length - alone]
-                    prefix = np.concatenate((shingles[~again], both[rank]))
-                    group = hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest()
-                    rows.append((rep, n, group, both[rank].view(np.int64), np.arange(alone, length, dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
-
-    return reps.select("rep", "shingles", "again").mapInArrow(prefixed, "rep long, n long, pk binary, tok array<long>, pos array<int>")
+                if mark is not None and mark != _mark(_digest(shingles)):
+                    continue
+                if doc_id is None or not n:
+                    rows.append((doc_id, n, None, chunk, len(rows), []))
+                    tokens.append(shingles[:0])
+                else:
+                    held = np.append(np.searchsorted(shingles, ends), n)
+                    held = held[: np.searchsorted(held, _length(n, num, den)) + 1]
+                    rows.append((doc_id, n, _digest(shingles), chunk, len(rows), np.diff(held, prepend=0)))
+                    tokens.append(shingles[: held[-1]])
+                    many += int(held[-1])
+                if len(rows) == CHUNK_DOCS or many >= CHUNK_TOKENS:
+                    yield from written(chunk, rows, tokens)
+                    chunk, rows, tokens, many = chunk + 1, [], [], 0
+        if rows:
+            yield from written(chunk, rows, tokens)
+
+    return docs.select("doc_id", "text", "mark").mapInArrow(shingled, "doc_id long, n long, dig binary, chunk long, at int, held array<int>, bucket long, low binary, owner binary")
+
+
+def _prefixed(shingled: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """(doc_id, n, dig, mark, pk, tok, pos) of the documents that can have a partner; copies are documents too.
+
+    The common order of shingles: by class, then by the number of documents that hold the token, then by hash. Each
+    bucket counts its tokens exactly and answers every chunk with those of several documents; what comes before them
+    in a prefix is tokens of one document. A prefix of nothing else can't reach the threshold with any.
+    """
+    classes = -(-(1 << 32) // width)
+    answer = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("low", pa.binary()), ("owner", pa.binary()), ("times", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("dig", pa.binary()), ("mark", pa.int64()), ("pk", pa.binary()), ("tok", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))])
+
+    def count(pieces: pa.Table) -> pa.Table:
+        low = [np.frombuffer(x, dtype=np.uint32) for x in pieces.column("low").to_pylist()]
+        owner = [np.frombuffer(x, dtype=np.uint16) for x in pieces.column("owner").to_pylist()]
+        _, place, times = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+        times = np.split(np.minimum(times, 0xFFFF).astype(np.uint16)[place], np.cumsum([len(x) for x in low])[:-1])
+        again = [(x[t > 1].tobytes(), y[t > 1].tobytes(), t[t > 1].tobytes()) for x, y, t in zip(low, owner, times, strict=True)]
+        columns = [pa.array(c, pa.binary()) for c in zip(*again, strict=True)]
+        return pa.Table.from_arrays([pieces.column("chunk"), pieces.column("bucket"), *columns], schema=answer)
+
+    def prefixed(named: pa.Table, answers: pa.Table) -> pa.Table:
+        if not named.num_rows or not answers.num_rows:
+            return schema.empty_table()
+        named = named.sort_by("at")
+        held = np.zeros((named.num_rows, classes), dtype=np.int64)
+        for k, x in enumerate(named.column("held").to_pylist()):
+            held[k, : len(x)] = x
+        n = named.column("n").to_numpy()
+        length = np.array([_length(int(x), num, den) for x in n])
+        low, owner, times = (np.concatenate([np.frombuffer(x, dtype=kind) for x in answers.column(c).to_pylist()]).astype(np.int64) for c, kind in (("low", np.uint32), ("owner", np.uint16), ("times", np.uint16)))
+        tok = np.repeat(answers.column("bucket").to_numpy(), [len(x) // 4 for x in answers.column("low").to_pylist()]) << 32 | low
+        group = owner * classes + low // width
+        order = np.lexsort((tok, times, group))
+        tok, owner, group = tok[order], owner[order], group[order]
+        again = np.bincount(group, minlength=held.size)
+        first = (np.cumsum(held, axis=1) - held).ravel() + held.ravel() - again  # lower classes, then what one document holds
+        pos = first[group] + np.arange(len(group)) - (np.cumsum(again) - again)[group]
+        keep = pos < length[owner]
+        keep[1:] &= (tok[1:] != tok[:-1]) | (owner[1:] != owner[:-1])  # two shingles of one token count once
+        tok, owner, pos = tok[keep], owner[keep], pos[keep].astype(np.int32)
+        if not len(tok):
+            return schema.empty_table()
+        living, start = np.unique(owner, return_index=True)
+        rows = []
+        whole = named.take(pa.array(living)).select(["doc_id", "dig"]).to_pylist()
+        for k, x, t, p in zip(living.tolist(), whole, np.split(tok, start[1:]), np.split(pos, start[1:]), strict=True):
+            # A prefix with a shingle of one document only is that document's alone.
+            pk = x["dig"] if len(t) < length[k] else hashlib.blake2b(t.tobytes() + int(n[k]).to_bytes(8, "little"), digest_size=16).digest()
+            rows.append((x["doc_id"], int(n[k]), x["dig"], _mark(x["dig"]), pk, t, p))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    answers = shingled.where("bucket is not null").select("chunk", "bucket", "low", "owner").groupBy("bucket").applyInArrow(count, "chunk long, bucket long, low binary, owner binary, times binary")
+    named = shingled.where("bucket is null").select("chunk", "at", "doc_id", "n", "dig", "held")
+    return named.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(prefixed, "doc_id long, n long, dig binary, mark long, pk binary, tok array<long>, pos array<int>")
+
+
+def _mark(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def _may_link(n: Column, pos: Column, other_n: Column, other_pos: Column, num: int, den: int) -> Column:
@@ -136,9 +190,30 @@ def _may_link(n: Column, pos: Column, other_n: Column, other_pos: Column, num: i
     return sizes & (F.least(n - pos, other_n - other_pos) * (num + den) >= (n + other_n) * num)
 
 
-def _only(sets: DataFrame, ids: DataFrame, many: int) -> DataFrame:
-    """The rows of ``sets`` whose doc_id is in ``ids`` (column doc_id, ``many`` rows): up to ``BROADCAST_IDS`` are broadcast, so that sets nobody asks for are not shuffled; more are joined."""
-    return materialize(sets.join(F.broadcast(ids) if many <= BROADCAST_IDS else ids.distinct(), "doc_id", "left_semi"), "wanted")
+def _texts(docs: DataFrame, reps: DataFrame, many: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``reps`` (rep, mark; ``many`` rows), with its mark: up to ``BROADCAST_IDS`` are broadcast, so that texts nobody asks for are not shuffled; more are joined."""
+    reps = reps.select(F.col("rep").alias("doc_id"), "mark")
+    return docs.drop("mark").join(F.broadcast(reps) if many <= BROADCAST_IDS else reps, "doc_id").select("doc_id", "text", "mark")
+
+
+def _sets(docs: DataFrame, size: int, digests: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the representatives (digests: rep, mark) in ``ids`` (column doc_id), made from their texts again."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                rows = []
+                for doc_id, text, mark in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "mark")), strict=True):
+                    shingles = shingle_set(text, size)
+                    if _mark(_digest(shingles)) == mark:
+                        rows.append((doc_id, shingles.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "shingles"])
+
+    wanted, many = counted(digests.select("rep", "mark").join(ids.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_semi"), "ids")
+    sets = materialize(_texts(docs, wanted, many).mapInArrow(shingled, "doc_id long, shingles binary"), "wanted")
+    release(wanted)
+    return sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -214,6 +289,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     empty set and link with nothing. Rows without a doc_id link with nothing and have no component; rows that share
     one are one document with several texts. Texts of any length count whole. Other columns are ignored.
 
+    0. Exact counts of the shingles in a fraction of the hash values leave out the documents whose prefix, with these
+       shingles before all others, no other document shares; what is left is counted again with all its shingles.
     1. Equal sets become one representative. Representatives with equal size and prefix become one group, and
        groups meet in an inverted index of their prefix shingles (exact by the prefix principle: two sets above the
        threshold share a shingle of both prefixes, in any common order).
@@ -225,18 +302,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
        the same groups are compared once. So a group of copies costs work in proportion to its size where its first
        document links it together, and never one row for each of its pairs.
 
-    Only sets that a pair asks for are shuffled. Identity of shingles is that of 64-bit hashes, of sets and of
-    buckets that of 128-bit digests.
+    Tokens are counted exactly, by buckets of hashes, so what is written and shuffled grows in proportion to the
+    texts however many there are. Only sets that a pair asks for are made again from the texts and shuffled. Identity
+    of shingles is that of 64-bit hashes (of tokens, which only choose pairs, less), of sets and of buckets that of
+    128-bit digests.
     """
     small_batches(docs.sparkSession)
-    shingled = materialize(_shingled(docs, size, num, den), "shingled")
-    living = shingled.where("dig is not null")
-    digests, many = counted(living.groupBy("dig").agg(F.min("doc_id").alias("rep")), "digests")
-    own = living.withColumnRenamed("doc_id", "rep").join(F.broadcast(digests) if many <= BROADCAST_IDS else digests, ["dig", "rep"], "left_semi")
-    # Rows that share a doc_id and a text stay several; they make no other links.
-    stored = materialize(own.select("rep", "n", "shingles", "again"), "sets")
-    reps = materialize(_prefixed(stored, stored.agg(F.sum("n").alias("n")).first().n or 0, num, den).distinct(), "reps")
-    sets = stored.select(F.col("rep").alias("doc_id"), "shingles")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("mark"))
+    shingled = materialize(_shingled(docs, size, num, den, _width(num, den)), "shingled")
+    digests, many = counted(_prefixed(shingled, num, den, _width(num, den)).groupBy("dig").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "mark")).alias("r")).select("dig", "r.*"), "digests")
+    named = materialize(shingled.where("bucket is null").select("doc_id", "n", "dig"), "named")
+    release(shingled)
+    # Again with all shingles as tokens, of the representatives that are left and counted among them.
+    shingled = materialize(_shingled(_texts(docs, digests, many), size, num, den, 1 << 32), "shingled")
+    # Rows that share a doc_id and a text are one here.
+    reps = materialize(_prefixed(shingled, num, den, 1 << 32).select(F.col("doc_id").alias("rep"), "n", "pk", "tok", "pos").distinct(), "reps")
+    release(shingled)
     first = F.min_by(F.struct(F.col("rep").alias("gid"), "n", "tok", "pos"), "rep").alias("r")
     groups = materialize(reps.groupBy("pk").agg(first, F.count("*").alias("size")).select("pk", "r.*", "size"), "groups")
     crowds = reps.select("pk", "rep").join(groups.where("size > 1").select("pk", "gid"), "pk")
@@ -247,9 +328,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     leads = materialize(lead.where("c > 1").select("token", F.col("lead.gid").alias("a"), F.col("lead.n").alias("an"), F.col("lead.pos").alias("ap")), "leads")
     star = indexed.join(leads, "token").where("gid <> a").where(_may_link(F.col("n"), F.col("pos"), F.col("an"), F.col("ap"), num, den))
     met = star.select("a", "gid").distinct().join(crowds.select("gid", "rep"), "gid", "left").select("a", F.coalesce("rep", "gid").alias("b"))
-    first_pairs, many = counted(met.where("a <> b").union(crowds.where("gid <> rep").select("gid", "rep")).distinct(), "pairs")
+    first_pairs = materialize(met.where("a <> b").union(crowds.where("gid <> rep").select("gid", "rep")).distinct(), "pairs")
     ends = lambda df: df.select("a").union(df.select("b")).withColumnRenamed("a", "doc_id")
-    first_links = materialize(_verified(first_pairs, _only(sets, ends(first_pairs), 2 * many), num, den), "links")
+    asked = _sets(docs, size, digests, ends(first_pairs))
+    first_links = materialize(_verified(first_pairs, asked, num, den), "links")
+    release(asked)
 
     known = components(first_links).withColumnRenamed("node", "rep")
     state = materialize(reps.select("pk", "rep").join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "state")
@@ -271,18 +354,18 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         near = near.withColumns({f"{p}rep": F.coalesce(f"{p}rep", f"{p}gid"), f"{p}c": F.coalesce(f"{p}c", f"{p}low")})
     pairs = near.where("xc <> yc").select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b")).distinct()
     done = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs, n_pairs = counted(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     large = rows.where(F.col("members") > PAIRED).select("token", "gid", F.col("low"), "most").join(crowds, "gid", "left")
-    large, n_large = counted(large.select("token", F.coalesce("rep", "gid").alias("rep"), F.coalesce("c", "low").alias("c"), "most"), "large")
-    wanted = _only(sets, ends(pairs).union(large.select("rep")), 2 * n_pairs + n_large)
+    large = materialize(large.select("token", F.coalesce("rep", "gid").alias("rep"), F.coalesce("c", "low").alias("c"), "most"), "large")
+    wanted = _sets(docs, size, digests, ends(pairs).union(large.select("rep")))
     tiles = materialize(_tiled(large, wanted, num, den), "tiles")
     links = first_links.union(_verified(pairs, wanted, num, den)).union(tiles)
 
     final = components(links)
     labels = materialize(digests.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("dig", F.coalesce("component", "rep").alias("component_id")), "labels")
-    release(stored, reps, groups, leads, first_pairs, first_links, state, rows, crowds, pairs, large, wanted, tiles)
-    linked = living.select("doc_id", "n", "dig").join(labels, "dig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(shingled.where("dig is null").select("doc_id", "n", "doc_id"))
+    release(reps, groups, leads, first_pairs, first_links, state, rows, crowds, pairs, large, wanted, tiles, digests)
+    linked = named.where("dig is not null").join(labels, "dig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.union(named.where("dig is null").select("doc_id", "n", "doc_id"))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -125,6 +125,36 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert jaccard_components(docs(spark, []), 4, 85, 100).count() == 0
 
 
+@pytest.mark.parametrize("many", [1, 1 << 18])
+def test_ngram_join_writes_no_sets_of_documents_without_partner(spark, monkeypatch, many):
+    """More shingles than any bounded filter tells apart (few cells stand for many texts): unlike documents are still left out, links are not."""
+    import gleanery.llm.ngram_join as j
+    import gleanery.llm.sketch as sketch
+
+    monkeypatch.setattr(sketch, "SEGMENT", 1 << 10)
+    monkeypatch.setattr(sketch, "MAX_CELLS", 1 << 10)
+    monkeypatch.setattr(j, "CHUNK_TOKENS", many, raising=False)
+    monkeypatch.setattr(j, "BUCKET_TOKENS", many, raising=False)
+    rng = random.Random(11)
+    unlike = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for k in range(100)]
+    passage = " ".join(f"common{k}" for k in range(60))
+    rows = unlike + [(k, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for k in range(100, 180)]
+    rows += [(180 + k, unlike[k][1] + " more") for k in range(5)] + [(190, rows[120][1])]
+    written = {}
+    keep = j.materialize
+
+    def materialize(df, name):
+        out = keep(df, name)
+        if name in ("sets", "reps", "wanted", "tiles"):
+            written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(j, "materialize", materialize)
+    got = jaccard_components(docs(spark, rows), 4, 85, 100)
+    assert sorted([tuple(r) for r in got.collect()], key=repr) == brute_components(rows, 4, 85, 100)
+    assert written.get("sets", 0) + written["reps"] <= 10 and written["wanted"] <= 10 and not written["tiles"]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(1000, 1100)] + [(5, 5), (None, 3), (9, 8), (8, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
