@@ -190,6 +190,7 @@ _PARSED = "page_id long, url string, host string, path string, key long, lines a
 
 
 def _parse(pages: DataFrame) -> DataFrame:
+    """Of every page the lines that are not junk by their element, with kinds and hashes; key stands for host, path and all its lines."""
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +201,9 @@ def _parse(pages: DataFrame) -> DataFrame:
                 for source, host, path in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "path")), strict=True):
                     lines, kind = page_lines(source)
                     hashed = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64).view(np.int64)
-                    texts.append(lines)
-                    kinds.append(kind)
-                    hashes.append(hashed)
+                    texts.append([x for x, k in zip(lines, kind, strict=True) if k])
+                    kinds.append([k for k in kind if k])
+                    hashes.append(hashed[np.array(kind) > 0] if kind else hashed)
                     keys.append(np.uint64(xxhash.xxh3_64_intdigest(f"{host}\n{path}\n".encode() + hashed.tobytes())).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "path")), pa.array(keys, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "url", "host", "path", "key", "lines", "kinds", "hashes"])
 
@@ -210,7 +211,7 @@ def _parse(pages: DataFrame) -> DataFrame:
 
 
 def _shared(ordered: DataFrame) -> DataFrame:
-    """For each open page the lines it shares with its neighbours in its partition's order (key, shared), and the pages at the partition's ends (shared null).
+    """For each page the lines it shares with its neighbours in its partition's order (key, shared; a row for each neighbour that is no copy), and the pages at the partition's ends (shared null).
 
     The page before and the page after are asked; where the page before is a copy, the last page before the run of
     copies is asked as well, so that a run of any length still meets its template. Two pages are held at a time.
@@ -220,23 +221,23 @@ def _shared(ordered: DataFrame) -> DataFrame:
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = first = distinct = None
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "host", "path", "hashes", "open", "part", "from")), strict=True))
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "host", "path", "hashes", "part", "from")), strict=True))
             out = []
 
             def meet(one, other, out=out) -> bool:
                 """Note what ``one`` shares with ``other``; whether that is a copy of it."""
-                if one[1] != other[1] or (one[6] is not None and one[6] == other[6]):
+                if one[1] != other[1] or (one[5] is not None and one[5] == other[5]):
                     return False
-                common = aligned(one[3], other[3]) if one[4] else []
-                copy = one[4] and len(common) >= MIRROR * len(one[3])
-                if common and not copy:
-                    out.append((*one[:6], common))
+                common = aligned(one[3], other[3])
+                copy = len(common) >= MIRROR * len(one[3])
+                if not copy:
+                    out.append((one[0], None, None, None, one[4], common))
                 return copy
 
             for row in rows:
                 if first is None:
                     first = row
-                if before is not None and (row[4] or before[4]):
+                if before is not None:
                     meet(before, row)
                     if meet(row, before):
                         if distinct is not None:
@@ -246,22 +247,23 @@ def _shared(ordered: DataFrame) -> DataFrame:
                 before = row
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
         ends = {r[0]: r for r in (first, distinct, before) if r is not None}.values()
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((*r[:6], None) for r in ends), strict=True) if ends else [[]] * len(schema), schema, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*((*r[:5], None) for r in ends), strict=True) if ends else [[]] * len(schema), schema, strict=True)], schema=schema)
 
-    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("open", pa.bool_()), ("part", pa.int32()), ("shared", pa.list_(pa.int32()))])
-    return plain.mapInArrow(pair, "key long, host string, path string, hashes array<long>, open boolean, part int, shared array<int>")
+    schema = pa.schema([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("part", pa.int32()), ("shared", pa.list_(pa.int32()))])
+    return plain.mapInArrow(pair, "key long, host string, path string, hashes array<long>, part int, shared array<int>")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of ``pages``.
 
     A page's lines are its text blocks without scripts, styles and markup. Lines inside a menu, header, footer,
-    sidebar, notice, advert, form or comments are left out whatever the neighbours say. Where a page marks its
-    article (article, main, role or itemprop) the text is the lines inside, whatever the neighbours say: one article
-    at several URLs shares all its lines with its copies. On other pages differencing decides: pages are ordered by
-    path within their host, each is compared with the page before and the one after, what is left of their lines is
-    aligned by longest common subsequence, and shared lines are deleted. A neighbour that shares ``MIRROR`` of a
-    page's lines counts as its copy; then the last page before the copies is asked.
+    sidebar, notice, advert, form or comments are left out whatever the neighbours say. Differencing decides about the
+    others, of all pages: pages are ordered by path within their host, each is compared with the page before and the
+    one after, what is left of their lines is aligned by longest common subsequence, and shared lines are deleted. A
+    neighbour that shares ``MIRROR`` of a page's lines counts as its copy; then the last page before the copies is
+    asked. A check follows where a page marks its article (article, main, role or itemprop): lines inside that were
+    deleted come back, as one article at several URLs shares its lines with its copies; and where no neighbour but
+    copies could be asked, which tells nothing of the template, lines outside go.
 
     Pages of any length count whole, and lines of any number are aligned. Null and empty html give an empty text; null urls belong to a nameless host and are compared like others. Rows of
     equal host, path and lines are one page in the order, so repeated rows don't delete each other. Pages are dealt by
@@ -271,28 +273,26 @@ def extract_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     parsed = materialize(_parse(pages), "parsed")
     order = ["host", "path", "key"]
-    marked = F.exists("kinds", lambda kind: kind == 2)
-    rest_of = F.filter("hashes", lambda _, k: F.get("kinds", k) > 0)
-    light = parsed.select(*order, rest_of.alias("hashes"), (~marked).alias("open")).dropDuplicates(["key"]).withColumn("from", F.lit(None).cast("int"))
+    light = parsed.select(*order, "hashes").dropDuplicates(["key"]).withColumn("from", F.lit(None).cast("int"))
     paired = materialize(_shared(light.repartitionByRange(*order).sortWithinPartitions(*order)), "paired")
-    ends = paired.where("shared is null").select(*order, "hashes", "open", F.col("part").alias("from"))
+    ends = paired.where("shared is null").select(*order, "hashes", F.col("part").alias("from"))
     across = _shared(ends.coalesce(1).sortWithinPartitions(*order)).where("shared is not null")
     shared = paired.where("shared is not null").union(across).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared"))
-
-    inside = F.filter("lines", lambda line, k: F.get("kinds", k) == 2)
-    done = parsed.where(marked).select("page_id", "url", F.array_join(inside, "\n").alias("text"))
-    rest = parsed.where(~marked).select("page_id", "url", "key", "lines", "kinds").join(materialize(shared, "shared"), "key", "left").drop("key")
+    # Texts are shuffled only of pages with lines outside a mark; where all are inside, all that was deleted comes back.
+    outside = F.exists("kinds", lambda kind: kind == 1)
+    whole = parsed.where(~outside).select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+    rest = parsed.where(outside).select("page_id", "url", "key", "lines", "kinds").join(materialize(shared, "shared"), "key", "left").drop("key")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for lines, kinds, gone in zip(*(batch.column(c).to_pylist() for c in ("lines", "kinds", "shared")), strict=True):
+                unknown = gone is None and 2 in kinds
                 gone = set(gone or ())
-                left = [line for line, kind in zip(lines, kinds, strict=True) if kind]
-                texts.append("\n".join(line for k, line in enumerate(left) if k not in gone))
+                texts.append("\n".join(line for k, (line, kind) in enumerate(zip(lines, kinds, strict=True)) if kind == 2 or not (unknown or k in gone)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return done.union(rest.mapInArrow(kept, "page_id long, url string, text string")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return whole.union(rest.mapInArrow(kept, "page_id long, url string, text string")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:

@@ -518,6 +518,15 @@ def test_pages(spark):
     assert page_lines('<p title="a>b</p>')[0] == ["b"] and page_lines("a<br/>b<script src='x'/>c")[0] == ["a b"]
 
 
+def test_differencing_decides_on_pages_that_mark_their_article(spark):
+    """Shared lines go, own lines outside the mark stay, and a shared line inside it comes back; alone on a host, the mark decides."""
+    page = lambda k: f"<div>Template top</div><h1>Title {k}</h1><article><p>Shared line</p><p>Own line {k}</p></article><div>Template end</div><nav>Menu {k}</nav>"
+    rows = [(k, f"http://h.com/{k}", page(k)) for k in range(4)] + [(8, "http://alone.com/8", page(8))]
+    rows += [(9, "http://copies.com/1", page(9)), (10, "http://copies.com/2", page(9))]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\nShared line\nOwn line {k}" for k in range(4)} | {k: f"Shared line\nOwn line {min(k, 9)}" for k in (8, 9, 10)}
+
+
 def test_page_order_does_not_depend_on_partitions(spark):
     rows = [(k, f"http://{'hot' if k % 3 else 'cold'}.com/{k:03}", f"<div>Template top</div><p>Text {k} one</p><p>Text {k} two</p><p>Text {k} three</p><div>Template end</div>") for k in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
