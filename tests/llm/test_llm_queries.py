@@ -100,6 +100,28 @@ def connect_to(docs):
     return con
 
 
+def test_pipeline_join_leaves_out_documents_without_partner(spark, monkeypatch):
+    """The join's stage with filters far too small for its shingles: only the copies' sets are written."""
+    import gleanery.llm.ngram_join as j
+    import gleanery.llm.sketch as sketch
+
+    monkeypatch.setattr(sketch, "SEGMENT", 1 << 10)
+    monkeypatch.setattr(sketch, "MAX_CELLS", 1 << 10)
+    written, keep = [], j.materialize
+
+    def materialize(df, name):
+        out = keep(df, name)
+        if name in ("sets", "reps", "wanted"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(j, "materialize", materialize)
+    text = lambda k: " ".join(f"w{k * 997 + i * (k + 3)}" for i in range(200))
+    rows_ = [(k, text(k), "en", "s", 1) for k in range(100)] + [(100, text(7) + " more", "en", "s", 1)]
+    out = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(100)) and max(written) <= 2
+
+
 def test_pipeline_on_odd_rows(spark):
     rows_ = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a text without an id of its own here", "en", "s", 1), (3, "some words here\nand a line", None, "s", 9), (3, "some words here\nand a line", None, "s", 9)]
     docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit(1)).withColumn("n", F.lit("x")).withColumn("component_id", F.lit(2))
