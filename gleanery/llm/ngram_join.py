@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import components, counted, materialize, release, small_batches
+from gleanery.llm.common import components, counted, materialize, release, small_batches, sweep
 
 #: Documents of one token that are still compared as single pairs; larger buckets are compared in tiles.
 PAIRED = 64
@@ -303,21 +303,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
        document links it together, and never one row for each of its pairs.
 
     Tokens are counted exactly, by buckets of hashes, so what is written and shuffled grows in proportion to the
-    texts however many there are. Only sets that a pair asks for are made again from the texts and shuffled. Identity
-    of shingles is that of 64-bit hashes (of tokens, which only choose pairs, less), of sets and of buckets that of
-    128-bit digests.
+    texts however many there are; shuffle files are deleted phase by phase. Only sets that a pair asks for are made
+    again from the texts and shuffled. Identity of shingles is that of 64-bit hashes (of tokens, which only choose
+    pairs, less), of sets and of buckets that of 128-bit digests.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    sweep(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("mark"))
     shingled = materialize(_shingled(docs, size, num, den, _width(num, den)), "shingled")
     digests, many = counted(_prefixed(shingled, num, den, _width(num, den)).groupBy("dig").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "mark")).alias("r")).select("dig", "r.*"), "digests")
     named = materialize(shingled.where("bucket is null").select("doc_id", "n", "dig"), "named")
     release(shingled)
+    sweep(spark)
     # Again with all shingles as tokens, of the representatives that are left and counted among them.
     shingled = materialize(_shingled(_texts(docs, digests, many), size, num, den, 1 << 32), "shingled")
     # Rows that share a doc_id and a text are one here.
     reps = materialize(_prefixed(shingled, num, den, 1 << 32).select(F.col("doc_id").alias("rep"), "n", "pk", "tok", "pos").distinct(), "reps")
     release(shingled)
+    sweep(spark)
     first = F.min_by(F.struct(F.col("rep").alias("gid"), "n", "tok", "pos"), "rep").alias("r")
     groups = materialize(reps.groupBy("pk").agg(first, F.count("*").alias("size")).select("pk", "r.*", "size"), "groups")
     crowds = reps.select("pk", "rep").join(groups.where("size > 1").select("pk", "gid"), "pk")
@@ -333,6 +337,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     asked = _sets(docs, size, digests, ends(first_pairs))
     first_links = materialize(_verified(first_pairs, asked, num, den), "links")
     release(asked)
+    sweep(spark)
 
     known = components(first_links).withColumnRenamed("node", "rep")
     state = materialize(reps.select("pk", "rep").join(known, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"), "state")
@@ -357,6 +362,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     large = rows.where(F.col("members") > PAIRED).select("token", "gid", F.col("low"), "most").join(crowds, "gid", "left")
     large = materialize(large.select("token", F.coalesce("rep", "gid").alias("rep"), F.coalesce("c", "low").alias("c"), "most"), "large")
+    sweep(spark)
     wanted = _sets(docs, size, digests, ends(pairs).union(large.select("rep")))
     tiles = materialize(_tiled(large, wanted, num, den), "tiles")
     links = first_links.union(_verified(pairs, wanted, num, den)).union(tiles)
@@ -364,6 +370,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     final = components(links)
     labels = materialize(digests.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("dig", F.coalesce("component", "rep").alias("component_id")), "labels")
     release(reps, groups, leads, first_pairs, first_links, state, rows, crowds, pairs, large, wanted, tiles, digests)
+    sweep(spark)
     linked = named.where("dig is not null").join(labels, "dig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return linked.union(named.where("dig is null").select("doc_id", "n", "doc_id"))
 

@@ -1,5 +1,8 @@
 """The registered queries against their SQL, and the pipeline against its stages done by hand."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +125,33 @@ def test_pipeline_join_leaves_out_documents_without_partner(spark, monkeypatch):
     assert sorted(r.doc_id for r in out.collect()) == list(range(100)) and max(written) <= 2
 
 
+def test_pipeline_join_deletes_shuffle_files_of_earlier_phases(spark, monkeypatch):
+    """The shuffle files of the stage before and of the first count are gone when the groups are written."""
+    import gleanery.llm.ngram_join as j
+
+    def held():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return set(re.findall(r"shuffle_(\d+)_", files.mkString(" ")))
+
+    seen, keep = {}, j.materialize
+
+    def materialize(df, name):
+        if name == "named":
+            seen["first"] = held()
+        if name == "groups":
+            until = time.time() + 20
+            while (left := held() & (seen["before"] | seen["first"])) and time.time() < until:
+                time.sleep(0.2)
+            seen["left"] = left
+        return keep(df, name)
+
+    spark.range(1000).groupBy(F.col("id") % 7).count().collect()
+    seen["before"] = held()
+    monkeypatch.setattr(j, "materialize", materialize)
+    corpus_pipeline.keep_one_of_each_group(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+    assert seen["before"] and seen["first"] - seen["before"] and not seen["left"]
+
+
 def test_pipeline_on_odd_rows(spark):
     rows_ = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a text without an id of its own here", "en", "s", 1), (3, "some words here\nand a line", None, "s", 9), (3, "some words here\nand a line", None, "s", 9)]
     docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit(1)).withColumn("n", F.lit("x")).withColumn("component_id", F.lit(2))
