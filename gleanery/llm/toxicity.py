@@ -26,6 +26,8 @@ THRESHOLD = 0.7
 DROPPED = 0.3
 #: Characters tokenized at once.
 PIECE = 1 << 19
+#: Runs of characters whose embeddings are gathered at once, and tokens whose features are counted at once.
+GATHERED, COUNTED = 1 << 18, 1 << 15
 _letters: list[np.ndarray] = []
 
 
@@ -66,6 +68,15 @@ class Tokens:
         return cls(np.concatenate([empty, *(p.word for p in parts)]), np.concatenate([empty, *(p.gram for p in parts)]), first, index)
 
 
+def _blocks(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the parts that ``first`` borders, each of one part or of several with at most ``most`` entries in all."""
+    begin, many = 0, len(first) - 1
+    while begin < many:
+        end = max(begin + 1, int(np.searchsorted(first, first[begin] + most, side="right")) - 1)
+        yield begin, end
+        begin = end
+
+
 def _rows(x: np.ndarray, many: int) -> np.ndarray:
     return ((((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)) % np.uint64(many)).astype(np.int32)
 
@@ -153,10 +164,11 @@ class Network:
     def embedded(self, features: Tokens) -> np.ndarray:
         """For each word of the vocabulary its embedding beside the sum of those of its runs of characters, by the root of their number."""
         out = np.zeros((len(features.word), 2 * WIDTH), dtype=np.float32)
-        if len(out):
-            out[:, :WIDTH] = self.tables[0][features.word]
-            out[:, WIDTH:] = np.add.reduceat(self.tables[1][features.gram].astype(np.float32, copy=False), features.first[:-1])
-            out[:, WIDTH:] /= np.sqrt(features.runs())[:, None]
+        for a, b in _blocks(features.first, GATHERED):
+            first = features.first[a : b + 1]
+            out[a:b, :WIDTH] = self.tables[0][features.word[a:b]]
+            out[a:b, WIDTH:] = np.add.reduceat(self.tables[1][features.gram[first[0] : first[-1]]].astype(np.float32, copy=False), first[:-1] - first[0])
+            out[a:b, WIDTH:] /= np.sqrt(np.diff(first))[:, None]
         return out
 
     def forward(self, projected: np.ndarray, start: np.ndarray, size: np.ndarray, keep: bool = False):
@@ -250,6 +262,23 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * top + self.scale[1], -60, 60)))
 
 
+def _met(features: Tokens, counts: np.ndarray, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table, in how many documents each row occurs, and in how many of those labelled 1; counted some documents at a time."""
+    many, border = len(features.word), np.concatenate(([0], np.cumsum(counts)))
+    found = [(np.zeros(rows, dtype=np.int64), np.zeros(rows)) for rows in TABLES]
+    for a, b in _blocks(border, COUNTED):
+        met = np.unique(np.repeat(np.arange(a, b, dtype=np.int64), counts[a:b]) * many + features.index[border[a] : border[b]])
+        owner, of = met // many, met % many
+        size = features.first[of + 1] - features.first[of]
+        ends = np.cumsum(size)
+        gram = features.gram[np.repeat(features.first[of] - ends + size, size) + np.arange(size.sum())]
+        for rows, (seen, toxic), pair in zip(TABLES, found, (owner * TABLES[0] + features.word[of], np.repeat(owner, size) * TABLES[1] + gram), strict=True):
+            pair = np.unique(pair)
+            seen += np.bincount(pair % rows, minlength=rows)
+            toxic += np.bincount(pair % rows, weights=labels[pair // rows], minlength=rows)
+    return found
+
+
 def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: int = 5, batch: int = 64, rate: float = 0.01, lean_start: bool = True) -> Network:
     """Fit on whole texts with one label each; the list of texts is emptied once they are tokenized.
 
@@ -266,27 +295,19 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 7, rounds: in
     start, size, doc = windows(counts)
     share = labels.mean()
     lean = np.zeros(len(features.word), dtype=np.float32)
-    met = np.unique(np.repeat(np.arange(many, dtype=np.int64), counts) * len(features.word) + features.index) if lean_start and len(features) else np.zeros(0, dtype=np.int64)
-    owner, of = met // max(1, len(features.word)), met % max(1, len(features.word))
-    for k, rows in enumerate(TABLES if len(met) else ()):
-        if k == 0:
-            pair = owner * rows + features.word[of]
-        else:
-            size_of = features.runs()[of]
-            ends = np.cumsum(size_of)
-            pair = np.repeat(owner, size_of) * rows + features.gram[np.repeat(features.first[of] - ends + size_of, size_of) + np.arange(ends[-1])]
-        pair.sort()
-        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
-        seen = np.bincount(pair % rows, minlength=rows)
-        toxic = np.bincount(pair % rows, weights=labels[pair // rows], minlength=rows)
-        del pair
+    for k, (seen, toxic) in enumerate(_met(features, counts, labels) if lean_start and len(features) else ()):
         z = np.where(seen > 2, np.tanh((toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1) / 4), 0).astype(np.float32)
         network.tables[k][:, 0] = z
-        lean += z[features.word] if k == 0 else np.add.reduceat(z[features.gram], features.first[:-1]) / np.sqrt(features.runs())
+        if k == 0:
+            lean += z[features.word]
+            continue
+        for a, b in _blocks(features.first, GATHERED):
+            first = features.first[a : b + 1]
+            lean[a:b] += np.add.reduceat(z[features.gram[first[0] : first[-1]]], first[:-1] - first[0]) / np.sqrt(np.diff(first))
     lean = lean[features.index]
     total = np.concatenate(([0.0], np.cumsum(np.maximum(lean, 0))))
     logit = total[start + size] - total[start]
-    del met, owner, of, lean, total
+    del lean, total
     sums = {k: np.zeros_like(v) for k, v in network.p.items()}
     squares = {k: np.zeros_like(v) for k, v in network.p.items()}
     spread = [np.full(rows, 1e-3, np.float32) for rows in TABLES]

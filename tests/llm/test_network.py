@@ -1,6 +1,7 @@
 """The network of the toxicity operator against plain loops, and its gradients against finite differences."""
 
 import math
+import tracemalloc
 
 import numpy as np
 
@@ -99,3 +100,37 @@ def test_windows_of_one_text_are_independent_of_its_neighbours():
     network = sample(9)[1]
     alone = [float(network.scores([x])[0]) for x in texts]
     assert np.allclose(network.scores(texts), alone, atol=1e-6)
+
+
+def test_training_gathers_some_words_at_a_time():
+    rng = np.random.default_rng(1)
+    letters = rng.integers(97, 123, (400, 500, 8), dtype=np.uint8)
+    texts = [" ".join(bytes(word).decode() for word in text) for text in letters]
+    labels = np.arange(400) % 4 == 0
+    tracemalloc.start()
+    network = t.train(texts, labels, rounds=0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert network.scale.shape == (2,) and peak < 150e6  # 200,000 words of 24 runs of characters: 154 MB of embeddings
+
+
+def test_blocks_change_no_bit_of_a_network(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "fool", "id10t", "meadow", "über", "x" * 70], n)) for n in [0, 1, 40, 3, 0, 90, 12, 7, 0]]
+    labels = np.arange(9) % 3 == 2
+    whole, counts = t.tokenize(texts)
+    want = t.train(list(texts), labels, rounds=1)
+    for size in (1, 50):
+        monkeypatch.setattr(t, "GATHERED", size)
+        monkeypatch.setattr(t, "COUNTED", size)
+        got = t.train(list(texts), labels, rounds=1)
+        assert all((a == b).all() for a, b in zip(got.tables, want.tables, strict=True)) and (got.scale == want.scale).all()
+        assert all((got.p[k] == want.p[k]).all() for k in want.p)
+    (seen, toxic), (seen_runs, toxic_runs) = t._met(whole, counts, labels.astype(np.float32))
+    begin = np.cumsum(counts) - counts
+    own = [whole.at(np.arange(a, a + n)) for a, n in zip(begin, counts, strict=True)]
+    for table, (all_of, ones) in (("word", (seen, toxic)), ("gram", (seen_runs, toxic_runs))):
+        sets = [set(getattr(x, table).tolist()) for x in own]
+        rows = set().union(*sets)
+        assert {int(r) for r in np.flatnonzero(all_of)} == rows and all(all_of[r] == sum(r in x for x in sets) for r in rows)
+        assert all(ones[r] == sum(r in x for x, label in zip(sets, labels, strict=True) if label) for r in rows)
