@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.sources.tables import shuffled
+
 
 def spans_of_runs(masks: DataFrame, key: str = "mask_id") -> DataFrame:
     """Spans of masks given by ``runs`` (array of column-major run lengths, background first) and ``height``.
@@ -57,12 +59,12 @@ def overlap(pairs: DataFrame, spans: DataFrame, others: DataFrame, key: str = "m
 
     Spans meet by an equi-join on the pair and the column, so masks are never expanded to pixels.
     """
-    left = pairs.join(spans.withColumnRenamed(key, "a"), "a").select("a", "b", "x", F.col("y0").alias("p0"), F.col("y1").alias("p1"))
+    left = shuffled(pairs).join(spans.withColumnRenamed(key, "a"), "a").select("a", "b", "x", F.col("y0").alias("p0"), F.col("y1").alias("p1"))
     right = others.select(F.col(key).alias("b"), "x", "y0", "y1")
-    met = left.join(right, ["b", "x"]).where("p0 < y1 and y0 < p1")
+    met = left.join(shuffled(right), ["b", "x"]).where("p0 < y1 and y0 < p1")
     both = met.groupBy("a", "b").agg(F.sum(F.least("p1", "y1") - F.greatest("p0", "y0")).alias("i"))
     na, nb = (df.groupBy(F.col(key).alias(name)).agg(F.sum(_n()).alias(f"n{name}")) for df, name in ((spans, "a"), (others, "b")))
-    out = pairs.join(both, ["a", "b"], "left").join(na, "a", "left").join(nb, "b", "left").fillna(0, ["i", "na", "nb"])
+    out = pairs.join(shuffled(both), ["a", "b"], "left").join(shuffled(na), "a", "left").join(shuffled(nb), "b", "left").fillna(0, ["i", "na", "nb"])
     union = F.col("na") + F.col("nb") - F.col("i")
     return out.select("a", "b", F.col("i").alias("intersection"), F.when(union == 0, 1.0).otherwise(F.col("i") / union).alias("iou"), F.when(F.col("nb") == 0, 1.0).otherwise(F.col("i") / F.col("nb")).alias("coverage"))
 

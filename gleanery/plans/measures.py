@@ -16,7 +16,7 @@ _SPANS = "sp AS (SELECT p_partkey AS mask_id, x, (p_partkey + x) % 5 AS y0, (p_p
 
 
 def part_spans(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mask_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_partkey") % 7)).alias("x"))
+    p = tables.spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("mask_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_partkey") % 7)).alias("x"))
     y0 = (F.col("mask_id") + F.col("x")) % 5
     return p.select("mask_id", "x", y0.alias("y0"), (y0 + 1 + (F.col("mask_id") * (F.col("x") + 1)) % 4).alias("y1"))
 
@@ -46,7 +46,7 @@ def span_overlap(spark, sf_dir):
     """Intersection over union and coverage of pairs of masks, without expanding a pixel."""
     s = part_spans(spark, sf_dir)
     keys = table(spark, sf_dir, "part").select("p_partkey")
-    pairs = keys.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")).join(keys, F.col("b") == F.col("p_partkey"), "left_semi")
+    pairs = keys.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")).join(tables.shuffled(keys), F.col("b") == F.col("p_partkey"), "left_semi")
     return spans.overlap(pairs, s, s).select("a", "b", "intersection", F.round("iou", 9).alias("iou"), F.round("coverage", 9).alias("coverage"))
 
 

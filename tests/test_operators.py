@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import raster, rle
 from gleanery.functions.color import CHANNELS, ColorRule, convert, hue_thresholds, in_arc, to_bgr
 from gleanery.functions.identity import canonical_json, combined_source, derivation_hash, hash_spec
-from gleanery.operators import collage, filters, groupfit, selection, validate, wide
+from gleanery.operators import collage, filters, groupfit, selection, spans, validate, wide
 from gleanery.plans import recipes
 from gleanery.sources import files, tables
 from gleanery.streaming import events
@@ -199,6 +199,16 @@ def test_median_by_ranges(spark, values):
     assert got.first()["median_pct_diff"] == (None if want is None else pytest.approx(want))
 
 
+def test_pairs_of_masks_are_not_broadcast(spark):
+    """Tables that grow with the masks look small, and a broadcast would hold them whole in the driver and in every task."""
+    one = spark.createDataFrame([(1, 0, 0, 3), (2, 0, 1, 5)], "mask_id long, x long, y0 long, y1 long")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    got = spans.overlap(pairs, one, one)
+    row = got.first()
+    assert (row.intersection, row.iou, row.coverage) == (2, 0.4, 0.5)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and "Broadcast" not in tables.shuffled(pairs).join(one, pairs["a"] == one["mask_id"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_passes_with_idle_tasks_and_distances_beside_a_centre(spark):
     """A large group whose rows lie in one of several tasks; distances far below the size of the coordinates."""
     rows = spark.createDataFrame([("a", 2, np.array([1, 2]).tobytes(), np.array([3.0, 4.0]).tobytes())], "g string, n long, keys binary, v binary").repartition(4)
